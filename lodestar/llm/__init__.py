@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality
 
 
 def queries():
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql():

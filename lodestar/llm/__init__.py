@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import lines, packing, preferences, quality, warc
 
 
 def queries():
     return {
+        "op2_warc": warc.op2_warc,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op6_line_dedup": lines.op6_line_dedup,
+        "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op6_line_dedup": lines.OP6_SQL, "op9_preference_format": preferences.OP9_SQL}

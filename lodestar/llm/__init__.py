@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, packing, preferences, quality, warc
+from . import licences, lines, packing, preferences, quality, warc
 
 
 def queries():
     return {
         "op2_warc": warc.op2_warc,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_license_scan": licences.op5_license_scan,
         "op6_line_dedup": lines.op6_line_dedup,
         "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, packing, preferences, quality, warc
+from . import decontaminate, licences, lines, packing, preferences, quality, toxicity, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_license_scan": licences.op5_license_scan,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, packing, preferences, quality, toxicity, warc
+from . import decontaminate, licences, lines, packing, preferences, quality, repeats, toxicity, warc
 
 
 def queries():
     return {
         "op2_warc": warc.op2_warc,
+        "op3_substring_dedup": repeats.op3_substring_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_license_scan": licences.op5_license_scan,
         "op6_line_dedup": lines.op6_line_dedup,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, packing, preferences, quality, repeats, toxicity, warc
+from . import decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, toxicity, warc
 
 
 def queries():
     return {
+        "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
         "op2_warc": warc.op2_warc,
         "op3_substring_dedup": repeats.op3_substring_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,

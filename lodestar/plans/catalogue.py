@@ -1,9 +1,369 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the test tables and their SQL."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cite, text
+from ..functions.vectors import dot, l2_norm, l2_normalise
+from ..operators import filters, search, store
+from ..operators.rerank import OverlapReranker, rerank_frame
+from ..operators.scratch import scratch_path
+from ..schema import SCOPE
+from ..sources.feed import split_id
+from ..sources.snapshot import scan_snapshot
+from ..streaming.update import in_window
+from .papers import PAPERS_SQL, papers, table, vectors
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+CURSOR = dt.datetime(2024, 1, 25)
+RERANK_QUERY = "the of and erin with"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL over papers and the tables."""
+
+    def keep(run):
+        _QUERIES[run.__name__] = run
+        if sql is not None:
+            _SQL[run.__name__] = f"WITH {PAPERS_SQL.strip()} {sql}" if "papers" in sql else sql
+        return run
+
+    return keep
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _near(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+def _vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+
+
+_COS = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_FROM_0 = "FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score {_FROM_0} ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
+def cosine_topk(spark, sf_dir):
+    return _rounded(search.top_k(search.score_native(_vec(spark, sf_dir), _near(spark, sf_dir)), 10))
+
+
+@query(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score {_FROM_0} WHERE e.label = 3 ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
+def cosine_topk_filtered(spark, sf_dir):
+    return _rounded(search.top_k(search.score_native(_vec(spark, sf_dir).where("label = 3"), _near(spark, sf_dir)), 10))
+
+
+@query(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score {_FROM_0} WHERE e.vec_id <> 0 ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
+def similar_exclude_self(spark, sf_dir):
+    return _rounded(search.top_k(search.score_native(_vec(spark, sf_dir).where("id <> 0"), _near(spark, sf_dir)), 10))
+
+
+@query(
+    f"""SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+    FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10"""
+)
+def batch_topk(spark, sf_dir):
+    """Ten neighbours of every vector whose id is divisible by 20, among all vectors."""
+    own = table(spark, sf_dir, "embeddings")
+    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(search.batch_top_k(_vec(spark, sf_dir), asked, 10))
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def l2_norms(spark, sf_dir):
+    return _vec(spark, sf_dir).select("id", F.round(l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def normalise_check(spark, sf_dir):
+    tripled = F.transform("embedding", lambda x: x * 3)
+    return _vec(spark, sf_dir).select("id", F.round(l2_norm(l2_normalise(tripled)), 6).alias("norm"))
+
+
+_IN_SCOPE = f"list_has_any(string_split(categories, ' '), {list(SCOPE)})"
+
+
+@query(f"SELECT id, categories FROM papers WHERE {_IN_SCOPE}")
+def scope_filter(spark, sf_dir):
+    return papers(spark, sf_dir).where(filters.in_scope()).select("id", "categories")
+
+
+@query(f"SELECT c.category, coalesce(n, 0) AS n FROM (SELECT unnest({list(SCOPE)}) AS category) c LEFT JOIN (SELECT category, count(*) AS n FROM (SELECT DISTINCT id, unnest(string_split(categories, ' ')) AS category FROM papers) GROUP BY 1) g USING (category)")
+def category_counts(spark, sf_dir):
+    return store.category_counts(papers(spark, sf_dir))
+
+
+_SLIM = ("id", "update_date", "categories")
+_BROWSE = "SELECT id, update_date, categories FROM papers"
+_NEWEST = "ORDER BY update_date DESC NULLS LAST, id LIMIT"
+
+
+@query(f"{_BROWSE} {_NEWEST} 25")
+def browse_newest(spark, sf_dir):
+    return search.browse(papers(spark, sf_dir), 25).select(*_SLIM)
+
+
+@query(f"{_BROWSE} WHERE update_date >= '1996-06-01' {_NEWEST} 40")
+def browse_since(spark, sf_dir):
+    return search.browse(papers(spark, sf_dir), 40, since_date="1996-06-01").select(*_SLIM)
+
+
+@query(f"{_BROWSE} WHERE list_has_any(string_split(categories, ' '), ['math.CO', 'cs.CG']) {_NEWEST} 30")
+def browse_category(spark, sf_dir):
+    return search.browse(papers(spark, sf_dir), 30, ["math.CO", "cs.CG"]).select(*_SLIM)
+
+
+_LETTERS = r"regexp_replace(regexp_replace(regexp_replace(authors, '\\ss(\{\}|[ \t]+|\b)', 'ss', 'g'), '\\O(\{\}|[ \t]+|\b)', 'O', 'g'), '\\L(\{\}|[ \t]+|\b)', 'L', 'g')"
+_ACCENTS = rf"""regexp_replace({_LETTERS}, '\\(["''`^~=.]|[uvHckrdb])\s*\{{([A-Za-z])\}}|\\(["''`^~=.])\s*([A-Za-z])', '\2\4', 'g')"""
+_FOLD = rf"trim(regexp_replace(lower(regexp_replace(translate({_ACCENTS}, '{{}}', ''), '\([^()]*\)', ' ', 'g')), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT id, {_FOLD} AS folded FROM papers")
+def fold_authors(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", text.fold("authors").alias("folded"))
+
+
+@query(f"SELECT id, authors FROM papers WHERE contains({_FOLD}, 'noether')")
+def author_search_single(spark, sf_dir):
+    return filters.narrow(papers(spark, sf_dir), author=r"N{o}ether").select("id", "authors")
+
+
+@query(f"SELECT id, authors FROM papers WHERE contains({_FOLD}, 'hardy') AND contains({_FOLD}, 'littlewood')")
+def author_search_joint(spark, sf_dir):
+    return filters.narrow(papers(spark, sf_dir), author="Hardy, Littlewood").select("id", "authors")
+
+
+@query(
+    f"""SELECT p.id, p.title, round({_COS}, 6) AS score FROM papers p JOIN embeddings e ON p."row" = e.vec_id,
+    (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+    WHERE list_has_any(string_split(categories, ' '), ['math.AG', 'math.CO']) AND update_date >= '1995-03-01' AND contains({_FOLD}, 'hardy')
+    ORDER BY {_COS} DESC, p.id LIMIT 10"""
+)
+def ranked_search_with_filters(spark, sf_dir):
+    own, near = papers(spark, sf_dir), _near(spark, sf_dir)
+    found = search.search(own, vectors(spark, sf_dir), "anything", lambda _: near, 10, ["math.AG", "math.CO"], "1995-03-01", "Hardy", score=search.score_native)
+    return _rounded(found.hits.select("id", "title", "score"))
+
+
+_TEXT = r"trim(regexp_replace(title || '. ' || abstract, '\s+', ' ', 'g'))"
+_OVERLAP = f"len(list_intersect(string_split(lower({_TEXT}), ' ')[1:2048], {RERANK_QUERY.split()})) / {len(RERANK_QUERY.split())}.0"
+
+
+@query(
+    f"""SELECT id, round(vector_score, 6) AS vector_score, round(rerank_margin, 6) AS rerank_margin FROM (
+    SELECT p.id, {_COS} AS vector_score, {_OVERLAP} AS rerank_margin FROM papers p JOIN embeddings e ON p."row" = e.vec_id,
+    (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, p.id LIMIT 50)
+    ORDER BY rerank_margin DESC, vector_score DESC, id LIMIT 5"""
+)
+def rerank_shortlist(spark, sf_dir):
+    own = papers(spark, sf_dir)
+    top = search.top_k(search.score_native(search.vectors_of(own, vectors(spark, sf_dir)), _near(spark, sf_dir)), 50)
+    done = rerank_frame(search.with_rows(top, own), RERANK_QUERY, OverlapReranker()).limit(5)
+    return done.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("rerank_margin", 6).alias("rerank_margin"))
+
+
+@query("SELECT count(*) AS n FROM papers WHERE list_has_any(string_split(categories, ' '), ['math.AC']) AND update_date >= '1996-01-01'")
+def count_matching(spark, sf_dir):
+    return filters.narrow(papers(spark, sf_dir), ["math.AC"], "1996-01-01").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS papers, count(*) FILTER ("row" IS NULL) AS pending, count("row") AS embedded, max(update_date) AS newest, (SELECT count(*) FROM embeddings) AS slots, (SELECT count(*) FROM embeddings) - count("row") AS reclaimable FROM papers""")
+def status(spark, sf_dir):
+    return store.status(papers(spark, sf_dir), vectors(spark, sf_dir))
+
+
+@query("""SELECT id, version FROM papers WHERE "row" IS NULL""")
+def pending_papers(spark, sf_dir):
+    return filters.pending(papers(spark, sf_dir)).select("id", "version")
+
+
+def _increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch: by doc_id modulo 10 the same, a new title, a new doi, no doi, a new version; and new papers."""
+    own = papers(spark, sf_dir)
+    kind = F.col("doc_id") % 10
+    changed = own.where(kind < 5).select(
+        "id",
+        F.when(kind == 4, F.concat("version", F.lit("9"))).otherwise(F.col("version")).alias("version"),
+        F.when(kind == 1, F.concat("title", F.lit(" (revised)"))).otherwise(F.col("title")).alias("title"),
+        "abstract", "authors", "categories", "update_date",
+        F.when(kind == 2, F.lit("10.1/new")).when(kind != 3, F.col("doi")).alias("doi"),
+        "journal_ref",
+    )
+    fresh = own.where("doc_id % 50 = 0").select(F.concat(F.lit("new."), F.col("doc_id").cast("string")).alias("id"), *changed.columns[1:])
+    return changed.unionByName(fresh)
+
+
+_INCREMENT = """, changed AS (
+  SELECT id, CASE WHEN doc_id % 10 = 4 THEN version || '9' ELSE version END AS version, CASE WHEN doc_id % 10 = 1 THEN title || ' (revised)' ELSE title END AS title,
+    abstract, authors, categories, update_date, CASE WHEN doc_id % 10 = 2 THEN '10.1/new' WHEN doc_id % 10 <> 3 THEN doi END AS doi, journal_ref
+  FROM papers WHERE doc_id % 10 < 5
+  UNION ALL SELECT 'new.' || CAST(doc_id AS VARCHAR), version, title, abstract, authors, categories, update_date, doi, journal_ref FROM papers WHERE doc_id % 50 = 0)"""
+_DIFFERS = "p.version IS DISTINCT FROM c.version OR p.title IS DISTINCT FROM c.title OR p.abstract IS DISTINCT FROM c.abstract"
+
+
+@query(
+    f"""{_INCREMENT} SELECT coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NULL THEN p."row" WHEN p.id IS NULL OR {_DIFFERS} THEN NULL ELSE p."row" END AS "row",
+    CASE WHEN c.id IS NULL THEN p.version ELSE c.version END AS version, CASE WHEN c.id IS NULL THEN p.title ELSE c.title END AS title,
+    CASE WHEN c.id IS NULL THEN p.doi ELSE c.doi END AS doi FROM papers p FULL JOIN changed c ON p.id = c.id"""
+)
+def upsert_merge(spark, sf_dir):
+    return store.merge(papers(spark, sf_dir).drop("doc_id"), _increment(spark, sf_dir)).select("id", "row", "version", "title", "doi")
+
+
+@query(f"{_INCREMENT} SELECT CASE WHEN p.id IS NULL THEN 'new' WHEN {_DIFFERS} THEN 'revised' ELSE 'current' END AS status, count(*) AS n FROM changed c LEFT JOIN papers p ON p.id = c.id GROUP BY 1")
+def upsert_status_counts(spark, sf_dir):
+    return store.change_status(papers(spark, sf_dir), _increment(spark, sf_dir))
+
+
+@query("""SELECT vec_id AS slot FROM embeddings WHERE vec_id NOT IN (SELECT "row" FROM papers WHERE "row" IS NOT NULL)""")
+def dead_slots(spark, sf_dir):
+    return store.dead_slots(papers(spark, sf_dir), vectors(spark, sf_dir))
+
+
+@query("""SELECT "row", row_number() OVER (ORDER BY "row") - 1 AS new_row FROM papers WHERE "row" IS NOT NULL AND doc_id % 3 <> 0""")
+def compact_slots(spark, sf_dir):
+    return store.compact_slots(papers(spark, sf_dir).where("doc_id % 3 <> 0"))
+
+
+@query("""SELECT id, "row" + 1000000 AS "row" FROM papers WHERE "row" IS NOT NULL AND doc_id % 100 = 0""")
+def dangling_slots(spark, sf_dir):
+    moved = papers(spark, sf_dir).withColumn("row", F.when(F.col("doc_id") % 100 == 0, F.col("row") + 1_000_000).otherwise(F.col("row")))
+    return store.dangling(moved, vectors(spark, sf_dir))
+
+
+@query("SELECT max(update_date) || 'T00:00:00+00:00' AS cursor FROM papers")
+def cursor_default(spark, sf_dir):
+    return papers(spark, sf_dir).agg(F.concat(F.max("update_date"), F.lit("T00:00:00+00:00")).alias("cursor"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 15 MINUTE")
+def update_window(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(in_window(F.col("ts"), F.lit(CURSOR))).select("event_id", "user_id")
+
+
+@query("SELECT CAST(max(ts) AS VARCHAR) AS newest FROM events")
+def newest_stamp(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.max("ts").cast("string").alias("newest"))
+
+
+@query("SELECT id || version AS raw, id AS id, version AS version FROM papers")
+def split_ids(spark, sf_dir):
+    raw = papers(spark, sf_dir).select(F.concat("id", "version").alias("raw"))
+    id_, version = split_id(F.concat(F.lit("http://x/abs/"), F.col("raw")))
+    return raw.select("raw", id_.alias("id"), version.alias("version"))
+
+
+@query("SELECT id, CAST(2000 + CAST(substr(id, 1, 2) AS INTEGER) AS INTEGER) AS year FROM papers")
+def id_years(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", cite.id_year(F.col("id"), F.col("update_date")).alias("year"))
+
+
+@query("SELECT id, 'arxiv:' || replace(id, '/', '_') AS key FROM papers")
+def cite_keys(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", cite.cite_key(F.col("id")).alias("key"))
+
+
+_NAMES_OF = r"list_filter(list_transform(string_split(regexp_replace(authors, '(?i)\s+and\s+', ', ', 'g'), ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"SELECT id, array_to_string({_NAMES_OF}, '; ') AS names, CAST(len({_NAMES_OF}) AS INTEGER) AS n FROM papers")
+def split_authors(spark, sf_dir):
+    names = cite.split_authors(F.col("authors"))
+    return papers(spark, sf_dir).select("id", F.array_join(names, "; ").alias("names"), F.size(names).alias("n"))
+
+
+@query(
+    rf"""SELECT id, '@online{{arxiv:' || id || ',' || chr(10) || array_to_string(list_filter([
+    '  title       = {{' || trim(regexp_replace(title, '\s+', ' ', 'g')) || '}}', '  author      = {{' || array_to_string({_NAMES_OF}, ' and ') || '}}',
+    '  year        = {{' || CAST(2000 + CAST(substr(id, 1, 2) AS INTEGER) AS VARCHAR) || '}}', '  eprint      = {{' || id || '}}', '  eprinttype  = {{arxiv}}',
+    '  eprintclass = {{' || split_part(categories, ' ', 1) || '}}', '  doi         = {{' || doi || '}}', '  note        = {{' || journal_ref || '}}',
+    '  url         = {{https://arxiv.org/abs/' || id || '}}'], lambda x: x IS NOT NULL), ',' || chr(10)) || ',' || chr(10) || '}}' AS entry FROM papers"""
+)
+def biblatex(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", cite.biblatex().alias("entry"))
+
+
+@query(r"SELECT id, trim(regexp_replace(title, '\s+', ' ', 'g')) || chr(10) || chr(10) || trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS document_text FROM papers")
+def document_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", text.document_text(F.col("title"), F.col("abstract")).alias("document_text"))
+
+
+@query("SELECT id, 'Instruct: Given a research question, retrieve relevant arXiv paper abstracts' || chr(10) || 'Query: ' || trim(title) AS query_text FROM papers")
+def query_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", text.query_text(F.col("title")).alias("query_text"))
+
+
+@query(f"SELECT id, {_TEXT} AS rerank_text FROM papers")
+def rerank_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", text.rerank_text(F.col("title"), F.col("abstract")).alias("rerank_text"))
+
+
+_UNICODE = {"Henri Poincar\\'e": "Henri Poincaré", 'August M\\"obius and Emmy Noether': "August Möbius and Emmy Noether", "{\\O}ystein {\\O}re, G. H. Hardy": "Øystein Øre, G. H. Hardy", "P. Erd\\H{o}s": "P. Erdős", 'Emmy Noether (Universit\\"at G\\"ottingen)': "Emmy Noether (Universität Göttingen)", "\\L ojasiewicz": "Łojasiewicz", "Stra\\ss er": "Straßer"}
+_AS_CASE = " ".join("WHEN '{}' THEN '{}'".format(k.replace("'", "''"), v) for k, v in _UNICODE.items())
+
+
+@query(f"SELECT id, CASE authors {_AS_CASE} ELSE authors END AS names FROM papers")
+def latex_to_unicode(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", text.latex_to_unicode("authors").alias("names"))
+
+
+@query("SELECT id, replace(title, '}', '') || '{x}' AS balanced FROM papers")
+def balance_braces(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", cite.balance_braces(F.concat("title", F.lit("}{x}{"))).alias("balanced"))
+
+
+@query(r"SELECT id, regexp_replace(replace(replace(title, '---', '—'), '--', '–'), '[ \t]{2,}', ' ', 'g') || ' & —' AS shown FROM papers")
+def display_titles(spark, sf_dir):
+    marked = F.concat("title", F.lit(r" \& ---"))
+    return papers(spark, sf_dir).select("id", text.display_text(marked).alias("shown"))
+
+
+@query("SELECT id, 'https://arxiv.org/abs/' || id AS url FROM papers")
+def abs_urls(spark, sf_dir):
+    return papers(spark, sf_dir).select("id", cite.abs_url(F.col("id")).alias("url"))
+
+
+_RANKED = f"SELECT q.vec_id AS query_id, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id"
+
+
+@query(
+    f"""SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
+    round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM (SELECT query_id, min(rank) FILTER (hit AND rank <= 10) AS rank FROM ({_RANKED}) GROUP BY 1)"""
+)
+def recall_at_k(spark, sf_dir):
+    """How soon a neighbour of the same label comes, for every vector whose id is divisible by 20."""
+    own = table(spark, sf_dir, "embeddings")
+    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    label = own.select(F.col("vec_id").alias("id"), F.col("label").alias("found"))
+    wanted = own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    top = search.batch_top_k(_vec(spark, sf_dir), asked, 10).join(label, "id").join(wanted, "query_id")
+    first = top.groupBy("query_id").agg(F.min(F.when(F.col("found") == F.col("wanted"), F.col("rank"))).alias("rank"))
+    return search.recall_at(first).select(*(F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr")))
+
+
+@query(f"SELECT id, version, title, authors, categories, update_date, doi, journal_ref FROM papers WHERE {_IN_SCOPE}")
+def snapshot_scan(spark, sf_dir):
+    """The papers view written as snapshot lines and scanned again."""
+    path = scratch_path(spark, "snapshot")
+    versions = F.array(F.struct(F.lit("v0").alias("version")), F.struct(F.col("version").alias("version"))).alias("versions")
+    own = papers(spark, sf_dir).select("id", versions, "title", "abstract", "authors", "categories", "update_date", "doi", F.col("journal_ref").alias("journal-ref"))
+    own.write.json(path)
+    return scan_snapshot(spark, path).drop("_order", "abstract")

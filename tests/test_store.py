@@ -1,0 +1,198 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.operators.embed import HashingEmbedder
+from lodestar.operators.store import Store, category_counts, merge
+from lodestar.schema import CURSOR_KEY, METADATA, PAPERS, DanglingSlot, ModelMismatch
+from lodestar.sources import feed
+from lodestar.sources.snapshot import scan_snapshot
+from lodestar.streaming.update import follow, resolve_cursor, update
+
+FIELDS = "id string, " + ", ".join(f"{c} string" for c in METADATA)
+
+
+def paper(id_, title="t", version="v1", doi=None, date="2020-01-01", categories="math.CO"):
+    return (id_, version, title, "abstract of " + id_, "A. Author", categories, date, doi, None)
+
+
+def batch(spark, *rows, ordered=False):
+    rows = [(i, *r) for i, r in enumerate(rows)] if ordered else list(rows)
+    return spark.createDataFrame(rows, ("_order long, " if ordered else "") + FIELDS)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store(spark, f"file://{tmp_path}/index", "hashing", 8)
+
+
+def rows(df):
+    return {r["id"]: r for r in df.collect()}
+
+
+def test_lifecycle(spark, store):
+    e = HashingEmbedder(8)
+    assert store.upsert(batch(spark, paper("a", doi="d"), paper("b"), paper("c"))) == 3
+    assert store.embed_pending(e) == 3 and store.embed_pending(e) == 0
+    first = rows(store.papers())
+    assert sorted(r["row"] for r in first.values()) == [0, 1, 2] and all(r["embedded_at"] for r in first.values())
+    # same text keeps its row, also when the stored doi goes; a new version alone clears it
+    assert store.upsert(batch(spark, paper("a"), paper("b", version="v2"), paper("n"))) == 2
+    now = rows(store.papers())
+    assert now["a"]["row"] == first["a"]["row"] and now["a"]["doi"] is None and now["b"]["row"] is None
+    assert store.embed_pending(e) == 2
+    assert store.vectors().count() == 5
+    before = {r["id"]: r["embedding"] for r in store.papers().join(store.vectors(), F.col("row") == F.col("slot")).collect()}
+    assert store.compact() == 1 and store.compact() == 0
+    after = {r["id"]: r["embedding"] for r in store.papers().join(store.vectors(), F.col("row") == F.col("slot")).collect()}
+    assert before == after and sorted(r["row"] for r in store.papers().collect()) == [0, 1, 2, 3]
+    store.check_slots()
+
+
+def test_duplicates_in_a_batch(spark):
+    old = spark.createDataFrame([("a", 7, "v1", "t", "abstract of a", "A. Author", "math.CO", "2020-01-01", None, None, None)], PAPERS)
+    there_and_back = batch(spark, paper("a", title="other"), paper("a", doi="x"), ordered=True)
+    got = merge(old, there_and_back).first()
+    assert got["row"] is None and got["title"] == "t" and got["doi"] == "x"
+    assert merge(old, batch(spark, paper("a"), paper("a"), ordered=True)).first()["row"] == 7
+
+
+def test_upsert_is_idempotent(spark, store):
+    b = batch(spark, paper("a"), paper("b"))
+    store.upsert(b)
+    once = sorted(map(tuple, store.papers().collect()))
+    store.upsert(b)
+    assert sorted(map(tuple, store.papers().collect())) == once
+
+
+def test_model_and_slots_are_checked(spark, store, tmp_path):
+    other = Store(spark, store.path, "another", 8)
+    with pytest.raises(ModelMismatch):
+        other.check_model()
+    store.upsert(batch(spark, paper("a")))
+    store.embed_pending(HashingEmbedder(8))
+    state = store.state()
+    store._commit(state, papers=store._write("papers", store.papers().withColumn("row", F.lit(99).cast("long"))))
+    with pytest.raises(DanglingSlot):
+        store.check_slots()
+    with pytest.raises(RuntimeError):
+        store._commit(state, slots=0)  # the pointer has moved
+
+
+def test_wrong_dimensions_commit_nothing(spark, store):
+    store.upsert(batch(spark, paper("a")))
+    bad = spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>")
+    with pytest.raises(Exception, match="dimensions"):
+        store.append_vectors(bad)
+    assert store.papers().first()["row"] is None
+
+
+def test_meta(spark, store):
+    store.set_meta("k", "1")
+    store.set_meta_defaults(k="2", other="3")
+    assert store.meta("k") == "1" and store.meta("other") == "3" and store.meta("none") is None
+
+
+def test_category_counts(spark, store):
+    store.upsert(batch(spark, paper("a", categories="math.AG math.CO"), paper("b", categories="math.CO math.COX")))
+    assert {r[0]: r[1] for r in category_counts(store.papers()).collect()} == {"math.AC": 0, "math.AG": 1, "math.CO": 2}
+
+
+def test_snapshot(spark, tmp_path):
+    lines = [
+        {"id": "1", "title": "t", "abstract": "a", "categories": "cs.X math.CO", "versions": [{"version": "v1"}, {"version": "v2"}], "journal-ref": "J", "extra": 1},
+        {"id": "2", "title": "t", "abstract": "about math.CO", "categories": "cs.X"},
+        {"id": "3", "title": "t", "abstract": "a", "categories": "math.COX"},
+        {"id": "4", "title": "t", "abstract": "a", "categories": "math.AG", "versions": []},
+    ]
+    (tmp_path / "s.json").write_text("\n".join(map(json.dumps, lines)))
+    got = rows(scan_snapshot(spark, str(tmp_path / "s.json")))
+    assert set(got) == {"1", "4"} and got["1"]["version"] == "v2" and got["1"]["journal_ref"] == "J" and got["4"]["version"] is None
+    (tmp_path / "bad.json").write_text(json.dumps({"id": "5", "abstract": "a", "categories": "math.AG"}))
+    with pytest.raises(Exception, match="lacks title"):
+        scan_snapshot(spark, str(tmp_path / "bad.json")).collect()
+
+
+ENTRY = """<entry><id>http://x/abs/{id}</id><updated>{updated}</updated><title> T {id}</title><summary>S</summary>
+<author><name>A B</name></author><author><name>C</name></author><category term="cs.X"/><category term="{cat}"/>
+<arxiv:primary_category term="{cat}"/><arxiv:doi>10.1/x</arxiv:doi></entry>"""
+
+
+def page(total, *entries):
+    body = "".join(ENTRY.format(id=i, updated=u, cat=c) for i, u, c in entries)
+    return (f'<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom" xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/">'
+            f"<opensearch:totalResults>{total}</opensearch:totalResults>{body}</feed>").encode()
+
+
+CURSOR = dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc)
+NEW, EDGE, OLD = "2024-01-11T00:00:00Z", "2024-01-09T23:45:00Z", "2024-01-09T23:44:59Z"
+
+
+def fetcher(*pages):
+    left = list(pages)
+    return lambda start: feed.parse_page(left.pop(0))
+
+
+def test_page_parsers_agree(spark, tmp_path):
+    raw = page(2, ("math/0605123v2", NEW, "math.CO"), ("solv-int/9701001", "soon", "math.AG"))
+    (tmp_path / "p.xml").write_bytes(raw)
+    by_spark = {r["id"]: r.asDict() for r in feed.read_pages(spark, str(tmp_path / "p.xml")).drop("updated_at").collect()}
+    plain = {e["id"]: {k: v for k, v in e.items() if k != "updated_at"} for e in feed.parse_page(raw).entries}
+    assert by_spark == plain
+    assert plain["math/0605123"]["version"] == "v2" and plain["solv-int/9701001"]["version"] is None
+    assert plain["math/0605123"]["categories"] == "math.CO cs.X" and plain["math/0605123"]["authors"] == "A B, C"
+
+
+def test_walk_reaches_its_floor():
+    w = feed.walk(CURSOR, fetcher(page(9, ("1v1", NEW, "cs.Y"), ("2v1", "soon", "math.CO"), ("3v1", EDGE, "math.CO"), ("4v1", OLD, "math.CO"))), sleep=lambda s: None)
+    assert w.complete and [r["id"] for r in w.records] == ["2", "3"] and w.newest.day == 11
+
+
+def test_walk_incomplete():
+    blank = page(5)
+    w = feed.walk(CURSOR, fetcher(page(5, ("1v1", NEW, "math.CO")), *[blank] * 4), sleep=lambda s: None)
+    assert not w.complete and len(w.records) == 1
+    w = feed.walk(CURSOR, fetcher(page(5, ("1v1", NEW, "math.CO"))), max_pages=1, sleep=lambda s: None)
+    assert not w.complete
+    w = feed.walk(CURSOR, fetcher(blank, page(1, ("1v1", NEW, "math.CO")), *[blank] * 4), max_pages=2, sleep=lambda s: None)
+    assert not w.complete
+    w = feed.walk(CURSOR, fetcher(page(1, ("1v1", NEW, "math.CO"))), sleep=lambda s: None)
+    assert w.complete
+
+
+def test_update_moves_the_cursor_only_when_complete(spark, store):
+    e = HashingEmbedder(8)
+    store.upsert(batch(spark, paper("1", date="2024-01-10")))
+    assert resolve_cursor(store) == CURSOR
+    tally = update(store, e, fetcher(page(9, ("2v1", NEW, "math.CO"))), max_pages=1, sleep=lambda s: None)
+    assert not tally["complete"] and tally["new"] == 1 and tally["embedded"] == 2 and store.meta(CURSOR_KEY) is None
+    tally = update(store, e, fetcher(page(9, ("2v1", NEW, "math.CO"), ("3v1", OLD, "math.CO"))), sleep=lambda s: None)
+    assert tally["complete"] and tally["current"] == 1 and resolve_cursor(store) == dt.datetime(2024, 1, 11, tzinfo=dt.timezone.utc)
+
+
+def test_stream_merges_files(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"id": "1", "title": "t", "abstract": "a", "categories": "math.CO", "versions": [{"version": "v1"}]}))
+    q = follow(store, str(folder), str(tmp_path / "c"), HashingEmbedder(8)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert rows(store.papers())["1"]["row"] == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestar.__main__ import main
+
+    (tmp_path / "s.json").write_text("\n".join(json.dumps({"id": str(i), "title": f"rings {i}", "abstract": "of things", "categories": "math.CO", "authors": r"P. Erd\H{o}s", "update_date": "2020-01-01"}) for i in range(3)))
+    base = ["--index", f"file://{tmp_path}/i"]
+    main([*base, "build", str(tmp_path / "s.json")], spark)
+    main([*base, "search", "rings 1", "-k", "2", "--rerank", "--scores"], spark)
+    main([*base, "similar", "1", "-k", "1"], spark)
+    main([*base, "status"], spark)
+    main([*base, "compact"], spark)
+    main([*base, "cite", "1"], spark)
+    out = capsys.readouterr().out
+    assert "3 embedded" in out and "P. Erdős" in out and "@online{arxiv:1" in out and "0 slots reclaimed" in out
+    with pytest.raises(SystemExit):
+        main([*base, "search"], spark)

@@ -200,8 +200,8 @@ _STARS = "kind byte, key long, a long, b long, n long"
 
 def _stars(batches: Iterator) -> Iterator:
     """From postings sorted by (key, salt, a): candidate pairs (kind 0: a < b), the centres of salted lists (kind 1),
-    and the members of lists too long for all their pairs (kind 2). A list goes by; only its first SHORT_LIST sets
-    and the last row are held."""
+    and the members of salted lists and of those too long for all their pairs (kind 2). A list goes by; only its first
+    SHORT_LIST sets and the last row are held."""
     import pyarrow as pa
 
     state: dict = {"id": None, "first": [], "size": 0, "last": None}
@@ -255,9 +255,10 @@ def _stars(batches: Iterator) -> Iterator:
                 near = 5 * np.minimum(counts, k) >= 4 * np.maximum(counts, k)
                 near &= names != centre
                 longs.append((0, np.zeros(near.sum()), np.minimum(names[near], centre), np.maximum(names[near], centre), np.zeros(near.sum())))
-                if before <= SHORT_LIST and before:
+                if 0 < before <= SHORT_LIST and not here[1]:
                     f = np.array(state["first"][:before], np.int64)
                     longs.append((2, np.full(len(f), here[0]), f[:, 0], f[:, 0], f[:, 1]))
+            if state["size"] > SHORT_LIST or here[1]:  # of a salted list all are members, as its key has other lists
                 longs.append((2, np.full(len(names), here[0]), names, names, counts))
         if pair_a:
             parts.append((0, pair_n, pair_a, pair_b, pair_n))

@@ -46,21 +46,21 @@ def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     clean_text is the rest, joined by \\n; a null text stays null, with no lines. Rows with equal id_col and
     equal text are cleaned alike; other columns pass through; `line_dedup` is replaced."""
     spread = spread_lines(docs, min_sites, site, text)
-    lines = docs.select(F.xxhash64(text).alias("_text"), F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"))
-    lines = lines.where(F.col("_line").rlike(NOT_BLANK)).select("_id", "_text", "_at", F.unhex(_key(F.col("_line"))).alias("line_key"))
-    gone = lines.join(spread, "line_key", "left_semi").groupBy("_id", "_text").agg(F.collect_set("_at").alias("_gone"))
     own = docs.drop("line_dedup")
-    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text")), "left")
-    parts = F.split(F.col(text), "\n")
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.withColumn(
-        "line_dedup",
-        F.struct(
-            F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_BLANK))), F.lit(0)).cast("long").alias("n_lines"),
-            F.greatest(F.size(F.coalesce("_gone", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_removed"),
-            left.alias("clean_text"),
-        ),
-    ).select(*own.columns, "line_dedup")
+    packed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"))  # no column can clash with ours
+    id_, body = F.col("row")[id_col], F.col("row")[text]
+    lines = packed.select(id_.alias("id"), F.xxhash64(body).alias("text_hash"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
+    lines = lines.where(F.col("line").rlike(NOT_BLANK)).select("id", "text_hash", "at", F.unhex(_key(F.col("line"))).alias("line_key"))
+    gone = lines.join(spread, "line_key", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    joined = packed.join(gone, id_.eqNullSafe(F.col("id")) & (F.xxhash64(body) == F.col("text_hash")), "left")
+    parts = F.split(body, "\n")
+    left = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    found = F.struct(
+        F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_BLANK))), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        left.alias("clean_text"),
+    )
+    return joined.select("row", found.alias("line_dedup")).select("row.*", "line_dedup")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

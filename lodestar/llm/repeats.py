@@ -249,7 +249,7 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words and an empty kept_text. Other columns pass through; `repeats` is replaced."""
     own = docs.drop("repeats")
-    found = find_repeats(docs, window).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "starts")
+    found = find_repeats(docs, window).select(F.col("doc_id").alias("id"), "tag", "starts")
 
     @F.pandas_udf("long")
     def tag(texts):
@@ -273,8 +273,10 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows.append((len(ws), int(gone.sum()), kept.decode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    joined = own.withColumn("_t", tag("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_tag")), "left")
-    return joined.withColumn("repeats", apply("text", "starts")).select(*own.columns, "repeats")
+    packed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"))  # no column can clash with ours
+    tagged = packed.withColumn("own_tag", tag("row.text"))
+    joined = tagged.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag")), "left")
+    return joined.select("row", apply("row.text", "starts").alias("repeats")).select("row.*", "repeats")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

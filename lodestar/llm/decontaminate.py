@@ -206,8 +206,8 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator:
             n: Counter = Counter()
             for text in pdf["text"]:
                 ws = terms(text)
-                n.update({**dict.fromkeys(ws, 1), "\n": len(ws), "\n\n": bool(ws)})  # no term holds a line break
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                n.update({**dict.fromkeys(ws, 1), "\n": len(ws), "\n\n": int(bool(ws))})  # no term holds a line break
+            yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
 
     counts = rows.select("text").mapInPandas(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for shard in range(shards):

@@ -142,7 +142,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                 ws = {t for t in map(term, set(split(text))) if t}
                 n.update(("w:" + t, int(toxic)) for t in ws)
                 n.update((s, int(toxic)) for s in {"s:" + t[:k] for t in ws for k in STEMS if len(t) > k})
-            yield pd.DataFrame([(f, c if y else 0, 0 if y else c) for (f, y), c in n.items()], columns=["feature", "toxic", "clean"])
+            yield pd.DataFrame([(f, c if y else 0, 0 if y else c) for (f, y), c in n.items()], columns=["feature", "toxic", "clean"]).astype({"feature": object, "toxic": "int64", "clean": "int64"})
 
     counted = rows.mapInPandas(run, "feature string, toxic long, clean long")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
             import pandas as pd
 
             for pdf in batches:
-                yield pd.DataFrame({"x": [shared.value.weight(t) for t in pdf["text"]], "toxic": pdf["toxic"]})
+                yield pd.DataFrame({"x": pd.Series([shared.value.weight(t) for t in pdf["text"]], dtype="float64"), "toxic": pdf["toxic"].to_numpy()})
 
         sample = rows.mapInPandas(weigh, "x double, toxic int").toPandas()  # two numbers for at most `most` rows
         model.slope, model.bias = _curve(np.log1p(sample["x"].to_numpy()), sample["toxic"].to_numpy(float))

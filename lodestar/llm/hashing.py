@@ -7,24 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 
 _GOLDEN = 0x9E3779B97F4A7C15
-_MEMO_ENTRIES = 600_000
 #: Words handled at once, which bounds a worker's arrays whatever the batch holds (a single text may exceed it).
-BLOCK_WORDS = 400_000
-
-
-class WordHash(dict):
-    """64-bit hash of a word in bytes; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _MEMO_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+BLOCK_WORDS = 200_000
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: A fixed pseudo-random number for each byte value.
+_BYTES = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, np.uint64)
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, words of each text), by array operations on the bytes.
+
+    A word's hash is a polynomial of its bytes' numbers, mixed. Words as in split()."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join(raw)
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(np.r_[True, blank, True]))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(sizes.max() - 1, _GOLDEN, np.uint64)])
+    hashes = mix(np.add.reduceat(_BYTES[data[~blank]] * powers[place], first))
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return hashes, np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(texts))
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:

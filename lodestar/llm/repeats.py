@@ -18,19 +18,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .common import cut, table
-from .hashing import WordHash, blocks, mix, power, split, window_hashes
+from .hashing import blocks, mix, power, split, window_hashes, word_hashes
 
 WINDOW = 35
 ROUNDS = 8
+#: Rounds from one naming of runs to the next.
+RUN_EVERY = 8
 #: An anchor found this often has its windows dealt over SALTS tasks.
 HOT_ANCHOR = 2_000
 SALTS = 64
-#: Bits of the anchor filter: 16 for each repeated anchor, within these bounds. Beyond the upper one more windows are
-#: hashed in vain, and none is lost.
-MIN_BITS, MAX_BITS = 20, 28
+#: Groups of equal texts that are told apart by a table on the executors: at most so many, namely all with more copies
+#: than this goes into the number of rows. Of such a group one document stands for all in the search for windows.
+MAX_COPY_GROUPS = 100_000
 
-_RUN, _PAIR, _LEVEL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_RUN, _PAIR, _LEVEL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), 0xD6E8FEB86659FD93
+
+
+def _salt(level: int) -> np.uint64:
+    return np.uint64((level + 1) * _LEVEL & (1 << 64) - 1)
 
 
 class Symbols:
@@ -66,8 +73,8 @@ def pairs(s: Symbols, first: np.ndarray, last: np.ndarray, level: int) -> Symbol
     """A left symbol before a right one becomes a pair. A symbol that stays alone has the neighbour that it might have
     joined in its context; a pair needs no more than its halves."""
     n = len(s.name)
-    left = (mix(s.name + np.uint64(level + 1) * _LEVEL) & np.uint64(1)).astype(bool)
-    met = np.r_[left[:-1] & ~left[1:] & (s.doc[1:] == s.doc[:-1]), False] if n else np.zeros(0, bool)
+    left = (mix(s.name + _salt(level)) & np.uint64(1)).astype(bool)
+    met = np.r_[left[:-1] & ~left[1:] & (s.doc[1:] == s.doc[:-1]), False]
     second = np.r_[False, met[:-1]]
     before, after = _edges(s, first, last)
     low = np.where(left, s.low, np.minimum(s.low, before))
@@ -82,22 +89,25 @@ def pairs(s: Symbols, first: np.ndarray, last: np.ndarray, level: int) -> Symbol
 def anchors(words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window starts, names of their anchors, place of the anchors): words of a block of documents, doc the number
     of each word's document, first and last its words. Only starts of whole windows are returned."""
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     at = np.arange(len(words))
     level = Symbols(words, doc, at, at)
     levels = [level]
     for k in range(ROUNDS):
-        level = pairs(runs(level, first, last), first, last, k)
+        if k % RUN_EVERY == 0:  # a run's context reaches beyond it, so naming runs each time would cost long symbols
+            level = runs(level, first, last)
+        level = pairs(level, first, last, k)
         levels.append(level)
-    starts = at[at + window - 1 <= last[doc]] if len(words) else at
+    starts = at[at + window - 1 <= last[doc]]
     name, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     open_ = np.arange(len(starts))
     for k in range(ROUNDS, -1, -1):
         s = levels[k]
-        low = np.maximum.accumulate(s.low) if len(s.low) else s.low
-        j = np.searchsorted(low, starts[open_])  # the first symbol whose context begins in the window
-        safe = (j < len(low)) & (s.high[np.minimum(j, len(low) - 1)] < starts[open_] + window) if len(low) else np.zeros(len(open_), bool)
+        j = np.searchsorted(s.low, starts[open_])  # the first symbol whose context begins in the window
+        safe = (j < len(s.low)) & (s.high[np.minimum(j, len(s.low) - 1)] < starts[open_] + window)
         got = open_[safe]
-        name[got] = mix(s.name[j[safe]] + np.uint64(k + 1) * _LEVEL)
+        name[got] = mix(s.name[j[safe]] + _salt(k))
         place[got] = s.low[j[safe]] * (ROUNDS + 1) + k
         open_ = open_[~safe]
     return starts, name, place
@@ -107,16 +117,14 @@ class Parser:
     """Texts of an Arrow batch in blocks of bounded size, as arrays."""
 
     def __init__(self, window: int):
-        self._window, self._hash = window, WordHash()
+        self._window = window
 
     def parse(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(number of the block's first text, first word of each text, word hashes, window starts, documents of the
         starts, anchor names, anchor places)."""
         sizes = [len(t or "") // 5 for t in texts]
         for a, b in blocks(sizes):
-            words = [split(t) for t in texts[a:b]]
-            n = np.array([len(w) for w in words])
-            flat = np.concatenate([self._hash.of(w) for w in words]) if n.sum() else np.empty(0, np.uint64)
+            flat, n = word_hashes(texts[a:b])
             first = np.cumsum(n) - n
             doc = np.repeat(np.arange(b - a), n)
             starts, name, place = anchors(flat, doc, first, first + n - 1, self._window)
@@ -140,30 +148,23 @@ def _count_anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _filter_bits(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each anchor in keys at its upper `bits` bits: 2^bits bits, whatever the corpus holds."""
-    at = F.shiftrightunsigned("anchor", 64 - bits)
-    bit = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("b"))
-    word = bit.groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = word.toPandas()  # at most 2^(bits - 6) rows
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _has(filter_: np.ndarray, name: np.ndarray) -> np.ndarray:
-    bits = int(len(filter_)).bit_length() + 5
-    at = name >> np.uint64(64 - bits)
-    return (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _key(text: str | None) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 33
+
 
+def copy_groups(docs: DataFrame) -> dict[int, int]:
+    """Hash of the text and first document of each group of equal texts beyond the size that MAX_COPY_GROUPS allows."""
+    keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    groups = cut(groups.where("copies > 1 AND first < last"))
+    rows = groups.agg(F.sum("copies")).first()[0] or 0
+    found = groups.where(F.col("copies") > 1 + rows // MAX_COPY_GROUPS).toArrow()
+    return dict(zip(found["key"].to_pylist(), found["first"].to_pylist()))
 
-def _windows(docs: DataFrame, window: int, known, hot) -> DataFrame:
+
+def _windows(docs: DataFrame, window: int, known, hot, groups) -> DataFrame:
     """hash, doc_id, tag (of the text), start, salt (0 unless the anchor is hot) of the windows that may be repeated."""
 
     def run(batches: Iterator) -> Iterator:
@@ -171,26 +172,28 @@ def _windows(docs: DataFrame, window: int, known, hot) -> DataFrame:
 
         parser = Parser(window)
         for batch in batches:
+            own_first = [groups.value.get(key, doc) == doc for key, doc in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist())]
+            batch = batch.filter(pa.array(own_first, pa.bool_()))
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, first, flat, starts, owner, name, _ in parser.parse(texts):
-                may = _has(known.value, name) if len(starts) else np.zeros(0, bool)
+                may = bitfilter.has(known.value, name) if len(starts) else np.zeros(0, bool)
                 if not may.any():
                     continue
                 starts, owner, name = starts[may], owner[may], name[may]
                 docs_here, which = np.unique(owner, return_inverse=True)
-                tags = np.array([_key(texts[a + d]) for d in docs_here], np.int64)[which]
+                tags = np.array([_key(texts[a + d]) for d in docs_here], np.int32)[which]
                 own = pa.array([ids[a + d] for d in docs_here], pa.int64()).take(pa.array(which))
                 hashes = window_hashes(flat, window)[starts]
-                salt = np.where(_has(hot.value, name), 1 + tags % SALTS, 0).astype(np.int32)
+                salt = np.where(bitfilter.has(hot.value, name), 1 + tags % SALTS, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), own, pa.array(tags), pa.array((starts - first[owner]).astype(np.int32)), pa.array(salt)],
                     names=["hash", "doc_id", "tag", "start", "salt"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, tag long, start int, salt int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "hash long, doc_id long, tag int, start int, salt int")
 
 
-_MATCHED = "hash long, doc_id long, tag long, start int, salt int, n long"
+_MATCHED = "hash long, doc_id long, tag int, start int, salt int, n long"
 
 
 def _match(batches: Iterator) -> Iterator:
@@ -202,8 +205,10 @@ def _match(batches: Iterator) -> Iterator:
 
     def emit(table: pa.Table, n: np.ndarray) -> Iterator:
         keep = (n > 1) | (table.column("salt").to_numpy() > 0)
-        # of a salted group that is repeated already, one row tells the other groups; all rows are results
-        yield from table.append_column("n", pa.array(n, pa.int64())).filter(pa.array(keep)).to_batches()
+        # only rows of salted groups are looked up by hash again
+        hashes = pa.array(table.column("hash").to_numpy(), mask=table.column("salt").to_numpy() == 0)
+        table = table.set_column(0, "hash", hashes).append_column("n", pa.array(n, pa.int64()))
+        yield from table.filter(pa.array(keep)).to_batches()
 
     before = None  # key of the group that the held row continues
     for batch in batches:
@@ -221,24 +226,24 @@ def _match(batches: Iterator) -> Iterator:
         yield from emit(held, held_n)
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, tag, starts: for each text with repeated windows their first words, ascending.
+def find_repeats(docs: DataFrame, window: int, groups) -> DataFrame:
+    """doc_id, tag, starts: for each text with repeated windows their first words, ascending. Of the broadcast groups of
+    equal texts only the first documents take part; that all windows of those texts are repeated is known.
 
-    tag is a hash of the text, so rows that share an id but not a text stay apart; rows that share both are two
+    tag is a 31-bit hash of the text, so rows that share an id but not a text stay apart; rows that share both are two
     places of every window of theirs. Null texts have no words."""
     spark = docs.sparkSession
     counts = cut(_count_anchors(docs, window).where(F.col("n") > 1))
-    n = counts.count()
-    bits = min(max((16 * n).bit_length(), MIN_BITS), MAX_BITS)
-    known = spark.sparkContext.broadcast(_filter_bits(counts, bits))
-    hot = spark.sparkContext.broadcast(_filter_bits(counts.where(F.col("n") >= HOT_ANCHOR), MIN_BITS))
-    found = _windows(docs, window, known, hot)
+    known = spark.sparkContext.broadcast(bitfilter.build(counts, "anchor", bitfilter.bits_for(counts.count())))
+    often = counts.where(F.col("n") >= HOT_ANCHOR)
+    hot = spark.sparkContext.broadcast(bitfilter.build(often, "anchor", bitfilter.bits_for(often.count())))
+    found = _windows(docs, window, known, hot, groups)
     sorted_ = found.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
     matched = cut(sorted_.mapInArrow(_match, _MATCHED))
     sure = matched.where(F.col("n") > 1).select("doc_id", "tag", "start")
     # a window that is alone under its salt is repeated if its hash stands under another salt, or without one
     lone = matched.where(F.col("n") == 1)
-    others = matched.groupBy("hash").agg(F.count_distinct("salt").alias("salts")).where(F.col("salts") > 1).select("hash")
+    others = matched.where(F.col("salt") > 0).groupBy("hash").agg(F.count_distinct("salt").alias("salts")).where(F.col("salts") > 1).select("hash")
     late = lone.join(others, "hash", "left_semi").select("doc_id", "tag", "start")
     return sure.unionByName(late).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
@@ -249,19 +254,23 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words and an empty kept_text. Other columns pass through; `repeats` is replaced."""
     own = docs.drop("repeats")
-    found = find_repeats(docs, window).select(F.col("doc_id").alias("id"), "tag", "starts")
+    groups = docs.sparkSession.sparkContext.broadcast(copy_groups(docs))
+    found = find_repeats(docs, window, groups).select(F.col("doc_id").alias("id"), "tag", "starts")
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("int")
     def tag(texts):
-        return texts.map(_key, na_action=None).astype("int64")
+        return texts.map(_key, na_action=None).astype("int32")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
-    def apply(texts, starts):
+    def apply(texts, keys, starts):
         import pandas as pd
 
         rows = []
-        for text, s in zip(texts, starts):
+        for text, key, s in zip(texts, keys, starts):
             ws = split(text)
+            if len(ws) >= window and key in groups.value:
+                rows.append((len(ws), len(ws), ""))
+                continue
             if s is None or not len(s):
                 rows.append((len(ws), 0, b" ".join(ws).decode("utf-8", "replace")))
                 continue
@@ -276,7 +285,7 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     packed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"))  # no column can clash with ours
     tagged = packed.withColumn("own_tag", tag("row.text"))
     joined = tagged.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag")), "left")
-    return joined.select("row", apply("row.text", "starts").alias("repeats")).select("row.*", "repeats")
+    return joined.select("row", apply("row.text", F.xxhash64("row.text"), "starts").alias("repeats")).select("row.*", "repeats")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

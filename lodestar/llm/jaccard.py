@@ -1,10 +1,10 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A text's tokens are its distinct word 5-gram hashes. In an order that puts rare tokens first, two similar sets share
-enough of their first tokens; how many depends on their sizes alone. Rare tokens are indexed singly. Tokens that a
-count sketch calls frequent fall into classes by hash; of a class only combinations of two tokens are indexed, and the
-prefix is longer by one token for each class met, so that a similar pair always shares a key. Candidates are
-verified on the full sets.
+enough of their first tokens; how many depends on their sizes alone. Rare tokens are indexed singly. Frequent tokens,
+by exact counts of all that a prefix can hold, fall into classes by hash; of a class only combinations of two tokens are indexed, and the
+prefix is longer by one token for each class met, so that a similar pair always shares a key. Candidates
+that small bitmaps do not rule out are verified on the full sets.
 
 Posting lists are never expanded into all pairs: each gives a star around its first set, and only sets that are still
 in different components after verification are compared further.
@@ -19,14 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .common import cut, drop_cut, table
-from .hashing import WordHash, blocks, mix, split, window_hashes
+from .hashing import blocks, mix, window_hashes, word_hashes
 
 SHINGLE = 5
-#: Counters of the token sketch: so many numbers, whatever the corpus holds.
-SKETCH_BITS = 18
-#: A token is frequent if its counter exceeds twice the mean counter and this.
+#: A token that more prefixes than this can hold is frequent. The bound doubles until so many tokens are at most.
 MIN_FREQUENT = 32
+MAX_FREQUENT = 1 << 24
 #: Tokens of a frequent class that a prefix is expected to hold.
 CLASS_TOKENS = 4
 #: Lists of keys of frequent tokens are dealt over so many tasks, and their stars' centres meet afterwards.
@@ -36,6 +36,10 @@ SHORT_LIST = 6
 #: Copies of one set beyond this many (or a 100,000th of the rows) are left out of the index but for one.
 MANY_COPIES = 16
 MAX_HOT_SETS = 100_000
+#: Rounds in which open lists compare their sets with one more of their own, before what is left is compared in full.
+CENTRE_ROUNDS = 6
+#: Bits of a set's bitmap at most; larger sets are ruled out less often, and none wrongly.
+MAX_BITMAP_BITS = 16
 
 _COMBINE, _CLASS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -47,16 +51,41 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(window_hashes(words, min(SHINGLE, len(words))) + np.uint64(min(SHINGLE, len(words))))
 
 
-def _sets(texts: list[str | None], hashes: WordHash) -> Iterator[np.ndarray]:
+def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     for a, b in blocks([len(t or "") // 5 for t in texts]):
-        for t in texts[a:b]:
-            yield shingles(hashes.of(split(t, lower=True)))
+        flat, counts = word_hashes(texts[a:b], lower=True)
+        for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+            yield shingles(flat[end - n : end])
 
 
-def _set_id(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that name a set."""
-    m = mix(s)
-    return int((m.sum(dtype=np.uint64)).view(np.int64)), int((mix(m + _CLASS)).sum(dtype=np.uint64).view(np.int64))
+def _set_id(s: np.ndarray) -> int:
+    """A 64-bit sum that names a set."""
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's tokens as bits at their lowest bits, about one or two a token."""
+    size = min(max(64, 1 << (len(s) - 1).bit_length()), 1 << MAX_BITMAP_BITS) if len(s) else 64
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """False only if bitmaps rule out a similarity of 0.8: a bit of one alone is at least one token of it alone."""
+    bits = 8 * min(len(x), len(y))
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    a, b = _folded(a, 8 * len(x), bits), _folded(b, 8 * len(y), bits)
+    most = min(nx - (a & ~b).bit_count(), ny - (b & ~a).bit_count())
+    return 180 * most >= 80 * (nx + ny)
+
+
+def _folded(bitmap_: int, size: int, to: int) -> int:
+    """The bitmap that fewer bits would have given."""
+    while size > to:
+        size //= 2
+        bitmap_ = (bitmap_ | bitmap_ >> size) & ((1 << size) - 1)
+    return bitmap_
 
 
 def allowed_misses(n: int) -> int:
@@ -114,38 +143,78 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """One pass: rows with kind 0 have doc_id, n, a, b (the set's size and name), with kind 1 a bucket of the token
-    sketch in a and its count in n."""
+    """doc_id, n, a (the set's size and name) and bits (its bitmap) of each row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes, sketch = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            rows = [(len(s), _set_id(s), bitmap(s)) for s in _sets(batch.column(1).to_pylist())]
+            n, a, bits = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "a", "bits"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut(slim.mapInArrow(run, "doc_id long, n long, a long, bits binary"))
+
+
+def _zone(n: int) -> int:
+    """Tokens, in the order of their hashes, among which a prefix without frequent tokens lies, and some more."""
+    return min(n, (allowed_misses(n) + 1) * 5 // 4 + 2)
+
 
-        def rows(kind, ids, n, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), ids, *(pa.array(x, pa.int64()) for x in (n, a, b))], names=["kind", "doc_id", "n", "a", "b"])
+def _token_counts(docs: DataFrame, hot, known=None) -> DataFrame:
+    """token, n: sets that hold the token among the first of their zone. With the tokens known to be frequent: among
+    the rest, of the sets whose zone has too few others for a prefix."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         for batch in batches:
-            sizes, names = [], []
-            for s in _sets(batch.column(1).to_pylist(), hashes):
-                sketch += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                sizes.append(len(s))
-                names.append(_set_id(s))
-            yield rows(0, batch.column(0), sizes, *(list(zip(*names)) or [[], []]))
-        at = np.flatnonzero(sketch)
-        yield rows(1, pa.nulls(len(at), pa.int64()), sketch[at], at, np.zeros(len(at), np.int64))
+            held, size = [], 0
+            for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist())):
+                if len(s) < 2 or hot.value.get(_set_id(s), doc) != doc:
+                    continue
+                zone = _zone(len(s))
+                if known is None:
+                    part = s[:zone]
+                elif zone - np.count_nonzero(bitfilter.has(known.value, s[:zone])) <= allowed_misses(len(s)):
+                    part = s[zone:]
+                else:
+                    continue
+                held.append(part)
+                size += len(part)
+                if size > 500_000:
+                    yield counted(held)
+                    held, size = [], 0
+            if size:
+                yield counted(held)
+
+    def counted(parts):
+        import pyarrow as pa
+
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind byte, doc_id long, n long, a long, b long"))
+def _frequent(docs: DataFrame, hot):
+    """Broadcast filter of the frequent tokens. Zones are counted first; sets that consist of frequent tokens then have
+    their other tokens counted as well, so that lists of single tokens stay short."""
+    context = docs.sparkSession.sparkContext
 
+    def heavy(counts: DataFrame) -> DataFrame:
+        many, bound = cut(counts.where(F.col("n") > MIN_FREQUENT)), MIN_FREQUENT
+        while many.where(F.col("n") > bound).count() > MAX_FREQUENT:
+            bound *= 2
+        return many.where(F.col("n") > bound).select("token")
 
-def _frequent_buckets(measured: DataFrame) -> np.ndarray:
-    """Which buckets of the sketch are frequent: 2^SKETCH_BITS booleans from the counts of all rows."""
-    counts = measured.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    total[counts["a"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return total > max(MIN_FREQUENT, 2 * total.mean())
+    def filter_of(tokens: DataFrame):
+        return context.broadcast(bitfilter.build(tokens, "token", bitfilter.bits_for(tokens.count())))
+
+    first = heavy(_token_counts(docs, hot))
+    return filter_of(first.union(heavy(_token_counts(docs, hot, filter_of(first)))))
 
 
 def _hot_sets(sets: DataFrame, n_rows: int) -> dict[int, int]:
@@ -164,7 +233,6 @@ def _postings(docs: DataFrame, frequent, hot) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
             keys, salts, sizes, names, lengths, held = [], [], [], [], [], 0
             ids = batch.column(0).to_pylist()
@@ -173,13 +241,13 @@ def _postings(docs: DataFrame, frequent, hot) -> DataFrame:
                 a, n = np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(a), pa.array(n), pa.array(np.concatenate(salts), pa.int32())], names=["key", "a", "n", "salt"])
 
-            for doc, s in zip(ids, _sets(batch.column(1).to_pylist(), hashes)):
+            for doc, s in zip(ids, _sets(batch.column(1).to_pylist())):
                 if len(s) < 2:
                     continue
-                name = _set_id(s)[0]
+                name = _set_id(s)
                 if hot.value.get(name, doc) != doc:
                     continue
-                single, combined = prefix_keys(s, frequent.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                single, combined = prefix_keys(s, bitfilter.has(frequent.value, s))
                 keys += [single, combined]
                 salts += [np.zeros(len(single), np.int32), np.full(len(combined), 1 + name % SALTS, np.int32)]
                 lengths.append(len(single) + len(combined))
@@ -280,25 +348,17 @@ def _centre_pairs(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """a, tokens (binary) of the sets in wanted(a, first), from the first document of each."""
-    bits = min(max((16 * wanted.count()).bit_length(), 16), 27)
-    at = F.shiftrightunsigned("first_hash", 64 - bits)
-    byte = wanted.select(F.xxhash64("first").alias("first_hash")).select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("b"))
-    found = byte.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2^21 rows
-    filter_ = np.zeros(1 << (bits - 6), np.uint64)
-    filter_[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    hashed = wanted.select(F.xxhash64("first").alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitfilter.build(hashed, "h", bitfilter.bits_for(wanted.count())))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
-            h = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            may = (shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
-            part = batch.filter(pa.array(may))
+            part = batch.filter(pa.array(bitfilter.has(shared.value, batch.column(2).to_numpy().view(np.uint64))))
             if not len(part):
                 continue
-            rows = [(s, _set_id(s)[0]) for s in _sets(part.column(1).to_pylist(), hashes)]
+            rows = [(s, _set_id(s)) for s in _sets(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for _, x in rows], pa.int64()), pa.array([s.tobytes() for s, _ in rows], pa.binary())], names=["doc_id", "a", "tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id"))
@@ -306,8 +366,26 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(made.join(wanted, (made["a"] == wanted["a"]) & made["doc_id"].eqNullSafe(wanted["first"]), "left_semi").dropDuplicates(["a"]).select("a", "tokens"))
 
 
-def _similar(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sets' sizes and bitmaps do not rule out."""
+    left, right = sets.select("a", "bits", "n").toDF("a", "x", "nx"), sets.select("a", "bits", "n").toDF("b", "y", "ny")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [may_be_similar(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny")))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more. Only sets of plausible pairs are made again."""
+    pairs = cut(_plausible(pairs, sets))
+    named = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
+    arrays = _arrays(docs, cut(sets.join(named, "a", "left_semi").select("a", "first")))
     left, right = arrays.toDF("a", "x"), arrays.toDF("b", "y")
 
     def run(batches: Iterator) -> Iterator:
@@ -351,13 +429,6 @@ def components(links: DataFrame) -> DataFrame:
         print_before = shape
 
 
-def _relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs (a, b) with la, lb, the components of both; only those that differ."""
-    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    named = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    return named.where("la <> lb")
-
-
 def _extend(labels: DataFrame, verified: DataFrame) -> DataFrame:
     """labels after joining the components of each verified pair (a, b, with la and lb)."""
     merged = cut(components(verified.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
@@ -367,6 +438,45 @@ def _extend(labels: DataFrame, verified: DataFrame) -> DataFrame:
     return cut(moved)
 
 
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, a, n, l (component) of the lists that still hold several components."""
+    placed = cut(members.join(labels.toDF("a", "l"), "a", "left").select("key", "a", "n", F.coalesce("l", "a").alias("l")))
+    mixed = placed.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("key")
+    return cut(placed.join(mixed, "key", "left_semi"))
+
+
+def _close_lists(members: DataFrame, pairs: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """labels after comparing all sets of a list that are in different components.
+
+    First in rounds: each list compares its sets with one of them, another each time, which takes a row per member
+    and joins most of what belongs together. In the end all that is still apart is compared pair by pair."""
+    fits = F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    done = pairs
+    for turn in range(CENTRE_ROUNDS):
+        open_ = _open_lists(members, labels)
+        if open_.isEmpty():
+            return labels
+        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("o"), "a", "n", "l")).alias("c"))
+        centre = centre.select("key", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), F.col("c.l").alias("lb"))
+        x = open_.toDF("key", "a", "na", "la")
+        both = x.join(centre, "key").where(fits & (F.col("la") != F.col("lb"))).select("a", "b", "la", "lb")
+        swapped = F.col("a") > F.col("b")
+        both = both.select(*(F.when(swapped, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la")))).distinct()
+        both = cut(both.join(done, ["a", "b"], "left_anti"))
+        if both.isEmpty():
+            continue  # this turn's centres have been compared before
+        found = cut(_similar(both.select("a", "b"), docs, sets).join(both, ["a", "b"]))
+        done = cut(done.union(both.select("a", "b")))
+        if found.isEmpty():
+            break
+        labels = _extend(labels, found)
+    open_ = _open_lists(members, labels)
+    x, y = open_.toDF("key", "a", "na", "la"), open_.toDF("key", "b", "nb", "lb")
+    apart = x.join(y, "key").where(fits & F.expr("la <> lb AND a < b")).select("a", "b", "la", "lb").distinct()
+    apart = cut(apart.join(done, ["a", "b"], "left_anti"))
+    return _extend(labels, cut(_similar(apart.select("a", "b"), docs, sets).join(apart, ["a", "b"])))
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs: texts link when 100 * intersection >= 80 * union of their
     shingle sets (words between blanks, A-Z in lower case).
@@ -375,33 +485,17 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     no links, and a null doc_id then stays null. Equal sets are one class, so copies are never paired with each
     other; rows that repeat are members like any other. Other columns are ignored."""
     spark = docs.sparkSession
-    measured = _measure(docs)
-    rows = measured.where("kind = 0").select("doc_id", "n", "a", "b")
-    sets = rows.where("n > 0").groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    frequent = spark.sparkContext.broadcast(_frequent_buckets(measured))
+    rows = _measure(docs)
+    sets = cut(rows.where("n > 0").groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     hot = spark.sparkContext.broadcast(_hot_sets(rows.where("n > 0"), rows.count()))
+    frequent = _frequent(docs, hot)
     postings = _postings(docs, frequent, hot)
     stars = cut(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "a").mapInArrow(_stars, _STARS))
     centre_pairs, centres = _centre_pairs(stars)
     pairs = cut(stars.where("kind = 0").select("a", "b").union(centre_pairs).distinct())
-    members = stars.where("kind = 2").select("key", "a", "n").union(centres)
-    named = pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct()
-    arrays = _arrays(docs, cut(sets.join(named, "a", "left_semi").select("a", "first")))
-    # one partner each first: most members of a group join it there, and their other pairs need no look
-    once = pairs.groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    labels = cut(components(_similar(once, arrays)))
-    rest = cut(_relabel(pairs, labels))
-    rest = _similar(rest.select("a", "b"), arrays).join(rest, ["a", "b"])
-    labels = _extend(labels, cut(rest))
-    # lists that still hold several components: only sets of different components are compared
-    placed = cut(members.distinct().join(labels.toDF("a", "l"), "a", "left").select("key", "a", "n", F.coalesce("l", "a").alias("l")))
-    mixed = placed.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
-    x, y = open_.toDF("key", "a", "na", "la"), open_.toDF("key", "b", "nb", "lb")
-    apart = x.join(y, "key").where("la <> lb AND a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "la", "lb").distinct()
-    apart = cut(apart.join(pairs, ["a", "b"], "left_anti"))
-    last = cut(_similar(apart.select("a", "b"), arrays).join(apart, ["a", "b"]))
-    labels = _extend(labels, last)
+    members = cut(stars.where("kind = 2").select("key", "a", "n").union(centres).distinct())
+    labels = cut(components(_similar(pairs, docs, sets)))
+    labels = _close_lists(members, pairs, labels, docs, sets)
     grouped = sets.join(labels.toDF("a", "label"), "a", "left").select("a", "first", F.coalesce("label", "a").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     of_set = grouped.join(smallest, "label").select("a", "component_id")

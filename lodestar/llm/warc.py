@@ -53,11 +53,12 @@ def render_record(key, uri: str | None, payload: bytes, refers_to) -> bytes:
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(key)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Record-Key: {key}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response",
     ]
+    if key is not None:
+        head.append(f"WARC-Record-Key: {key}")
     if uri is not None:
         head.insert(4, "WARC-Target-URI: " + " ".join(uri.split()))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -148,11 +149,12 @@ def roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write(records: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes records(key long, uri string, payload binary) as bundles in folder, one per task, and returns their
     index (INDEX_SCHEMA). A null payload is empty, a null uri has no header; rows with the same key and payload
-    become as many records. Rows with a null key are refused, as nothing could find them again. A task that is
-    run again writes a new file; the index names only files of tasks that ended."""
+    become as many records. A row with a null key is a response that nothing refers to. A task that is run again
+    writes a new file; the index names only files of tasks that ended."""
     keyed = records.select(F.col("key").cast("long"), F.col("uri").cast("string"), F.coalesce("payload", F.lit(b"")).alias("payload"))
-    keyed = keyed.withColumn("key", F.coalesce("key", F.raise_error(F.lit("a record needs a key")).cast("long")))
-    to_write = keyed.withColumn("sha", F.sha1("payload")).join(roles(keyed, min_bytes), ["key", "sha"]).select("key", "uri", "payload", "refers_to")
+    part = roles(keyed, min_bytes).toDF("role_key", "role_sha", "refers_to")
+    same = (F.col("sha") == F.col("role_sha")) & F.col("key").eqNullSafe(F.col("role_key"))
+    to_write = keyed.withColumn("sha", F.sha1("payload")).join(part, same).select("key", "uri", "payload", "refers_to")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -208,7 +210,8 @@ def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
                 if kind == "response" and (len(payload), digest(payload)) != (size, sha):
                     raise ValueError(f"record {fields['WARC-Record-ID']} in {path} is damaged")
                 to = fields.get("WARC-Refers-To-Key")
-                rows.append((fields["WARC-Record-ID"], int(fields["WARC-Record-Key"]), fields.get("WARC-Target-URI"), size, sha, kind, to and int(to), payload if with_payload else None))
+                key = fields.get("WARC-Record-Key")
+                rows.append((fields["WARC-Record-ID"], key and int(key), fields.get("WARC-Target-URI"), size, sha, kind, to and int(to), payload if with_payload else None))
             if rows:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names="record_id key uri payload_bytes payload_digest record_type refers_to payload".split())

@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers for targets, negation and reported speech run side by side over the classes of a clause's words;
-their composition is one automaton that weighs each insult or threat by what stands around it in its clause. The
-insults, their stems and weights are learned from labelled rows, and so is the curve from summed clause weights to
+Small transducers for insults, threats, negation and reported speech run side by side over the classes of a clause's
+words; their composition is one automaton that weighs each insult or threat by what stands around it in its clause. A
+threat before its target is held, and counts once the target follows in the same clause. The insults, their stems and weights are learned from labelled rows, and so is the curve from summed clause weights to
 a score.
 """
 
@@ -33,6 +33,8 @@ _MEMO_ENTRIES = 600_000
 #: Word classes of the grammar in English, French, German and Spanish (fixed values).
 THREATS = "kill hurt destroy burn shoot stab tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split()
 TARGETS = "you your yourself he she they them tu toi vous il elle ils du dich dir ihr sie tú te usted ustedes él ella ellos".split()
+#: Object forms of the same persons, as they follow a verb or a preposition.
+TARGETS += "him her lui eux ihn ihm ihnen euch ti".split()
 NEGATIONS = "not never no isn't aren't wasn't ne pas jamais nicht kein keine nie nunca ni".split()
 REPORTS = "said says claimed wrote quoted called dit écrit selon sagte schrieb laut dijo escribió según".split()
 
@@ -43,10 +45,19 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 @dataclass(frozen=True)
 class Transducer:
-    """States from 0; moves[state][class] is the next state, factors[state][class] what a word there is multiplied by."""
+    """States from 0; moves[state][class] is the next state, factors[state][class] what a word there is multiplied by.
+    holds[state][class]: the word's weight is kept back; frees[state][class]: all that is kept back counts now. Without
+    them nothing is held."""
 
     moves: tuple[tuple[int, ...], ...]
     factors: tuple[tuple[float, ...], ...]
+    holds: tuple[tuple[bool, ...], ...] = ()
+    frees: tuple[tuple[bool, ...], ...] = ()
+
+    def __post_init__(self):
+        for name in ("holds", "frees"):
+            if not getattr(self, name):
+                object.__setattr__(self, name, ((False,) * 6,) * len(self.moves))
 
     @staticmethod
     def flag(raised_by: int, on: dict[int, float]) -> Transducer:
@@ -55,18 +66,33 @@ class Transducer:
         return Transducer((tuple(int(c == raised_by) for c in range(6)), (1,) * 6), ((1.0,) * 6, after))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both at once on the same words: states are pairs, factors multiply."""
+        """Both at once on the same words: states are pairs, factors multiply, what either holds or frees is held or freed."""
         n = len(other.moves)
         pairs = list(product(range(len(self.moves)), range(n)))
         return Transducer(
             tuple(tuple(self.moves[a][c] * n + other.moves[b][c] for c in range(6)) for a, b in pairs),
             tuple(tuple(self.factors[a][c] * other.factors[b][c] for c in range(6)) for a, b in pairs),
+            tuple(tuple(self.holds[a][c] or other.holds[b][c] for c in range(6)) for a, b in pairs),
+            tuple(tuple(self.frees[a][c] or other.frees[b][c] for c in range(6)) for a, b in pairs),
         )
 
 
-#: A threat counts only at a target; an insult counts more there; negation and reported speech weaken both.
+def _row(on: int, value, other) -> tuple:
+    return tuple(value if c == on else other for c in range(6))
+
+
+_NONE = (False,) * 6
+#: States: no target yet, threats pending, target met. A threat counts if a target stands before or after it.
+_THREATS = Transducer(
+    ((0, 1, 2, 0, 0, 0), (1, 1, 2, 1, 1, 1), (2,) * 6),
+    ((1.0,) * 6,) * 3,
+    holds=(_row(THREAT, True, False), _row(THREAT, True, False), _NONE),
+    frees=(_NONE, _row(TARGET, True, False), _NONE),
+)
+#: An insult counts more after a target; a threat only with one; negation and reported speech weaken both.
 GRAMMAR = (
-    Transducer(((0, 0, 1, 0, 0, 0), (1,) * 6), ((1.0, 0.0, 1.0, 1.0, 1.0, 1.0), (1.25, 1.0, 1.0, 1.0, 1.0, 1.0)))
+    Transducer.flag(TARGET, {INSULT: 1.25})
+    .compose(_THREATS)
     .compose(Transducer.flag(NEGATION, {INSULT: 0.6, THREAT: 0.3}))
     .compose(Transducer.flag(REPORT, {INSULT: 0.7, THREAT: 0.5}))
 )
@@ -107,11 +133,19 @@ class Model:
         seen = [memo[w] if w in memo else look(w) for w in split(text)]
         if not any(x[1] for x in seen):
             return 0.0
-        total, state = 0.0, 0
+        total, held, state = 0.0, 0.0, 0
         for kind, w, ends in seen:
             if w:
-                total += w * GRAMMAR.factors[state][kind]
-            state = 0 if ends else GRAMMAR.moves[state][kind]
+                x = w * GRAMMAR.factors[state][kind]
+                if GRAMMAR.holds[state][kind]:
+                    held += x
+                else:
+                    total += x
+            if held and GRAMMAR.frees[state][kind]:
+                total, held = total + held, 0.0
+            state = GRAMMAR.moves[state][kind]
+            if ends:
+                held, state = 0.0, 0
         return total
 
     def score(self, text: str | None) -> float:

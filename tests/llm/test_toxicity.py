@@ -81,3 +81,19 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("text", ["a" * 100_000, "fool " * 50_000, "\x00 é 😀"])
 def test_odd_texts(text):
     assert 0 <= MODEL.score(text) <= 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I will kill you", "kill him", "hurt them!", "je vais frapper toi", "je vais tuer vous", "töten werde ich dich", "schlagen wir ihn", "voy a matar a usted", "quemar a ellos"],
+)
+def test_threat_before_its_target(text):
+    assert MODEL.weight(text) == MODEL.threat
+
+
+def test_threat_and_target_share_a_clause():
+    assert MODEL.weight("we kill time. you wait") == MODEL.weight("kill! you") == MODEL.weight("kill time") == 0.0
+    assert MODEL.weight("kill, burn, and then you") == MODEL.weight("you kill and burn") == 2 * MODEL.threat
+    assert MODEL.weight("kill you and you") == MODEL.weight("you kill you") == MODEL.threat
+    assert MODEL.weight("never kill you") == MODEL.weight("you never kill") == 0.3 * MODEL.threat
+    assert MODEL.weight("kill. you burn") == MODEL.threat

@@ -1,11 +1,13 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max pruning.
 
-Every passage of the corpus is a query. Test items are cut into chunks of at most CHUNK words; a chunk's BM25
+Every passage of the corpus is a query. Test items, and their questions and answers each for itself, are cut into
+chunks of at most CHUNK words; a chunk's BM25
 impacts are divided by its score against itself, so one threshold serves all. Passages of 2 * CHUNK words step by
 CHUNK, so a chunk that was copied stands whole in one of them. Per block of chunks the commonest terms that
 together stay below the threshold are set aside; a passage is scored against a block only if the block maxima of
 its other terms, with the most that those set aside can add, reach the threshold. No pair above it is lost.
-Retrieved items are then verified by the overlap of question and answer in word n-grams.
+Retrieved items are then verified by the overlap of question and answer in word n-grams: of the question for itself, of
+both together, or of a chunk of CHUNK words.
 """
 
 from __future__ import annotations
@@ -60,6 +62,18 @@ def overlap(part: list[str], grams: dict[int, set]) -> float:
     return len(own & grams[n]) / len(own) if own else 1.0
 
 
+def spans(n_question: int, n_answer: int) -> list[tuple[int, int]]:
+    """The chunks of an item, as slices of its words: of the whole, of a question that has an n-gram, and of an answer
+    that is half of the item or more. A shorter answer is never enough without words of the question."""
+    size = n_question + n_answer
+    parts = [(0, size)]
+    if n_question >= GRAM:
+        parts.append((0, n_question))
+    if 2 * n_answer >= size:
+        parts.append((n_question, size))
+    return sorted({(a, min(a + CHUNK, end)) for start, end in parts for a in range(start, end, CHUNK)})
+
+
 class Grams(dict):
     def __init__(self, ws: list[str]):
         self._ws = ws
@@ -76,6 +90,7 @@ class Index:
 
     items: list[tuple[int, list[str], list[str]]]
     chunk_item: np.ndarray
+    chunk_span: list[tuple[int, int]]
     vocabulary: dict[str, int]
     scored: list[dict[int, float]]
     starts: np.ndarray
@@ -86,7 +101,8 @@ class Index:
     @staticmethod
     def build(rows: list[tuple[int, str | None]], document_counts: dict[str, int], n_items: int, mean_size: float, min_score: float = MIN_SCORE) -> Index:
         items = [(i, *question_and_answer(text)) for i, text in rows]
-        chunks = [(k, ws[a : a + CHUNK]) for k, (_, q, a_) in enumerate(items) for ws in [q + a_] for a in range(0, max(len(ws), 1), CHUNK) if ws]
+        at = [(k, span) for k, (_, q, a) in enumerate(items) for span in spans(len(q), len(a))]
+        chunks = [(k, (items[k][1] + items[k][2])[a:b]) for k, (a, b) in at]
         vocabulary: dict[str, int] = {}
         scored: list[dict[int, float]] = []
         for c, (_, ws) in enumerate(chunks):
@@ -118,7 +134,7 @@ class Index:
             rest[b] = max(aside.values(), default=0.0)
         flat = [x for e in essential for x in e]
         return Index(
-            items, np.array([k for k, _ in chunks], np.int64), vocabulary, scored,
+            items, np.array([k for k, _ in chunks], np.int64), [span for _, span in at], vocabulary, scored,
             np.cumsum([0, *map(len, essential)]), np.array([b for b, _ in flat], np.int64), np.array([x for _, x in flat], float), rest,
         )
 
@@ -171,22 +187,36 @@ class Searcher:
                         score[chunk] += x
             yield from ((passage, chunk, x) for chunk, x in score.items() if x >= self._min - 1e-9)
 
+    def _holds_chunk(self, item: int, chunks: set[int], grams: Grams) -> bool:
+        """Whether one of the item's chunks of CHUNK words is verified for itself: a long passage of a longer item."""
+        full = [(a, b) for a, b in (self._index.chunk_span[c] for c in chunks) if b - a == CHUNK]
+        if not full:
+            return False
+        words = self._index.items[item][1] + self._index.items[item][2]
+        return any(overlap(words[a:b], grams) >= self._overlap for a, b in full)
+
     def find(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
         """(item_id, passage start in words, score, question overlap, answer overlap), each item once."""
         ws, ix = split(text), self._index
-        best: dict[int, tuple[float, int, int, int]] = {}
+        best: dict[int, tuple[tuple[float, int], float, int]] = {}
+        held: dict[int, tuple[int, int, set[int]]] = {}
         for passage, chunk, score in self.passages(self.numbers(ws)):
-            item = int(ix.chunk_item[chunk])
-            x, at, low, high = best.get(item, (0.0, 0, passage, passage))
-            best[item] = (score, passage, min(low, passage), max(high, passage)) if score > x else (x, at, min(low, passage), max(high, passage))
+            item, (a, b) = int(ix.chunk_item[chunk]), ix.chunk_span[chunk]
+            rank = (round(score, 9), b - a)  # of equal scores that of the longer chunk
+            if item not in best or rank > best[item][0]:
+                best[item] = rank, score, passage
+            low, high, chunks = held.get(item, (passage, passage, set()))
+            held[item] = min(low, passage), max(high, passage), chunks | {chunk}
         found = []
-        for item, (score, at, low, high) in sorted(best.items()):
+        for item, (_, score, at) in sorted(best.items()):
             number, question, answer = ix.items[item]
+            low, high, chunks = held[item]
             size = len(question) + len(answer)
             around = ws[max(0, low * CHUNK - size) : (high + 2) * CHUNK + size]
             grams = Grams([t for t in map(term, around) if t])
             q, a = overlap(question, grams), overlap(answer, grams)
-            if q * len(question) + a * len(answer) >= self._overlap * size:
+            alone = q >= self._overlap and len(question) >= GRAM
+            if alone or q * len(question) + a * len(answer) >= self._overlap * size or self._holds_chunk(item, chunks, grams):
                 found.append((number, at * CHUNK, score, q, a))
         return found
 

@@ -49,6 +49,27 @@ def test_find_and_remove(spark):
     assert D.remove(docs, items_of(spark, ITEMS[2:4])).count() == len(rows)
 
 
+def test_parts_of_items(spark):
+    """A question without its longer answer, a long answer without its question, and a passage of a longer item."""
+    filler = " ".join(f"f{i}" for i in range(300))
+    question, answer = "Which herbs grow beside the old mill in May?", " ".join(f"z{i}" for i in range(40))
+    long = [f"l{i}" for i in range(600)]
+    items = items_of(spark, [(1, f"{question}\n{answer}"), (2, " ".join(long)), (3, "Why not?\n" + " ".join(f"y{i}" for i in range(30)))])
+    rows = [
+        (1, f"{filler} {question} {filler}"),
+        (2, f"{filler} {answer} {filler}"),
+        (3, f"{filler} {' '.join(long[130:290])} {filler}"),
+        (4, f"{filler} {' '.join(long[130:150])} {filler}"),
+        (5, f"{filler} why not? {filler}"),
+        (6, f"{question} {answer}"),
+    ]
+    docs = cases.documents(spark, rows)
+    got = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["answer_overlap"]) for r in D.find(docs, items).collect()}
+    assert sorted(got) == [(1, 1), (2, 1), (3, 2), (6, 1)]
+    assert got[1, 1] == (1.0, 0.0) and got[2, 1] == (0.0, 1.0) and got[6, 1] == (1.0, 1.0)
+    assert sorted(r["doc_id"] for r in D.remove(docs, items).collect()) == [4, 5]
+
+
 def test_shards_find_the_same(spark):
     docs, items = cases.documents(spark, [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "x")]), items_of(spark, ITEMS)
     whole = sorted(tuple(r) for r in D.find(docs, items).collect())

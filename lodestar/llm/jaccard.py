@@ -503,6 +503,26 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     return filled.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links per row of docs: the other rows that it links with, copies included, by the rule of
+    similarity_components.
+
+    All pairs of set classes that share a key are verified, so long lists cost their pairs here; copies are counted by
+    class. A null or empty text has no links."""
+    rows = _measure(docs)
+    filled = rows.where("n > 0")
+    sets = cut(filled.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies")))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_sets(filled, rows.count()))
+    lists = cut(_postings(docs, _frequent(docs, hot), hot).select("key", "a", "n").distinct())
+    near = F.expr("a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    pairs = lists.toDF("key", "a", "na").join(lists.toDF("key", "b", "nb"), "key").where(near).select("a", "b").distinct()
+    linked = cut(_similar(pairs, docs, sets))
+    both = linked.union(linked.select("b", "a"))
+    others = both.join(sets.select(F.col("a").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    of_set = sets.join(others, "a", "left").select("a", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(of_set, "a", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; the columns of docs.
 

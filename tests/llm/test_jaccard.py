@@ -70,6 +70,19 @@ def test_components_of_a_path(spark):
     assert jaccard.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1, 32])
+def test_link_counts(spark, monkeypatch, frequent):
+    """Every link inside groups of near copies and of copies, against all pairs."""
+    monkeypatch.setattr(jaccard, "MIN_FREQUENT", frequent)
+    texts = group(0, 40, 60) + group(1, 30, 90) + ["same words here for all of us"] * 20 + ["", None, "one"]
+    rows = list(enumerate(texts)) + [(d if d is None else d + 1000, t) for d, t in cases.TEXTS]
+    sets = [cases.shingle_set(t) for _, t in rows]
+    alike = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(d, sum(alike(x, y) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets)]
+    assert found(jaccard.link_counts(cases.documents(spark, rows))) == sorted(want, key=repr)
+    assert jaccard.link_counts(cases.empty(spark)).count() == 0
+
+
 def test_keep_one(spark):
     docs = cases.documents(spark)
     left = jaccard.keep_one(docs)

@@ -10,6 +10,13 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert_same(catalogue.queries()[name](spark, sf_dir), sf_dir, catalogue.oracle_sql()[name])
 
 
+def test_compact_slots_takes_all_papers(spark, sf_dir, monkeypatch):
+    taken = []
+    monkeypatch.setattr(catalogue.store, "compact_slots", taken.append)
+    catalogue.queries()["compact_slots"](spark, sf_dir)
+    assert taken[0].count() == catalogue.papers(spark, sf_dir).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

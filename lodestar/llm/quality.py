@@ -27,6 +27,9 @@ BOILERPLATE = (
 )
 
 
+MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_bad_lines lost_chars clean_text".split()
+
+
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_percent: base rules. The others belong to the lines: a line with at least
@@ -45,7 +48,8 @@ class Rules:
 
 def line_fails(line: Column, r: Rules = Rules()) -> Column:
     """True for a line that a rule rejects. Blank lines pass. Rules, in order: navigation bars, symbol
-    share, shouting (many letters, none in lower case), missing final punctuation, boilerplate phrases."""
+    share, shouting (many letters, none in lower case), no sentence end anywhere in a
+    long line, boilerplate phrases."""
     letters = F.regexp_replace(line, f"{BLANK}+", "")
     n_symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     bars = F.length(line) - F.length(F.translate(line, "|»", ""))
@@ -81,54 +85,63 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(grams, if_any))
 
 
+def _verdicts(text: Column, r: Rules) -> Column:
+    """An array of one struct: what the rules find in a text. Each step is bound once and read by the next."""
+    t = F.coalesce(text, F.lit(""))
+    ls = F.split(t, "\n")
+    parts = F.struct(
+        words(t).alias("ws"),
+        ls.alias("ls"),
+        F.filter(ls, lambda x: x.rlike(NOT_BLANK)).alias("filled"),
+        F.transform(ls, lambda x: x.rlike(NOT_BLANK) & line_fails(x, r)).alias("bad"),
+    )
+    chars = lambda x: F.length(F.regexp_replace(x, f"{BLANK}+", ""))
+
+    def measured(v: Column) -> Column:
+        lost = F.zip_with(v["ls"], v["bad"], lambda x, b: F.when(b, chars(x)).otherwise(0))
+        left = F.filter(v["ls"], lambda _, i: ~F.get(v["bad"], i))
+        return F.struct(
+            F.size(v["ws"]).cast("long").alias("n_words"),
+            F.aggregate(v["ws"], F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(v["filled"]) - F.size(F.array_distinct(v["filled"]))).cast("long").alias("n_dup_lines"),
+            _repeat_words(v["ws"]).cast("long").alias("n_repeat_words"),
+            F.size(v["filled"]).cast("long").alias("n_lines"),
+            F.size(F.filter(v["bad"], lambda x: x)).cast("long").alias("n_bad_lines"),
+            F.aggregate(lost, F.lit(0).cast("long"), lambda n, x: n + x).alias("lost_chars"),
+            F.when(~F.exists(v["bad"], lambda x: x), text).otherwise(F.array_join(left, "\n")).alias("clean_text"),
+        )
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < r.min_words) | (100 * q["n_repeat_words"] > r.max_repeat_percent * q["n_words"])
+        kept = ~failed & (100 * q["lost_chars"] <= r.max_lost_percent * q["word_chars"])
+        *counts, last = (q[n].alias(n) for n in MEASURES)
+        return F.struct(*counts, last, failed.alias("base_failed"), kept.alias("kept"))
+
+    return F.transform(F.transform(F.array(parts), measured), judged)
+
+
 def score(docs: DataFrame, r: Rules = Rules(), text: str = "text") -> DataFrame:
-    """docs with a struct column `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_lines (with a word), n_bad_lines, lost_chars, kept, clean_text.
+    """docs with a struct column `quality`: MEASURES (n_lines counts lines with a word), base_failed and kept.
 
     A null or empty text has no words and fails the base rules; clean_text is then null or empty. Repeated
-    rows are judged alike. Any other column passes through; a column named `quality` is replaced."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    filled = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_BLANK))
-    chars = lambda x: F.length(F.regexp_replace(x, f"{BLANK}+", ""))
-    measured = docs.withColumn(
-        "quality",
-        let(
-            F.struct(words(t).alias("ws"), filled.alias("ls"), F.transform(filled, lambda x: line_fails(x, r)).alias("bad")),
-            lambda v: F.struct(
-                F.size(v["ws"]).cast("long").alias("n_words"),
-                chars(t).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                (F.size(v["ls"]) - F.size(F.array_distinct(v["ls"]))).cast("long").alias("n_dup_lines"),
-                _repeat_words(v["ws"]).cast("long").alias("n_repeat_words"),
-                F.size(v["ls"]).cast("long").alias("n_lines"),
-                F.size(F.filter(v["bad"], lambda x: x)).cast("long").alias("n_bad_lines"),
-                F.coalesce(
-                    F.aggregate(
-                        F.zip_with(v["ls"], v["bad"], lambda x, b: F.when(b, chars(x)).otherwise(0)),
-                        F.lit(0).cast("long"),
-                        lambda a, x: a + x,
-                    ),
-                    F.lit(0),
-                ).alias("lost_chars"),
-                F.when(~F.exists(v["bad"], lambda x: x), F.col(text))
-                .otherwise(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(NOT_BLANK) | ~line_fails(x, r)), "\n"))
-                .alias("clean_text"),
-            ),
-        ),
-    )
-    q = F.col("quality")
-    failed = (q["n_words"] < r.min_words) | (100 * q["n_repeat_words"] > r.max_repeat_percent * q["n_words"])
-    kept = ~failed & (100 * q["lost_chars"] <= r.max_lost_percent * q["word_chars"])
-    return measured.withColumn("quality", q.withField("base_failed", failed).withField("kept", kept))
+    rows are judged alike; an empty table stays empty. Any other column passes through; one named `quality` is
+    replaced."""
+    return docs.withColumn("quality", _verdicts(F.col(text), r)[0])
 
 
 def clean(docs: DataFrame, r: Rules = Rules(), text: str = "text") -> DataFrame:
-    """The documents kept, with failing lines gone; the columns of docs."""
-    judged = score(docs, r, text).where("quality.kept")
-    return judged.withColumn(text, F.col("quality.clean_text")).select(docs.columns)
+    """The documents kept, with failing lines gone; the columns of docs, whatever their names.
+
+    Null, empty and rejected texts go; of repeated rows all stay or none. The rows that go are those whose array of
+    verdicts is empty, so no filter can be pushed below the rules and make them run again."""
+    found = F.filter(_verdicts(F.col(text), r), lambda q: q["kept"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.explode(found).alias("found"))
+    return rows.select(*((F.col("found.clean_text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and the verdict of every document; cases as in score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_lines n_bad_lines lost_chars"
     return score(docs).select("doc_id", *(f"quality.{n}" for n in names.split()))

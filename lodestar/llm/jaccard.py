@@ -3,11 +3,13 @@
 A text's tokens are its distinct word 5-gram hashes. In an order that puts rare tokens first, two similar sets share
 enough of their first tokens; how many depends on their sizes alone. Rare tokens are indexed singly. Frequent tokens,
 by exact counts of all that a prefix can hold, fall into classes by hash; of a class only combinations of two tokens are indexed, and the
-prefix is longer by one token for each class met, so that a similar pair always shares a key. Candidates
-that small bitmaps do not rule out are verified on the full sets.
+prefix is longer by one token for each class met, so that a similar pair always shares a key.
 
-Posting lists are never expanded into all pairs: each gives a star around its first set, and only sets that are still
-in different components after verification are compared further.
+Posting lists are never expanded into all pairs. A first sweep pairs each set with the next ones of its list, in an
+order that is another one in each list, and verifies those pairs on the full sets: a row or two per posting, which
+joins nearly all that belongs together. Lists that then still hold several components are closed exactly: their sets
+gather at the largest component of the list, once each and not once a key, and there those that are not of it are
+compared with all others by bitmaps, in blocks. What bitmaps cannot rule out is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -29,17 +31,19 @@ MIN_FREQUENT = 32
 MAX_FREQUENT = 1 << 24
 #: Tokens of a frequent class that a prefix is expected to hold.
 CLASS_TOKENS = 4
-#: Lists of keys of frequent tokens are dealt over so many tasks, and their stars' centres meet afterwards.
+#: Lists of keys of frequent tokens are swept in so many parts; what is apart meets when lists are closed.
 SALTS = 16
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 6
+#: In longer lists each set is paired with so many that follow it.
+NEIGHBOURS = 2
 #: Copies of one set beyond this many (or a 100,000th of the rows) are left out of the index but for one.
 MANY_COPIES = 16
 MAX_HOT_SETS = 100_000
-#: Rounds in which open lists compare their sets with one more of their own, before what is left is compared in full.
-CENTRE_ROUNDS = 6
-#: Bits of a set's bitmap at most; larger sets are ruled out less often, and none wrongly.
-MAX_BITMAP_BITS = 16
+#: Sets of a block when lists are closed. A component takes a task for each two of its blocks.
+BLOCK_SETS = 4_096
+#: Bits of a bitmap for each token, at least.
+TOKEN_BITS = 8
 
 _COMBINE, _CLASS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -64,28 +68,28 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A set's tokens as bits at their lowest bits, about one or two a token."""
-    size = min(max(64, 1 << (len(s) - 1).bit_length()), 1 << MAX_BITMAP_BITS) if len(s) else 64
+    """A set's tokens as bits at their lowest bits; the number of bits is a power of two, 64 at least."""
+    size = max(64, 1 << (TOKEN_BITS * len(s) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def may_be_similar(x: bytes, y: bytes, nx: int, ny: int) -> bool:
-    """False only if bitmaps rule out a similarity of 0.8: a bit of one alone is at least one token of it alone."""
-    bits = 8 * min(len(x), len(y))
-    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    a, b = _folded(a, 8 * len(x), bits), _folded(b, 8 * len(y), bits)
-    most = min(nx - (a & ~b).bit_count(), ny - (b & ~a).bit_count())
-    return 180 * most >= 80 * (nx + ny)
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as so few words would have given them."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
 
-def _folded(bitmap_: int, size: int, to: int) -> int:
-    """The bitmap that fewer bits would have given."""
-    while size > to:
-        size //= 2
-        bitmap_ = (bitmap_ | bitmap_ >> size) & ((1 << size) - 1)
-    return bitmap_
+def may_be_similar(x: np.ndarray, n: int, maps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the bitmaps may belong to sets that have a similarity of 0.8 with the set of size n and bitmap x: a bit
+    of one alone is at least one token of it alone, so none is ruled out wrongly."""
+    width = min(len(x), maps.shape[1])
+    x, maps = _folded(x[None], width), _folded(maps, width)
+    most = np.minimum(n - np.bitwise_count(x & ~maps).sum(1, dtype=np.int64), sizes - np.bitwise_count(maps & ~x).sum(1, dtype=np.int64))
+    return 180 * most >= 80 * (n + sizes)
 
 
 def allowed_misses(n: int) -> int:
@@ -143,7 +147,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n, a (the set's size and name) and bits (its bitmap) of each row."""
+    """doc_id, h (hash of the text), n, a and bits (the set's size, name and bitmap) of each row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,10 +155,10 @@ def _measure(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [(len(s), _set_id(s), bitmap(s)) for s in _sets(batch.column(1).to_pylist())]
             n, a, bits = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "a", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "h", "n", "a", "bits"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(slim.mapInArrow(run, "doc_id long, n long, a long, bits binary"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return cut(slim.mapInArrow(run, "doc_id long, h long, n long, a long, bits binary"))
 
 
 def _zone(n: int) -> int:
@@ -263,87 +267,57 @@ def _postings(docs: DataFrame, frequent, hot) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _POSTINGS)
 
 
-_STARS = "kind byte, key long, a long, b long, n long"
+_SWEPT = "key long, a long, b long, n long"
 
 
-def _stars(batches: Iterator) -> Iterator:
-    """From postings sorted by (key, salt, a): candidate pairs (kind 0: a < b), the centres of salted lists (kind 1),
-    and the members of salted lists and of those too long for all their pairs (kind 2). A list goes by; only its first
-    SHORT_LIST sets and the last row are held."""
-    import pyarrow as pa
+def _near(n, m):
+    """Whether sizes alone allow a similarity of 0.8."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
-    state: dict = {"id": None, "first": [], "size": 0, "last": None}
 
-    def table(parts: list[tuple]) -> pa.RecordBatch:
-        kind = np.concatenate([np.full(len(p[1]), p[0], np.int8) for p in parts])
-        cols = [np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in (1, 2, 3, 4)]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], names=["kind", "key", "a", "b", "n"])
+def _sweep(batches: Iterator) -> Iterator:
+    """From postings sorted by (key, salt, an order of the list's own, a): candidate pairs (a < b, key null), and the
+    members (b null) of salted lists and of those too long for all their pairs.
+
+    A list goes by; of one that goes on at most SHORT_LIST rows are held: all while it is short, then the last ones."""
+    import pyarrow as pa
 
+    held = [np.empty(0, np.int64)] * 5  # key, salt, a, n, place in the list
     for batch in batches:
-        key, a, n, salt = (batch.column(c).to_numpy() for c in ("key", "a", "n", "salt"))
-        if not len(key):
+        old = len(held[0])
+        key, salt, a, n = (np.r_[h, batch.column(c).to_numpy().astype(np.int64)] for h, c in zip(held, ("key", "salt", "a", "n")))
+        if len(key) == old:
             continue
-        parts: list[tuple] = []
-        new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-        starts = np.flatnonzero(new)
-        ends = np.r_[starts[1:], len(key)]
-        goes_on = state["id"] == (key[0], salt[0])
-        # lists of one set that end here and do not go on: nothing but their centres matters
-        alone = (ends - starts == 1)
-        alone[-1] = False
-        if goes_on:
-            alone[0] = False
-        lone = starts[alone]
-        lone = lone[salt[lone] > 0]
-        parts.append((1, key[lone], a[lone], a[lone], n[lone]))
-        pair_a, pair_b, pair_n = [], [], []
-        longs: list[tuple] = []
-        for s, e in zip(starts[~alone].tolist(), ends[~alone].tolist()):
-            here = (key[s], salt[s])
-            if state["id"] != here:
-                state = {"id": here, "first": [], "size": 0, "last": None}
-                if salt[s] > 0:
-                    parts.append((1, key[s : s + 1], a[s : s + 1], a[s : s + 1], n[s : s + 1]))
-            names, first = np.unique(a[s:e], return_index=True)
-            counts = n[s:e][first]
-            if len(names) and state["last"] == names[0]:
-                names, counts = names[1:], counts[1:]
-            if not len(names):
-                continue
-            for x, m in zip(names[: SHORT_LIST].tolist(), counts[: SHORT_LIST].tolist()):
-                if len(state["first"]) < SHORT_LIST:
-                    for y, k in state["first"]:
-                        if 5 * min(k, m) >= 4 * max(k, m):
-                            pair_a.append(min(x, y)), pair_b.append(max(x, y)), pair_n.append(0)
-                    state["first"].append((x, m))
-            before, state["size"] = state["size"], state["size"] + len(names)
-            state["last"] = int(names[-1])
-            if state["size"] > SHORT_LIST:
-                centre, k = state["first"][0]
-                near = 5 * np.minimum(counts, k) >= 4 * np.maximum(counts, k)
-                near &= names != centre
-                longs.append((0, np.zeros(near.sum()), np.minimum(names[near], centre), np.maximum(names[near], centre), np.zeros(near.sum())))
-                if 0 < before <= SHORT_LIST and not here[1]:
-                    f = np.array(state["first"][:before], np.int64)
-                    longs.append((2, np.full(len(f), here[0]), f[:, 0], f[:, 0], f[:, 1]))
-            if state["size"] > SHORT_LIST or here[1]:  # of a salted list all are members, as its key has other lists
-                longs.append((2, np.full(len(names), here[0]), names, names, counts))
-        if pair_a:
-            parts.append((0, pair_n, pair_a, pair_b, pair_n))
-        parts += longs
-        out = table(parts)
-        if len(out):
-            yield out
-
-
-def _centre_pairs(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Salted lists of one key meet in their centres: pairs with the key's first centre, and all centres of a key with
-    more than one as members for the later comparison. A key has at most SALTS centres."""
-    centres = stars.where("kind = 1").groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("c")).where(F.size("c") > 1)
-    one = centres.select("key", F.array_min("c").alias("x"), F.explode("c").alias("y"))
-    near = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
-    pairs = one.where(near & (F.col("x.a") != F.col("y.a"))).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-    return pairs, one.select("key", F.col("y.a").alias("a"), F.col("y.n").alias("n"))
+        again = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (a[1:] == a[:-1])
+        fresh = np.r_[True, ~again]
+        key, salt, a, n = (x[fresh] for x in (key, salt, a, n))
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        sizes = np.diff(np.r_[starts, len(key)])
+        list_, place = np.repeat(np.arange(len(starts)), sizes), np.arange(len(key)) - np.repeat(starts, sizes)
+        if old:
+            place[: sizes[0]] += held[4][0]
+        lefts, rights = [], []
+        for d in range(1, SHORT_LIST):
+            i = np.arange(max(old - d, 0), len(key) - d)
+            j = i + d
+            met = (list_[i] == list_[j]) & _near(n[i], n[j]) & ((d <= NEIGHBOURS) | (place[j] < SHORT_LIST))
+            lefts.append(a[i[met]]), rights.append(a[j[met]])
+        x, y = np.concatenate(lefts), np.concatenate(rights)
+        long_ = (place[starts + sizes - 1] >= SHORT_LIST)[list_]
+        new = np.arange(len(key)) >= old
+        member = np.where(salt > 0, new, long_ & (new | (place < SHORT_LIST)))
+        last = np.arange(starts[-1], len(key))
+        if place[-1] >= SHORT_LIST:
+            last = last[-NEIGHBOURS:]
+        held = [v[last] for v in (key, salt, a, n, place)]
+        m, k = int(member.sum()), len(x)
+        if m + k:
+            null = lambda v, pair: pa.array(v, mask=np.r_[np.full(k, pair), np.full(m, not pair)])
+            zeros = np.zeros(k, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [null(np.r_[zeros, key[member]], True), pa.array(np.r_[np.minimum(x, y), a[member]]), null(np.r_[np.maximum(x, y), a[member]], False), null(np.r_[zeros, n[member]], True)],
+                names=["key", "a", "b", "n"],
+            )
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -358,23 +332,25 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             part = batch.filter(pa.array(bitfilter.has(shared.value, batch.column(2).to_numpy().view(np.uint64))))
             if not len(part):
                 continue
-            rows = [(s, _set_id(s)) for s in _sets(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for _, x in rows], pa.int64()), pa.array([s.tobytes() for s, _ in rows], pa.binary())], names=["doc_id", "a", "tokens"])
+            rows = [(_set_id(s), s.tobytes()) for s in _sets(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary())))], names=["doc_id", "a", "tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id"))
     made = docs.mapInArrow(run, "doc_id long, a long, tokens binary")
-    return cut(made.join(wanted, (made["a"] == wanted["a"]) & made["doc_id"].eqNullSafe(wanted["first"]), "left_semi").dropDuplicates(["a"]).select("a", "tokens"))
+    return cut(made.join(wanted, (made["a"] == wanted["a"]) & made["doc_id"].eqNullSafe(wanted["first"]), "left_semi").dropDuplicates(["a"]).drop("doc_id"))
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sets' sizes and bitmaps do not rule out."""
+    """The pairs (a, b) that the sets' bitmaps do not rule out."""
     left, right = sets.select("a", "bits", "n").toDF("a", "x", "nx"), sets.select("a", "bits", "n").toDF("b", "y", "ny")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keep = [may_be_similar(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny")))]
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
+            nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+            keep = [bool(may_be_similar(p, nx[i], q[None], ny[i : i + 1])[0]) for i, (p, q) in enumerate(zip(x, y))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
@@ -382,8 +358,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more. Only sets of plausible pairs are made again."""
-    pairs = cut(_plausible(pairs, sets))
+    """The pairs (a, b), from a written table, whose sets have a similarity of 0.8 or more. Only their sets are made again."""
     named = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
     arrays = _arrays(docs, cut(sets.join(named, "a", "left_semi").select("a", "first")))
     left, right = arrays.toDF("a", "x"), arrays.toDF("b", "y")
@@ -438,67 +413,111 @@ def _extend(labels: DataFrame, verified: DataFrame) -> DataFrame:
     return cut(moved)
 
 
-def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, a, n, l (component) of the lists that still hold several components."""
-    placed = cut(members.join(labels.toDF("a", "l"), "a", "left").select("key", "a", "n", F.coalesce("l", "a").alias("l")))
-    mixed = placed.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("key")
-    return cut(placed.join(mixed, "key", "left_semi"))
+def _gathered(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """home, a, l (component of a), each once: the sets of lists that hold several components, at the largest one of
+    their list (by sets, then by name). Two sets of one list have a home in common."""
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("a"), F.col("label").alias("l"), "size")
+    placed = cut(members.join(sized, "a", "left").select("key", "a", F.coalesce("l", "a").alias("l"), F.coalesce("size", F.lit(1)).alias("size")))
+    homes = placed.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.max(F.struct("size", "l")).alias("top"))
+    homes = homes.where("low <> high").select("key", F.col("top.l").alias("home"))
+    return cut(placed.join(homes, "key").select("home", "a", "l").distinct())
 
 
-def _close_lists(members: DataFrame, pairs: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """labels after comparing all sets of a list that are in different components.
+_COMPARED = "home long, q int, m int, kind int, a long, l long, n long, bits binary"
 
-    First in rounds: each list compares its sets with one of them, another each time, which takes a row per member
-    and joins most of what belongs together. In the end all that is still apart is compared pair by pair."""
-    fits = F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    done = pairs
-    for turn in range(CENTRE_ROUNDS):
-        open_ = _open_lists(members, labels)
-        if open_.isEmpty():
-            return labels
-        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("o"), "a", "n", "l")).alias("c"))
-        centre = centre.select("key", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), F.col("c.l").alias("lb"))
-        x = open_.toDF("key", "a", "na", "la")
-        both = x.join(centre, "key").where(fits & (F.col("la") != F.col("lb"))).select("a", "b", "la", "lb")
-        swapped = F.col("a") > F.col("b")
-        both = both.select(*(F.when(swapped, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la")))).distinct()
-        both = cut(both.join(done, ["a", "b"], "left_anti"))
-        if both.isEmpty():
-            continue  # this turn's centres have been compared before
-        found = cut(_similar(both.select("a", "b"), docs, sets).join(both, ["a", "b"]))
-        done = cut(done.union(both.select("a", "b")))
-        if found.isEmpty():
-            break
-        labels = _extend(labels, found)
-    open_ = _open_lists(members, labels)
-    x, y = open_.toDF("key", "a", "na", "la"), open_.toDF("key", "b", "nb", "lb")
-    apart = x.join(y, "key").where(fits & F.expr("la <> lb AND a < b")).select("a", "b", "la", "lb").distinct()
-    apart = cut(apart.join(done, ["a", "b"], "left_anti"))
-    return _extend(labels, cut(_similar(apart.select("a", "b"), docs, sets).join(apart, ["a", "b"])))
 
+def _compare(batches: Iterator) -> Iterator:
+    """From rows sorted by (home, q, m, kind): the pairs of a set that is not of the home component (kind 0) with any
+    other set (kind 1) that lie in different components and that bitmaps do not rule out. The rows of kind 0 of one
+    block are held, by the width of their bitmaps; those of kind 1 go by."""
+    import pyarrow as pa
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs: texts link when 100 * intersection >= 80 * union of their
-    shingle sets (words between blanks, A-Z in lower case).
+    here, strays = None, {}
 
-    component_id is the smallest doc_id reachable by links, itself included. A null or empty text has an empty set and
-    no links, and a null doc_id then stays null. Equal sets are one class, so copies are never paired with each
-    other; rows that repeat are members like any other. Other columns are ignored."""
+    def split(part) -> dict[int, tuple]:
+        widths = part.column("bits").cast(pa.binary())
+        bits = widths.to_pylist()
+        size = np.array([len(b) // 8 for b in bits], np.int64)
+        a, l, n = (part.column(c).to_numpy() for c in ("a", "l", "n"))
+        out = {}
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero(size == w)
+            maps = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w)
+            out[w] = (a[at], l[at], n[at], maps)
+        return out
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        home, q, m, kind = (batch.column(c).to_numpy() for c in ("home", "q", "m", "kind"))
+        starts = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (q[1:] != q[:-1]) | (m[1:] != m[:-1]) | (kind[1:] != kind[:-1])])
+        lefts, rights = [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(home)]):
+            if here != (home[s], q[s], m[s]):
+                here, strays = (home[s], q[s], m[s]), {}
+            part = split(batch.slice(s, e - s))
+            if kind[s] == 0:
+                for w, found in part.items():
+                    strays[w] = tuple(map(np.concatenate, zip(strays[w], found))) if w in strays else found
+                continue
+            for w, (a, l, n, maps) in part.items():
+                at_home = l == home[s]
+                for v in (w // 2, w, 2 * w):  # sizes that allow a similarity of 0.8 give widths that differ by 2 at most
+                    for x, lx, nx, bx in zip(*strays.get(v, ())):
+                        may = np.flatnonzero((l != lx) & (at_home | (x < a)) & _near(nx, n))
+                        may = may[may_be_similar(bx, nx, maps[may], n[may])] if len(may) else may
+                        lefts.append(np.full(len(may), x)), rights.append(a[may])
+        if lefts:
+            x, y = np.concatenate(lefts), np.concatenate(rights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _close_lists(members: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """labels after comparing all sets of a list that are in different components.
+
+    Of a home with many sets, blocks of strays meet blocks of all its sets, each two in a task of their own."""
+    found = _gathered(members, labels)
+    sizes = found.groupBy("home").agg(F.count("*").alias("all"), F.sum((F.col("l") != F.col("home")).cast("long")).alias("strays"))
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK_SETS).cast("int")
+    sizes = sizes.select("home", blocks_of("strays").alias("qs"), blocks_of("all").alias("ms"))
+    rows = cut(found.join(sizes, "home").join(sets.select("a", "n", "bits"), "a"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where("l <> home").select("home", dealt("qs", 0).alias("q"), every("ms").alias("m"), F.lit(0).alias("kind"), "a", "l", "n", "bits")
+    others = rows.select("home", every("qs").alias("q"), dealt("ms", 1).alias("m"), F.lit(1).alias("kind"), "a", "l", "n", "bits")
+    met = strays.union(others).repartition("home", "q", "m").sortWithinPartitions("home", "q", "m", "kind")
+    pairs = cut(met.mapInArrow(_compare, "a long, b long").distinct())
+    linked = _similar(pairs, docs, sets)
+    placed = lambda x, l: labels.toDF(x, l)
+    joined = linked.join(placed("a", "la"), "a", "left").join(placed("b", "lb"), "b", "left")
+    return _extend(labels, cut(joined.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))))
+
+
+def _components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, a of each row; a, label, component_id of each set that is not empty, label a set of its component)."""
     spark = docs.sparkSession
     rows = _measure(docs)
     sets = cut(rows.where("n > 0").groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     hot = spark.sparkContext.broadcast(_hot_sets(rows.where("n > 0"), rows.count()))
-    frequent = _frequent(docs, hot)
-    postings = _postings(docs, frequent, hot)
-    stars = cut(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "a").mapInArrow(_stars, _STARS))
-    centre_pairs, centres = _centre_pairs(stars)
-    pairs = cut(stars.where("kind = 0").select("a", "b").union(centre_pairs).distinct())
-    members = cut(stars.where("kind = 2").select("key", "a", "n").union(centres).distinct())
+    postings = _postings(docs, _frequent(docs, hot), hot)
+    order = F.xxhash64("key", "a")
+    swept = cut(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", order, "a").mapInArrow(_sweep, _SWEPT))
+    pairs = cut(_plausible(swept.where("key IS NULL").select("a", "b").distinct(), sets))
     labels = cut(components(_similar(pairs, docs, sets)))
-    labels = _close_lists(members, pairs, labels, docs, sets)
+    labels = _close_lists(swept.where("key IS NOT NULL").select("key", "a"), labels, docs, sets)
     grouped = sets.join(labels.toDF("a", "label"), "a", "left").select("a", "first", F.coalesce("label", "a").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_set = grouped.join(smallest, "label").select("a", "component_id")
+    return rows, grouped.join(smallest, "label").select("a", "label", "component_id")
+
+
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of docs: texts link when 100 * intersection >= 80 * union of their
+    shingle sets (words between blanks, A-Z in lower case).
+
+    component_id is the smallest doc_id reachable by links, itself included. A null or empty text has an empty set and
+    no links, and a null doc_id then stays null. Equal sets are one class, so copies are never paired with each
+    other; rows that repeat are members like any other. Other columns are ignored."""
+    rows, of_set = _components_of_sets(docs)
     filled = rows.where("n > 0").join(of_set, "a").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -511,11 +530,11 @@ def link_counts(docs: DataFrame) -> DataFrame:
     class. A null or empty text has no links."""
     rows = _measure(docs)
     filled = rows.where("n > 0")
-    sets = cut(filled.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies")))
+    sets = cut(filled.groupBy("a").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     hot = docs.sparkSession.sparkContext.broadcast(_hot_sets(filled, rows.count()))
     lists = cut(_postings(docs, _frequent(docs, hot), hot).select("key", "a", "n").distinct())
     near = F.expr("a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    pairs = lists.toDF("key", "a", "na").join(lists.toDF("key", "b", "nb"), "key").where(near).select("a", "b").distinct()
+    pairs = cut(lists.toDF("key", "a", "na").join(lists.toDF("key", "b", "nb"), "key").where(near).select("a", "b").distinct())
     linked = cut(_similar(pairs, docs, sets))
     both = linked.union(linked.select("b", "a"))
     others = both.join(sets.select(F.col("a").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
@@ -524,14 +543,23 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; the columns of docs.
-
-    Rows with a null doc_id stay, as nothing tells them apart; of rows that share the smallest id one stays."""
-    found = similarity_components(docs)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(left.where(F.col("doc_id").isNull()))
+    """Of each group of linked documents the one with the smallest doc_id; the columns of docs, whatever their names.
+
+    Rows are known by id and text, so another text under the id of a copy is judged for itself; of two linked texts under
+    one id the one with the smaller hash stays, and of rows that repeat both id and text one. Rows with a null doc_id and
+    those without words stay, as nothing tells them apart or links them."""
+    rows, of_set = _components_of_sets(docs)
+    known = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count("*").alias("copies"), F.first("a").alias("a"))
+    placed = cut(known.join(of_set, "a").select("doc_id", "h", "copies", "label"))
+    first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.doc_id", "first.h")
+    gone = placed.join(first, ["doc_id", "h"], "left_anti").select("doc_id", "h")
+    again = placed.where("copies > 1").join(first, ["doc_id", "h"], "left_semi").select("doc_id", "h")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    apart = packed.join(gone.union(again), ["doc_id", "h"], "left_anti")
+    one = packed.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return apart.union(one).select("row.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; cases as in similarity_components."""
     return similarity_components(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.llm import jaccard
 
@@ -83,13 +84,62 @@ def test_link_counts(spark, monkeypatch, frequent):
     assert jaccard.link_counts(cases.empty(spark)).count() == 0
 
 
+def test_close_lists(spark, monkeypatch):
+    """One list of sets that no sweep has joined, in blocks of three: widths of bitmaps, strays and homes of all sizes."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    texts = [t for seed in range(3) for t in group(seed, 20, 40 + 90 * seed, 6)] + ["one", "two words"]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    docs = cases.documents(spark, rows)
+    measured = jaccard._measure(docs)
+    sets = measured.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    members = sets.select(F.lit(7).cast("long").alias("key"), "a")
+    pairs = members.join(members.toDF("key", "b"), "key").where("a < b AND a % 3 = 0 AND b % 3 = 0").select("a", "b")
+    some = jaccard.components(jaccard._similar(pairs, docs, sets))
+    for labels in (some, some.limit(0)):
+        closed = {r["node"]: r["label"] for r in jaccard._close_lists(members, labels, docs, sets).collect()}
+        of = {r["doc_id"]: closed.get(r["a"], r["a"]) for r in measured.collect()}
+        want = {d: c for (d, _), (_, c) in zip(rows, cases.components(rows))}
+        assert len(set(zip(of.values(), (want[d] for d in of)))) == len(set(of.values())) == len(set(want.values()))
+
+
+def test_large_group(spark):
+    """Some hundreds of near copies, many of them with no link at all, over several posting lists."""
+    rows = list(enumerate(group(9, 400, 70, 9)))
+    want = expected(rows)
+    assert len({c for *_, c in want}) > 40
+    assert found(jaccard.similarity_components(cases.documents(spark, rows))) == want
+
+
+@given(st.integers(1, 300), st.integers(0, 2**32), st.integers(0, 120))
+@settings(max_examples=200, deadline=None)
+def test_bitmaps_rule_out_no_link(n, seed, edits):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+    y = np.unique(np.r_[rng.choice(x, max(1, len(x) - edits), replace=False), rng.integers(0, 2**63, rng.integers(0, edits + 1), np.uint64)])
+    both = len(np.intersect1d(x, y))
+    bits = [np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (x, y)]
+    if 100 * both >= 80 * (len(x) + len(y) - both):
+        assert jaccard.may_be_similar(bits[0], len(x), bits[1][None], np.array([len(y)]))[0]
+
+
 def test_keep_one(spark):
-    docs = cases.documents(spark)
+    """Each component keeps one row, also where other rows carry its id; what has no id or no words stays."""
+    rows = [*cases.TEXTS, (20, "alpha beta"), (21, "alpha beta"), (21, "gamma delta"), (22, "gamma delta"), (22, None), (22, None)]
+    docs = cases.documents(spark, rows)
     left = jaccard.keep_one(docs)
     assert left.columns == docs.columns
-    ids = sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None)
-    gone = {d for d, _, c in expected(cases.TEXTS) if d is not None and c is not None and c < d}
-    assert ids == sorted({d for d, _ in cases.TEXTS if d is not None} - gone)
+    groups = []  # of one text each, joined while two of them link
+    for d, t in rows:
+        own = [(d, t, cases.shingle_set(t))]
+        for g in [g for g in groups if any(s and 100 * len(s & own[0][2]) >= 80 * len(s | own[0][2]) for *_, s in g)]:
+            groups.remove(g)
+            own += g
+        groups.append(own)
+    want = [(d, t) for d, t in rows if d is None or not cases.words(t)]
+    for g in groups:
+        want += sorted({(d, t) for d, t, s in g if d is not None and s})[:1]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard.keep_one(cases.empty(spark)).count() == 0
 
 
 def test_query(spark, sf_dir):

@@ -3,25 +3,31 @@
 Every passage of the corpus is a query. Test items, and their questions and answers each for itself, are cut into
 chunks of at most CHUNK words; a chunk's BM25
 impacts are divided by its score against itself, so one threshold serves all. Passages of 2 * CHUNK words step by
-CHUNK, so a chunk that was copied stands whole in one of them. Per block of chunks the commonest terms that
-together stay below the threshold are set aside; a passage is scored against a block only if the block maxima of
-its other terms, with the most that those set aside can add, reach the threshold. No pair above it is lost.
-Retrieved items are then verified by the overlap of question and answer in word n-grams: of the question for itself, of
-both together, or of a chunk of CHUNK words.
+CHUNK, so a chunk that was copied stands whole in one of them.
+
+Retrieval is block-max WAND. Per block of chunks the commonest terms that together stay below the threshold are set
+aside; a block is a pivot of a passage only if the maxima of its other terms, with the most that those set aside can
+add, reach the threshold. These bounds are taken over whole batches of texts. Then the cursors of all terms of a passage
+skip from pivot to pivot over their sorted blocks, and the postings at a pivot are read only if the block maxima of all
+terms there reach the threshold as well. No pair above it is lost. Retrieved items are then verified by overlap in word
+n-grams: of the question for itself, of the answer for itself if it is half of the item or more, of both, or of a chunk
+of CHUNK words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import split
+from .hashing import blocks, split
 from .common import table
 
 CHUNK = 64
@@ -32,6 +38,8 @@ MIN_OVERLAP = 0.5
 GRAM = 5
 #: Bytes of item text in one index. Larger benchmarks take several indexes, applied one after another.
 INDEX_BYTES = 16_000_000
+#: Indexes that a worker holds at once.
+PASS_INDEXES = 4
 _MEMO_ENTRIES = 600_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -85,14 +93,16 @@ class Grams(dict):
 
 @dataclass
 class Index:
-    """vocabulary: term number of each term. scored: for each term the postings (chunk, impact). essential: for each
-    term number the slice of (blocks, maxima) in which it counts; rest: what a block's other terms add at most."""
+    """vocabulary: term number of each term. scored: for each term the postings (chunk, impact). cursors: for each term
+    its blocks in order, their maxima and their postings. starts: for each term the slice of (blocks, maxima) in which it
+    is essential; rest: what a block's other terms add at most."""
 
     items: list[tuple[int, list[str], list[str]]]
     chunk_item: np.ndarray
     chunk_span: list[tuple[int, int]]
     vocabulary: dict[str, int]
     scored: list[dict[int, float]]
+    cursors: list[tuple[list[int], list[float], list[list[tuple[int, float]]]]]
     starts: np.ndarray
     blocks: np.ndarray
     maxima: np.ndarray
@@ -133,59 +143,94 @@ class Index:
                     aside = grown
             rest[b] = max(aside.values(), default=0.0)
         flat = [x for e in essential for x in e]
+        cursors = []
+        for postings in scored:
+            at_block: dict[int, list[tuple[int, float]]] = {}
+            for c, x in sorted(postings.items()):
+                at_block.setdefault(c // BLOCK, []).append((c, x))
+            cursors.append((list(at_block), [max(x for _, x in ps) for ps in at_block.values()], list(at_block.values())))
         return Index(
             items, np.array([k for k, _ in chunks], np.int64), [span for _, span in at], vocabulary, scored,
+            cursors,
             np.cumsum([0, *map(len, essential)]), np.array([b for b, _ in flat], np.int64), np.array([x for _, x in flat], float), rest,
         )
 
 
-class Searcher:
-    """Retrieval and verification over one index; remembers the term numbers of words seen."""
+class _Numbers(dict):
+    """Term numbers of words, -1 for words that no item has."""
 
-    def __init__(self, index: Index, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP):
-        self._index, self._min, self._overlap, self._memo = index, min_score, min_overlap, {}
+    def __init__(self, vocabulary: dict[str, int]):
+        self._vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        self._memo[word] = found = self._index.vocabulary.get(term(word), -1)
+        self[word] = found = self._vocabulary.get(term(word), -1)
         return found
 
+
+class Searcher:
+    """Retrieval and verification over one index; remembers the term numbers of words seen."""
+
+    def __init__(self, index: Index, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP):
+        self._index, self._least, self._overlap, self._memo = index, min_score - 1e-9, min_overlap, _Numbers(index.vocabulary)
+
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         if len(self._memo) > _MEMO_ENTRIES:
             self._memo.clear()
-        memo, known = self._memo, self.__missing__
-        return np.fromiter((memo[w] if w in memo else known(w) for w in ws), np.int64, len(ws))
+        return np.fromiter(map(self._memo.__getitem__, ws), np.int64, len(ws))
 
-    def passages(self, numbers: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(passage, chunk, score) for all that reach the threshold."""
-        ix, n = self._index, len(numbers)
-        if not n or not len(ix.blocks):
-            return
+    def _pivots(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, passage, block), in order, where the bound reaches the threshold, of texts with so many words each."""
+        ix, none = self._index, np.empty(0, np.int64)
+        first, n_passages = np.cumsum(sizes) - sizes, np.maximum(-(-sizes // CHUNK) - 1, 1)
+        before = np.cumsum(n_passages) - n_passages
         at = np.flatnonzero(numbers >= 0)
+        if not len(at) or not len(ix.blocks):
+            return none, none, none
         t = numbers[at]
-        counts = ix.starts[t + 1] - ix.starts[t]
-        at, t, counts = at[counts > 0], t[counts > 0], counts[counts > 0]
-        if not len(at):
-            return
-        last = max(-(-n // CHUNK) - 2, 0)
-        half = at // CHUNK
+        held = ix.starts[t + 1] > ix.starts[t]
+        at, t = at[held], t[held]
+        owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+        half = (at - first[owner]) // CHUNK
         # a word of half-window h belongs to passages h - 1 and h
-        p = np.concatenate([np.maximum(half - 1, 0), np.minimum(half, last)])
-        pairs = np.unique(p * len(ix.scored) + np.concatenate([t, t]))
+        p = before[owner] + np.concatenate([np.maximum(half - 1, 0), np.minimum(half, n_passages[owner] - 1)]).reshape(2, -1)
+        pairs = np.unique((p * len(ix.scored) + t).ravel())
         p, t = pairs // len(ix.scored), pairs % len(ix.scored)
         counts = ix.starts[t + 1] - ix.starts[t]
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        posting = np.repeat(ix.starts[t], counts) + inside
+        posting = np.repeat(ix.starts[t] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         cell, which = np.unique(np.repeat(p, counts) * len(ix.rest) + ix.blocks[posting], return_inverse=True)
-        bound = np.bincount(which, ix.maxima[posting]) + ix.rest[cell % len(ix.rest)]
-        for c in cell[bound >= self._min - 1e-9]:
-            passage, block = divmod(int(c), len(ix.rest))
+        bound = np.bincount(which, ix.maxima[posting], len(cell)) + ix.rest[cell % len(ix.rest)]
+        left = cell[bound >= self._least]
+        p, block = left // len(ix.rest), left % len(ix.rest)
+        text = np.searchsorted(before, p, "right") - 1
+        return text, p - before[text], block
+
+    def _wand(self, held: list[int], pivots: list[int]) -> Iterator[tuple[int, float]]:
+        """(chunk, score) of the chunks in the pivots, in order, that reach the threshold against these terms."""
+        cursors = [self._index.cursors[t] for t in held]
+        places = [0] * len(held)
+        for pivot in pivots:
+            here, most = [], 0.0
+            for k, (at, maxima, postings) in enumerate(cursors):
+                i = places[k] = bisect_left(at, pivot, places[k])
+                if i < len(at) and at[i] == pivot:
+                    here.append(postings[i])
+                    most += maxima[i]
+            if most >= self._least:
+                score: Counter = Counter()
+                for chunk, x in chain.from_iterable(here):
+                    score[chunk] += x
+                yield from ((chunk, x) for chunk, x in score.items() if x >= self._least)
+
+    def _retrieved(self, numbers: np.ndarray, passages: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        starts = np.flatnonzero(np.diff(passages, prepend=-1))
+        for passage, own in zip(passages[starts].tolist(), np.split(pivots, starts[1:])):
             held = np.unique(numbers[passage * CHUNK : (passage + 2) * CHUNK])
-            score: Counter = Counter()
-            for number in held[held >= 0]:
-                for chunk, x in ix.scored[number].items():
-                    if chunk // BLOCK == block:
-                        score[chunk] += x
-            yield from ((passage, chunk, x) for chunk, x in score.items() if x >= self._min - 1e-9)
+            yield from ((passage, chunk, x) for chunk, x in self._wand(held[held >= 0].tolist(), own.tolist()))
+
+    def passages(self, numbers: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, chunk, score) for all of one text that reach the threshold."""
+        _, passage, block = self._pivots(numbers, np.array([len(numbers)]))
+        return self._retrieved(numbers, passage, block)
 
     def _holds_chunk(self, item: int, chunks: set[int], grams: Grams) -> bool:
         """Whether one of the item's chunks of CHUNK words is verified for itself: a long passage of a longer item."""
@@ -197,10 +242,25 @@ class Searcher:
 
     def find(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
         """(item_id, passage start in words, score, question overlap, answer overlap), each item once."""
-        ws, ix = split(text), self._index
+        return dict(self.find_all([text])).get(0, [])
+
+    def find_all(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, float, float, float]]]]:
+        """(number of the text, what find gives) of each text with a passage that the bound leaves."""
+        for a, b in blocks([len(t or "") // 5 for t in texts]):
+            words = [split(t) for t in texts[a:b]]
+            sizes = np.array([len(ws) for ws in words])
+            numbers, ends = self.numbers([w for ws in words for w in ws]), np.cumsum(sizes)
+            text, passage, block = self._pivots(numbers, sizes)
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            for k, s, e in zip(text[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(text)]):
+                own = numbers[ends[k] - sizes[k] : ends[k]]
+                yield a + k, self._verified(words[k], self._retrieved(own, passage[s:e], block[s:e]))
+
+    def _verified(self, ws: list[bytes], retrieved: Iterator[tuple[int, int, float]]) -> list[tuple[int, int, float, float, float]]:
+        ix = self._index
         best: dict[int, tuple[tuple[float, int], float, int]] = {}
         held: dict[int, tuple[int, int, set[int]]] = {}
-        for passage, chunk, score in self.passages(self.numbers(ws)):
+        for passage, chunk, score in retrieved:
             item, (a, b) = int(ix.chunk_item[chunk]), ix.chunk_span[chunk]
             rank = (round(score, 9), b - a)  # of equal scores that of the longer chunk
             if item not in best or rank > best[item][0]:
@@ -215,8 +275,9 @@ class Searcher:
             around = ws[max(0, low * CHUNK - size) : (high + 2) * CHUNK + size]
             grams = Grams([t for t in map(term, around) if t])
             q, a = overlap(question, grams), overlap(answer, grams)
-            alone = q >= self._overlap and len(question) >= GRAM
-            if alone or q * len(question) + a * len(answer) >= self._overlap * size or self._holds_chunk(item, chunks, grams):
+            asked, answered = q >= self._overlap, a >= self._overlap
+            alone = asked and len(question) >= GRAM or answered and len(answer) >= GRAM and 2 * len(answer) >= size
+            if alone or asked and answered or self._holds_chunk(item, chunks, grams):
                 found.append((number, at * CHUNK, score, q, a))
         return found
 
@@ -250,20 +311,27 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator:
         yield spark.sparkContext.broadcast(Index.build(own, known, known["\n\n"], known["\n"] / known["\n\n"]))
 
 
+def _passes(items: DataFrame) -> list[list]:
+    """The indexes in groups that one pass over the texts applies together."""
+    made = list(indexes(items))
+    return [made[i : i + PASS_INDEXES] for i in range(0, len(made), PASS_INDEXES)]
+
+
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Leaks (FOUND_SCHEMA): one row per document row and item that it holds, with the best passage.
 
     All passages of all texts are queried. A null or empty text holds nothing; repeated rows repeat their leaks;
     items with equal texts are all reported; null ids stay null; other columns are ignored."""
     parts = []
-    for index in indexes(items):
+    for group in _passes(items):
 
-        def run(batches: Iterator, index=index) -> Iterator:
+        def run(batches: Iterator, group=group) -> Iterator:
             import pyarrow as pa
 
-            searcher = Searcher(index.value)
+            searchers = [Searcher(index.value) for index in group]
             for batch in batches:
-                rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for x in searcher.find(text.as_py())]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                rows = [(ids[k], *x) for searcher in searchers for k, found in searcher.find_all(texts) for x in found]
                 if rows:
                     kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FOUND_SCHEMA.split(", ")])
@@ -276,21 +344,26 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; no shuffle, the columns of docs."""
+    """docs without the rows that hold an item; no shuffle, the columns of docs. Null and empty texts stay, repeated
+    rows stay or go together."""
     kept = docs
-    for index in indexes(items):
+    for group in _passes(items):
 
-        def run(batches: Iterator, index=index) -> Iterator:
+        def run(batches: Iterator, group=group) -> Iterator:
             import pyarrow as pa
 
-            searcher = Searcher(index.value)
+            searchers = [Searcher(index.value) for index in group]
             for batch in batches:
-                clean = [not searcher.find(text.as_py()) for text in batch.column(batch.schema.get_field_index("text"))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                clean = np.ones(len(texts), bool)
+                for searcher in searchers:
+                    clean[[k for k, found in searcher.find_all(texts) if found]] = False
+                yield batch.filter(pa.array(clean))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds; cases as in find."""
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -22,6 +22,8 @@ from .common import cut, table
 
 CAPACITY = 1024
 END_ID = 2
+#: The special token of the vocabulary (fixed value); its id follows those of the others.
+SPECIAL = "<|endoftext|>"
 _MEMO_ENTRIES = 400_000
 _SPACED = re.compile(r"\s (?:\s|\Z)")
 
@@ -35,6 +37,8 @@ def default_vocabulary() -> str:
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, remembered by blank-separated chunk.
 
+    The vocabulary's special token is one id wherever its string stands in a text; what lies between is encoded by itself.
+
     The pre-tokenizer never joins text across a single space that follows a non-blank, so chunks that begin at such
     a space can be encoded alone. Texts with other runs of blanks around a space are encoded whole."""
 
@@ -48,11 +52,15 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._memo = _Memo(self._plain)
+        self._special = array("I", [len(ranks)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return array("I", self._bpe.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        return self._special.join(map(self._between, text.split(SPECIAL)))
+
+    def _between(self, text: str) -> bytes:
         if _SPACED.search(text):
             return self._plain(text)
         first, *rest = text.split(" ")
@@ -177,7 +185,7 @@ def _ranked(rows: DataFrame, bucket_rows: int) -> DataFrame:
     starts = dealt.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_n", F.row_number().over(inside) - 1)
     return ranked.join(starts, ["length", "_bucket"]).withColumn("rank", F.col("_start") + F.col("_n")).drop("_bucket", "_start", "_n")
 
@@ -205,4 +213,5 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 1_0
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places; cases as in pieces and pack."""
     return pack(cut(pieces(table(spark, sf_dir, "documents"))))

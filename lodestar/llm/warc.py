@@ -42,18 +42,21 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def record_id(key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'record {key}')}>"
+def record_id(key, payload_digest: str, place: str = "") -> str:
+    """The id of a record that alone has its key and payload; others have their place in the archive in it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'record {key} {payload_digest} {place}')}>"
 
 
-def render_record(key, uri: str | None, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record; a revisit (refers_to given) keeps the digest and the size, not the payload."""
+def render_record(key, uri: str | None, payload: bytes, refers_to, place: str = "", target_alone: bool = True) -> bytes:
+    """One WARC/1.1 record; a revisit (refers_to given) keeps the digest and the size, not the payload. Several responses
+    may have the key that it refers to; then there is no one id to name."""
+    own = digest(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(key)}",
+        f"WARC-Record-ID: {record_id(key, own, place)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{own}",
         f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response",
     ]
@@ -64,7 +67,7 @@ def render_record(key, uri: str | None, payload: bytes, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
         head[3:3] = [
-            f"WARC-Refers-To: {record_id(refers_to)}",
+            *[f"WARC-Refers-To: {record_id(refers_to, own)}"] * target_alone,
             f"WARC-Refers-To-Key: {refers_to}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
         ]
@@ -139,36 +142,45 @@ class BundleReader:
 
 
 def roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Of each (key, sha) in records(key, uri, payload), what it refers to; null for responses."""
+    """key, sha, refers_to (null for a response), alone (whether no other row has this key and payload) and target_alone
+    (the same of what it refers to), once for each (key, sha) in records(key, uri, payload) that is a revisit or not alone."""
     seen = records.select("key", F.sha1(F.coalesce("payload", F.lit(b""))).alias("sha"), F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size"))
-    seen = cut(seen)
-    last = seen.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("key").alias("last"))
-    return seen.dropDuplicates(["key", "sha"]).join(last, "sha", "left").select("key", "sha", F.when(F.col("key") != F.col("last"), F.col("last")).alias("refers_to"))
+    seen = cut(seen.groupBy("key", "sha").agg(F.count("*").alias("rows"), F.max("size").alias("size")))
+    last = seen.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.count("*").alias("keys"), F.max(F.struct("key", "rows")).alias("last"))
+    found = seen.join(last.where("keys > 1"), "sha", "left")
+    refers = F.when(F.col("key") != F.col("last.key"), F.col("last.key"))
+    found = found.select("key", "sha", refers.alias("refers_to"), (F.col("rows") == 1).alias("alone"), F.coalesce(F.col("last.rows") == 1, F.lit(True)).alias("target_alone"))
+    return found.where("refers_to IS NOT NULL OR NOT alone")
 
 
 def write(records: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes records(key long, uri string, payload binary) as bundles in folder, one per task, and returns their
-    index (INDEX_SCHEMA). A null payload is empty, a null uri has no header; rows with the same key and payload
-    become as many records. A row with a null key is a response that nothing refers to. A task that is run again
-    writes a new file; the index names only files of tasks that ended."""
+    index (INDEX_SCHEMA). A null payload is empty, a null uri has no header. Rows with the same key and payload become as
+    many records of one kind: of the largest key all are responses, as nothing tells them apart. Every record has an id
+    of its own. A row with a null key is a response that nothing refers to. A task that is run again writes a new file;
+    the index names only files of tasks that ended."""
     keyed = records.select(F.col("key").cast("long"), F.col("uri").cast("string"), F.coalesce("payload", F.lit(b"")).alias("payload"))
-    part = roles(keyed, min_bytes).toDF("role_key", "role_sha", "refers_to")
+    part = roles(keyed, min_bytes).withColumnsRenamed({"key": "role_key", "sha": "role_sha"})
     same = (F.col("sha") == F.col("role_sha")) & F.col("key").eqNullSafe(F.col("role_key"))
-    to_write = keyed.withColumn("sha", F.sha1("payload")).join(part, same).select("key", "uri", "payload", "refers_to")
+    to_write = keyed.withColumn("sha", F.sha1("payload")).join(part, same, "left")  # records without a copy have no row there
+    to_write = to_write.select("key", "uri", "payload", "refers_to", F.coalesce("alone", F.lit(True)).alias("alone"), F.coalesce("target_alone", F.lit(True)).alias("target_alone"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         store = path = stream = bundle = None
+        n_records = 0
         for batch in batches:
             rows = []
-            for key, uri, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, uri, payload, refers_to, alone, target_alone in zip(*(c.to_pylist() for c in batch.columns)):
                 if bundle is None:
                     store, path = filesystem(f"{folder}/{uuid.uuid4().hex}.warc.zst")
                     stream = store.open_output_stream(path + ".part")
                     bundle = BundleWriter(stream, frame_bytes)
-                record = render_record(key, uri, payload, refers_to)
-                rows.append((record_id(key), key, path.rpartition("/")[2], *bundle.add(record), len(record)))
+                place = "" if alone else f"{path.rpartition('/')[2]} {n_records}"
+                record = render_record(key, uri, payload, refers_to, place, target_alone)
+                rows.append((record_id(key, digest(payload), place), key, path.rpartition("/")[2], *bundle.add(record), len(record)))
+                n_records += 1
             if rows:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names="record_id key path frame offset length".split())
@@ -221,6 +233,7 @@ def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives; cases as in write."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
     folder = f"{shared_dir(spark)}/lodestar/warc-{uuid.uuid4().hex}"
     back = read(write(pages, folder), folder, with_payload=False)

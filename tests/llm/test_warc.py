@@ -31,6 +31,8 @@ def test_round_trip(spark, tmp_path, min_bytes):
     index = warc.write(records, folder, min_bytes, frame_bytes=100)
     got = warc.read(index, folder)
     assert sorted((tuple(r) for r in got.select(*COLUMNS).collect()), key=repr) == expected(ROWS, min_bytes)
+    ids = [r["record_id"] for r in got.collect()]
+    assert len(set(ids)) == len(ids) and {r["record_id"] for r in index.collect()} == set(ids)
     kept = {r["key"]: bytes(r["payload"]) for r in got.where("record_type = 'response'").collect()}
     assert all(kept[k] == (p or b"") for k, _, p in ROWS if k in kept)
     one = warc.read(index.where("key = 6"), folder).collect()

@@ -33,6 +33,9 @@ SALTS = 64
 #: than this goes into the number of rows. Of such a group one document stands for all in the search for windows.
 MAX_COPY_GROUPS = 100_000
 
+#: Turns word hashes into others, for the second hash of a window. The 32 bits kept of it and the 64 of the first tell
+#: windows apart: 10^13 windows give fewer than one chance pair in a thousand corpora.
+_CHECK = np.uint64(0x2545F4914F6CDD1D)
 _RUN, _PAIR, _LEVEL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), 0xD6E8FEB86659FD93
 
 
@@ -165,7 +168,8 @@ def copy_groups(docs: DataFrame) -> dict[int, int]:
 
 
 def _windows(docs: DataFrame, window: int, known, hot, groups) -> DataFrame:
-    """hash, doc_id, tag (of the text), start, salt (0 unless the anchor is hot) of the windows that may be repeated."""
+    """hash and check (a second one), doc_id, tag (of the text), start, salt (0 unless the anchor is hot) of the windows
+    that may be repeated."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -183,21 +187,21 @@ def _windows(docs: DataFrame, window: int, known, hot, groups) -> DataFrame:
                 docs_here, which = np.unique(owner, return_inverse=True)
                 tags = np.array([_key(texts[a + d]) for d in docs_here], np.int32)[which]
                 own = pa.array([ids[a + d] for d in docs_here], pa.int64()).take(pa.array(which))
-                hashes = window_hashes(flat, window)[starts]
+                hashes, checks = window_hashes(flat, window)[starts], window_hashes(mix(flat ^ _CHECK), window)[starts]
                 salt = np.where(bitfilter.has(hot.value, name), 1 + tags % SALTS, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), own, pa.array(tags), pa.array((starts - first[owner]).astype(np.int32)), pa.array(salt)],
-                    names=["hash", "doc_id", "tag", "start", "salt"],
+                    [pa.array(hashes.view(np.int64)), pa.array((checks >> np.uint64(32)).astype(np.uint32).view(np.int32)), own, pa.array(tags), pa.array((starts - first[owner]).astype(np.int32)), pa.array(salt)],
+                    names=["hash", "check", "doc_id", "tag", "start", "salt"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "hash long, doc_id long, tag int, start int, salt int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "hash long, check int, doc_id long, tag int, start int, salt int")
 
 
-_MATCHED = "hash long, doc_id long, tag int, start int, salt int, n long"
+_MATCHED = "hash long, check int, doc_id long, tag int, start int, salt int, n long"
 
 
 def _match(batches: Iterator) -> Iterator:
-    """Rows sorted by (hash, salt) in; with n, the rows of their group, out. A group is only counted as it goes by:
+    """Rows sorted by (hash, check, salt) in; with n, the rows of their group, out. A group is only counted as it goes by:
     rows are held one batch long, and a group that goes on has n >= 2 from its second row."""
     import pyarrow as pa
 
@@ -214,11 +218,11 @@ def _match(batches: Iterator) -> Iterator:
     for batch in batches:
         part = pa.Table.from_batches([batch])
         data = part if held is None else pa.concat_tables([held, part])
-        h, s = data.column("hash").to_numpy(), data.column("salt").to_numpy()
-        same = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
-        again = np.r_[before is not None and before == (h[0], s[0]), same]
+        key = [data.column(c).to_numpy() for c in ("hash", "check", "salt")]
+        same = np.logical_and.reduce([k[1:] == k[:-1] for k in key])
+        again = np.r_[before is not None and before == tuple(k[0] for k in key), same]
         n = 1 + (again | np.r_[same, False]).astype(np.int64)
-        before = (h[-1], s[-1]) if again[-1] else None
+        before = tuple(k[-1] for k in key) if again[-1] else None
         yield from emit(data.slice(0, len(data) - 1), n[:-1])
         held = data.slice(len(data) - 1)
         held_n = n[-1:]
@@ -238,13 +242,13 @@ def find_repeats(docs: DataFrame, window: int, groups) -> DataFrame:
     often = counts.where(F.col("n") >= HOT_ANCHOR)
     hot = spark.sparkContext.broadcast(bitfilter.build(often, "anchor", bitfilter.bits_for(often.count())))
     found = _windows(docs, window, known, hot, groups)
-    sorted_ = found.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
+    sorted_ = found.repartition("hash", "salt").sortWithinPartitions("hash", "check", "salt")
     matched = cut(sorted_.mapInArrow(_match, _MATCHED))
     sure = matched.where(F.col("n") > 1).select("doc_id", "tag", "start")
     # a window that is alone under its salt is repeated if its hash stands under another salt, or without one
     lone = matched.where(F.col("n") == 1)
-    others = matched.where(F.col("salt") > 0).groupBy("hash").agg(F.count_distinct("salt").alias("salts")).where(F.col("salts") > 1).select("hash")
-    late = lone.join(others, "hash", "left_semi").select("doc_id", "tag", "start")
+    others = matched.where(F.col("salt") > 0).groupBy("hash", "check").agg(F.count_distinct("salt").alias("salts")).where(F.col("salts") > 1).select("hash", "check")
+    late = lone.join(others, ["hash", "check"], "left_semi").select("doc_id", "tag", "start")
     return sure.unionByName(late).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
@@ -289,5 +293,6 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed and left of every document; cases as in mark_repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_repeats(docs).select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))

@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers for insults, threats, negation and reported speech run side by side over the classes of a clause's
-words; their composition is one automaton that weighs each insult or threat by what stands around it in its clause. A
-threat before its target is held, and counts once the target follows in the same clause. The insults, their stems and weights are learned from labelled rows, and so is the curve from summed clause weights to
-a score.
+Transducers for directed insults, threats, negation and reported speech run side by side over the classes of a clause's
+words. Their composition is one automaton: it weighs each insult or threat by what stands around it in its clause. A
+threat counts only with a target: one that comes before its target is held until the target follows in the same clause.
+A word that opens a quotation reports what follows. Learned from labelled rows are the insults (words, and prefixes that
+several words share) with their weights, the factors of the transducers, held near their defaults where the rows say
+nothing, and the curve from summed clause weights to a score.
 """
 
 from __future__ import annotations
@@ -31,7 +33,14 @@ MIN_STEM_WORDS = 3
 _MEMO_ENTRIES = 600_000
 
 #: Word classes of the grammar in English, French, German and Spanish (fixed values).
-THREATS = "kill hurt destroy burn shoot stab tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split()
+#: Threats are verb stems with their endings.
+THREAT_VERBS = (
+    ("kill hurt destroy burn shoot stab murder attack beat strangl strangle", ("", "s", "ed", "ing")),
+    ("tu frapp brûl étrangl poignard massacr assassin", ("er", "e", "es", "ez", "ent", "erai", "eras", "era", "erons", "erez", "eront")),
+    ("töt schlag verbrenn erschieß ermord erwürg erstech verprügel", ("en", "e", "est", "st", "et", "t", "n")),
+    ("mat golpe quem dispar apuñal estrangul asesin", ("ar", "o", "as", "a", "amos", "an", "aré", "arás", "ará", "aremos", "arán")),
+)
+THREATS = [stem + ending for stems, endings in THREAT_VERBS for stem in stems.split() for ending in endings]
 TARGETS = "you your yourself he she they them tu toi vous il elle ils du dich dir ihr sie tú te usted ustedes él ella ellos".split()
 #: Object forms of the same persons, as they follow a verb or a preposition.
 TARGETS += "him her lui eux ihn ihm ihnen euch ti".split()
@@ -40,6 +49,7 @@ REPORTS = "said says claimed wrote quoted called dit écrit selon sagte schrieb
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 _END = re.compile(rb"[.!?;:]+[\"')\]]*$")
+_QUOTE = re.compile(r"^[(\[]*[\"“„«‘]")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -89,13 +99,32 @@ _THREATS = Transducer(
     holds=(_row(THREAT, True, False), _row(THREAT, True, False), _NONE),
     frees=(_NONE, _row(TARGET, True, False), _NONE),
 )
-#: An insult counts more after a target; a threat only with one; negation and reported speech weaken both.
-GRAMMAR = (
-    Transducer.flag(TARGET, {INSULT: 1.25})
-    .compose(_THREATS)
-    .compose(Transducer.flag(NEGATION, {INSULT: 0.6, THREAT: 0.3}))
-    .compose(Transducer.flag(REPORT, {INSULT: 0.7, THREAT: 0.5}))
-)
+
+
+@dataclass(frozen=True)
+class Factors:
+    """What an insult after a target is multiplied by, and insults and threats after a negation or a report."""
+
+    directed: float = 1.25
+    negated_insult: float = 0.6
+    negated_threat: float = 0.3
+    reported_insult: float = 0.7
+    reported_threat: float = 0.5
+
+    def grammar(self) -> Transducer:
+        insults = Transducer.flag(TARGET, {INSULT: self.directed})
+        negation = Transducer.flag(NEGATION, {INSULT: self.negated_insult, THREAT: self.negated_threat})
+        report = Transducer.flag(REPORT, {INSULT: self.reported_insult, THREAT: self.reported_threat})
+        return insults.compose(_THREATS).compose(negation).compose(report)
+
+
+GRAMMAR = Factors().grammar()
+#: The same automaton with a prime for each factor, so that a product tells which factors a match had.
+_MARKED = Factors(2, 3, 3, 5, 5).grammar()
+#: (class, product in _MARKED) of the matches that can be.
+MATCHES = [(INSULT, d * n * r) for d in (1, 2) for n in (1, 3) for r in (1, 5)] + [(THREAT, n * r) for n in (1, 3) for r in (1, 5)]
+#: How strongly a fit holds the logarithms of the factors and of the threats' weight at their defaults.
+HOLD = 10.0
 
 
 def term(word: bytes) -> str:
@@ -104,54 +133,77 @@ def term(word: bytes) -> str:
 
 @dataclass
 class Model:
-    """words, stems: weights of insults; threat: weight of a threat; slope, bias: the curve over log(1 + weight)."""
+    """words, stems: weights of insults, by word and by prefix; threat: weight of a threat; factors: those of the
+    grammar; slope, bias: the curve over log(1 + weight)."""
 
     words: dict[str, float]
     stems: dict[str, float]
     threat: float = 1.0
     slope: float = 2.0
     bias: float = -2.0
+    factors: Factors = Factors()
     _memo: dict = field(default_factory=dict, repr=False)
     _fixed: dict = field(default_factory=lambda: {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_memo": {}}
 
-    def _look(self, word: bytes) -> tuple[int, float, bool]:
-        """(class, weight, whether a clause ends here)."""
+    def _look(self, word: bytes) -> tuple[int, float, bool, bool]:
+        """(class, weight, whether a clause ends here, whether a quotation begins)."""
         t = term(word)
         weight = self.words.get(t) or max((self.stems.get(t[:n], 0.0) for n in STEMS), default=0.0)
         kind = INSULT if weight else self._fixed.get(t, OTHER)
-        self._memo[word] = found = (kind, weight or (self.threat if kind == THREAT else 0.0), bool(_END.search(word)))
+        opens = bool(_QUOTE.match(word.decode("utf-8", "replace")))
+        self._memo[word] = found = (kind, weight or (1.0 if kind == THREAT else 0.0), bool(_END.search(word)), opens)
         return found
 
-    def weight(self, text: str | None) -> float:
-        """Sum of the weights of the text's clauses."""
+    def _matches(self, text: str | None, machine: Transducer) -> Iterator[tuple[int, float, float]]:
+        """(class, product of the machine's factors, weight) of each insult or threat that counts in its clause."""
         if len(self._memo) > _MEMO_ENTRIES:
             self._memo.clear()
         memo, look = self._memo, self._look
         seen = [memo[w] if w in memo else look(w) for w in split(text)]
         if not any(x[1] for x in seen):
-            return 0.0
-        total, held, state = 0.0, 0.0, 0
-        for kind, w, ends in seen:
+            return
+        held, state = [], 0
+        for kind, w, ends, opens in seen:
+            if opens:
+                state = machine.moves[state][REPORT]
             if w:
-                x = w * GRAMMAR.factors[state][kind]
-                if GRAMMAR.holds[state][kind]:
-                    held += x
+                match = kind, machine.factors[state][kind], w
+                if machine.holds[state][kind]:
+                    held.append(match)
                 else:
-                    total += x
-            if held and GRAMMAR.frees[state][kind]:
-                total, held = total + held, 0.0
-            state = GRAMMAR.moves[state][kind]
+                    yield match
+            if held and machine.frees[state][kind]:
+                yield from held
+                held = []
+            state = machine.moves[state][kind]
             if ends:
-                held, state = 0.0, 0
-        return total
+                held, state = [], 0
+
+    def features(self, text: str | None) -> list[float]:
+        """Weights of the text's matches, summed by MATCHES; of threats their number."""
+        sums = dict.fromkeys(MATCHES, 0.0)
+        for kind, marks, w in self._matches(text, _MARKED):
+            sums[kind, marks] += w
+        return list(sums.values())
+
+    def weight(self, text: str | None) -> float:
+        """Sum of the weights of the text's clauses: those of their matches times the factors of the grammar."""
+        sums = self.features(text)
+        return float(np.dot(sums, _multipliers(self.factors, self.threat))) if any(sums) else 0.0
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(self.weight(text))))))
 
 
+def _multipliers(f: Factors, threat: float) -> np.ndarray:
+    """What each of MATCHES is multiplied by."""
+    of = {INSULT: (f.directed, f.negated_insult, f.reported_insult), THREAT: (1.0, f.negated_threat, f.reported_threat)}
+    return np.array([(threat if kind == THREAT else 1.0) * math.prod(x for x, prime in zip(of[kind], (2, 3, 5)) if marks % prime == 0) for kind, marks in MATCHES])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id's text leaves 0 modulo 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -202,22 +254,51 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
                 under = [w for w in words if w.startswith(f[2:]) and len(w) > len(f) - 2]
                 if len(under) >= MIN_STEM_WORDS and n >= 2 * MIN_SUPPORT:
                     stems[f[2:]] = x
-        model = Model(words, stems)
+        words = {w: x for w, x in words.items() if not any(w[:k] in stems and len(w) > k for k in STEMS)}
+        model = Model(words, stems, threat=float(np.median([*words.values(), *stems.values()] or [1.0])))
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
         def weigh(batches: Iterator) -> Iterator:
             import pandas as pd
 
             for pdf in batches:
-                yield pd.DataFrame({"x": pd.Series([shared.value.weight(t) for t in pdf["text"]], dtype="float64"), "toxic": pdf["toxic"].to_numpy()})
+                sums = np.array([shared.value.features(t) for t in pdf["text"]], float).reshape(-1, len(MATCHES))
+                yield pd.DataFrame(sums, columns=[f"x{i}" for i in range(len(MATCHES))]).assign(toxic=pdf["toxic"].to_numpy())
 
-        sample = rows.mapInPandas(weigh, "x double, toxic int").toPandas()  # two numbers for at most `most` rows
-        model.slope, model.bias = _curve(np.log1p(sample["x"].to_numpy()), sample["toxic"].to_numpy(float))
+        schema = ", ".join(f"x{i} double" for i in range(len(MATCHES))) + ", toxic int"
+        sample = rows.mapInPandas(weigh, schema).toPandas().to_numpy(float)  # a few numbers for at most `most` rows
+        model.factors, model.threat, model.slope, model.bias = _fitted(sample[:, :-1], sample[:, -1], model.threat)
         return model
     finally:
         rows.unpersist()
 
 
+def _fitted(sums: np.ndarray, y: np.ndarray, threat: float) -> tuple[Factors, float, float, float]:
+    """(factors, weight of a threat, slope, bias) by steps along one logarithm after the other, the curve fitted anew
+    between them. A target never weakens, negation and reports never strengthen, a threat weighs half to twice its default."""
+    start = np.log([*vars(Factors()).values(), threat])
+    low = np.r_[0.0, [-3.0] * 4, start[5] - math.log(2)]
+    high = np.r_[1.0, [0.0] * 4, start[5] + math.log(2)]
+    logs = start.copy()
+
+    def strength(at: np.ndarray) -> np.ndarray:
+        values = np.exp(at)
+        return np.log1p(sums @ _multipliers(Factors(*values[:5]), values[5]))
+
+    def cost(at: np.ndarray) -> float:
+        z = np.clip(slope * strength(at) + bias, -30, 30)
+        return float(np.sum(np.logaddexp(0, z) - y * z) + HOLD * np.sum((at - start) ** 2))
+
+    for _ in range(3):
+        slope, bias = _curve(strength(logs), y)
+        for i in range(len(logs)):
+            tried = [np.r_[logs[:i], v, logs[i + 1 :]] for v in (logs[i], *np.linspace(low[i], high[i], 13))]
+            logs = min(tried, key=cost)
+    slope, bias = _curve(strength(logs), y)
+    values = np.exp(logs)
+    return Factors(*map(float, values[:5])), float(values[5]), slope, bias
+
+
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
     """Slope and bias of a logistic curve by Newton's method, with a small ridge as the classes may be apart."""
     a = np.column_stack([x, np.ones_like(x)])
@@ -232,7 +313,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, flo
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, weight, score per row. Null and empty texts weigh nothing and get the curve's lowest score; repeated
+    """doc_id, weight (of the clauses), score per row. Null and empty texts weigh nothing and get the curve's lowest score; repeated
     rows repeat; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -249,6 +330,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a grammar fitted on the labelled rows that are not held out; cases as in score and fit."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight")

@@ -1,6 +1,10 @@
+import re
 import zlib
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lodestar.llm import toxicity as T
 
@@ -97,3 +101,72 @@ def test_threat_and_target_share_a_clause():
     assert MODEL.weight("kill you and you") == MODEL.weight("you kill you") == MODEL.threat
     assert MODEL.weight("never kill you") == MODEL.weight("you never kill") == 0.3 * MODEL.threat
     assert MODEL.weight("kill. you burn") == MODEL.threat
+
+
+def plain_weight(text, m):
+    """The grammar's rule said plainly: clause by clause, each insult and threat by what stands before it."""
+    total = 0.0
+    for clause in re.split(r"(?<=[.!?;:])\s+", text):
+        kinds = []
+        for raw in clause.split():
+            t = T.term(raw.encode())
+            lexical = m.words.get(t) or max((x for k, x in m.stems.items() if t.startswith(k)), default=0.0)
+            kind = "insult" if lexical else next((n for n, ws in (("threat", T.THREATS), ("target", T.TARGETS), ("negation", T.NEGATIONS), ("report", T.REPORTS)) if t in ws), "")
+            kinds += ["report"] * raw.startswith('"') + [kind or "other"]
+            before = set(kinds[:-1])
+            if kind == "insult":
+                total += lexical * (m.factors.directed if "target" in before else 1) * (m.factors.negated_insult if "negation" in before else 1) * (m.factors.reported_insult if "report" in before else 1)
+        for i, kind in enumerate(kinds):
+            if kind == "threat" and "target" in kinds:
+                total += m.threat * (m.factors.negated_threat if "negation" in kinds[:i] else 1) * (m.factors.reported_threat if "report" in kinds[:i] else 1)
+    return total
+
+
+WORDS = ["you", "him", "kill", "töten", "fool", "bloria", "never", "said", "the", "house", '"fool', "(fool)", "you.", "fool!", "kill;", '"the', "sie"]
+
+
+@given(st.lists(st.sampled_from(WORDS), max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_weight_equals_the_plain_rule(ws):
+    model = T.Model({"fool": 2.0}, {"blor": 3.0}, threat=1.7, factors=T.Factors(1.5, 0.5, 0.25, 0.75, 0.4))
+    assert model.weight(" ".join(ws)) == pytest.approx(plain_weight(" ".join(ws), model))
+
+
+def auc(pairs):
+    toxic, clean = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+
+
+def test_the_grammar_matters():
+    """Negated, quoted and reported insults and threats without a target rank under real ones; without the grammar they don't."""
+    built = [(t, 1) for t in ("you are a fool", "I will kill you", "him, that fool", "they will burn you", "je vais te frapper toi", "you fool, I hurt you")]
+    built += [(t, 0) for t in ("that was not a fool", "never fool around", "the paper said fool", 'a "fool in quotes', "we kill time", "they said never kill it", "burn the wood")]
+    flat = T.Model({"fool": 2.0}, {}, factors=T.Factors(1, 1, 1, 1, 1))
+    model = T.Model({"fool": 2.0}, {}, threat=2.0)
+    words_alone = [(sum(T.term(w.encode()) in {"fool", *T.THREATS} for w in t.split()), y) for t, y in built]
+    with_grammar = auc([(model.weight(t), y) for t, y in built])
+    assert with_grammar == 1.0 and auc([(flat.weight(t), y) for t, y in built]) < 0.9 and auc(words_alone) < 0.8
+
+
+def test_factors_are_fitted():
+    """Labels that follow negation move its factor; a factor without evidence stays at its default."""
+    model = T.Model({"fool": 3.0}, {}, threat=3.0)
+    texts = ["such a fool"] * 200 + ["not a fool"] * 200 + ["a house"] * 200
+    y = np.array([1.0] * 200 + [0.0] * 400)
+    factors, threat, slope, bias = T._fitted(np.array([model.features(t) for t in texts]), y, 3.0)
+    assert factors.negated_insult < 0.3 and threat == pytest.approx(3.0)
+    assert (factors.directed, factors.reported_insult, factors.negated_threat) == pytest.approx((1.25, 0.7, 0.3))
+    fitted = T.Model({"fool": 3.0}, {}, threat, slope, bias, factors)
+    assert fitted.score("such a fool") > 0.5 > fitted.score("not a fool")
+
+
+def test_held_out_measures(spark):
+    """Well above calling every row clean, which is right for 0.88 of them and finds none."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r["score"], truth[r["doc_id"]], r["predicted"]) for r in T.op7_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in truth]
+    clean_rate = 1 - sum(y for _, y, _ in rows) / len(rows)
+    right = sum(y == p for _, y, p in rows) / len(rows)
+    recall = sum(p for _, y, p in rows if y) / sum(y for _, y, _ in rows)
+    print("held out:", len(rows), "clean rate", clean_rate, "accuracy", right, "recall", recall, "AUC", auc([(s, y) for s, y, _ in rows]))
+    assert right > max(0.97, clean_rate + 0.05) and recall > 0.85 and auc([(s, y) for s, y, _ in rows]) > 0.93

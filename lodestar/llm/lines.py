@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, cut, table
+from .common import NOT_BLANK, cut, let, table
 
 MIN_SITES = 10
 LOG_K = 11
@@ -39,36 +39,45 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     return cut(sure.select("line_key").union(exact.where(F.col("sites") >= min_sites).select("line_key")))
 
 
-def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
-    """docs with a column `line_dedup`: struct(n_lines, n_removed, clean_text).
-
-    n_lines counts lines with a word; those on at least min_sites sites go, whatever the site of the document.
-    clean_text is the rest, joined by \\n; a null text stays null, with no lines. Rows with equal id_col and
-    equal text are cleaned alike; other columns pass through; `line_dedup` is replaced."""
+def _found(docs: DataFrame, min_sites: int, id_col: str, site: str, text: str) -> DataFrame:
+    """row (all columns of docs) and found: struct(n_lines, n_removed, clean_text)."""
     spread = spread_lines(docs, min_sites, site, text)
-    own = docs.drop("line_dedup")
-    packed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"))  # no column can clash with ours
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no column can clash with ours
     id_, body = F.col("row")[id_col], F.col("row")[text]
     lines = packed.select(id_.alias("id"), F.xxhash64(body).alias("text_hash"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
     lines = lines.where(F.col("line").rlike(NOT_BLANK)).select("id", "text_hash", "at", F.unhex(_key(F.col("line"))).alias("line_key"))
     gone = lines.join(spread, "line_key", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
     joined = packed.join(gone, id_.eqNullSafe(F.col("id")) & (F.xxhash64(body) == F.col("text_hash")), "left")
     parts = F.split(body, "\n")
-    left = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))  # by hash, so linear in the lines
+    left = F.when(F.col("gone").isNull(), body).otherwise(let(parts, lambda ls: F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")))
     found = F.struct(
         F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_BLANK))), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         left.alias("clean_text"),
     )
-    return joined.select("row", found.alias("line_dedup")).select("row.*", "line_dedup")
+    return joined.select("row", found.alias("found"))
+
+
+def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
+    """docs with a column `line_dedup`: struct(n_lines, n_removed, clean_text).
+
+    n_lines counts lines with a word; those on at least min_sites sites go, whatever the site of the document.
+    clean_text is the rest, joined by \\n; a null text stays null, with no lines. Rows with equal id_col and
+    equal text are cleaned alike; other columns pass through; one named `line_dedup` is replaced. An empty table stays
+    empty."""
+    found = _found(docs.drop("line_dedup"), min_sites, id_col, site, text)
+    return found.select("row.*", F.col("found").alias("line_dedup"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents without boilerplate lines; the columns of docs."""
-    return mark_lines(docs, min_sites).withColumn("text", F.col("line_dedup.clean_text")).select(docs.columns)
+    """The documents without boilerplate lines; the columns of docs, whatever their names. Cases as in mark_lines."""
+    found = _found(docs, min_sites, "doc_id", "source", "text")
+    return found.select(*((F.col("found.clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, lines removed and text left of every document; cases as in mark_lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mark_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.clean_text", 256).alias("kept_sha256"))
 

@@ -14,7 +14,7 @@ from .common import BLANK, NOT_BLANK, let, table, words
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
-#: Phrases that mark a boilerplate line (fixed values, lower case).
+#: Phrases that mark a boilerplate line in English, French, German and Spanish (fixed values, lower case).
 BOILERPLATE = (
     "accept all cookies",
     "click here to",
@@ -24,6 +24,18 @@ BOILERPLATE = (
     "skip to content",
     "subscribe to our newsletter",
     "terms of service",
+    "accepter tous les cookies",
+    "cliquez ici",
+    "politique de confidentialité",
+    "abonnez-vous à notre newsletter",
+    "alle cookies akzeptieren",
+    "hier klicken",
+    "datenschutzerklärung",
+    "zum inhalt springen",
+    "aceptar todas las cookies",
+    "haga clic aquí",
+    "política de privacidad",
+    "suscríbete a nuestro boletín",
 )
 
 

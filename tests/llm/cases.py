@@ -34,8 +34,9 @@ TEXTS = [
 
 def documents(spark, rows=TEXTS, source=lambda i: f"src{i % 7}"):
     """The columns of documents, and some whose names an operator might use itself."""
-    full = [(d, t, "en", source(i), len(t or ""), i, "x", [1], "q") for i, (d, t) in enumerate(rows)]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, a long, _id string, gone array<int>, row string").repartition(3)
+    names = "a long, _id string, gone array<int>, row string, h long, found string, kept_text string"
+    full = [(d, t, "en", source(i), len(t or ""), i, "x", [1], "q", i, "f", "k") for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {names}").repartition(3)
 
 
 def empty(spark):

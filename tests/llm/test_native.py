@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar import llm
 from lodestar.llm import licences, lines, preferences, quality
@@ -78,6 +79,22 @@ def test_quality(spark):
     assert all(not (r["quality"]["kept"] and r["quality"]["base_failed"]) for r in got.collect())
 
 
+def test_columns_with_the_operators_own_names_survive(spark):
+    docs = cases.documents(spark, [(1, " ".join(f"Word{i} follows word{i} here." for i in range(30))), (2, None), (3, "x")])
+    docs = docs.withColumns({"quality": F.lit("mine"), "line_dedup": F.lit("own"), "with.dot": F.lit(7)})
+    for kept, n in ((quality.clean(docs), 1), (lines.dedup_lines(docs), 3)):
+        assert kept.schema.simpleString() == docs.schema.simpleString()
+        got = kept.select("quality", "line_dedup", "`with.dot`", "found", "row").collect()
+        assert [tuple(r) for r in got] == [("mine", "own", 7, "f", "q")] * n
+
+
+@pytest.mark.parametrize("made", [quality.clean, quality.score])
+def test_rules_are_evaluated_once(spark, made):
+    plan = made(cases.documents(spark)).select("doc_id")  # also where only few columns are asked for
+    for df in (plan, made(cases.documents(spark))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("xxhash64") <= 1
+
+
 def test_quality_lines(spark):
     good = " ".join(f"Word{i} follows word{i} here." for i in range(30))
     bad = "Home | About | News | Contact | More " * 12

@@ -1,7 +1,9 @@
-"""The versioned store: immutable Parquet snapshots behind one pointer.
+"""The versioned store: immutable Parquet snapshots behind a list of commits.
 
-A commit writes new tables and then replaces the pointer in one rename, so readers see the old state or the new one
-and a crash leaves files that nothing names. The pointer also holds the key-value metadata.
+A commit writes new tables and then the file of the next version, by a rename that fails if the file exists: of two
+writers one has made it, and the other is told. Readers see the old state or the new one, and a crash leaves files that
+nothing names. A commit's file also holds the key-value metadata. Tables that only older versions name than the one
+before are removed.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ import json
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import DIM, METADATA, MODEL, PAPERS, SCOPE, VECTORS, DanglingSlot, ModelMismatch
+from ..functions.text import fold
+from ..schema import DIM, METADATA, MODEL, PAPERS, SCOPE, STORED, VECTORS, DanglingSlot, ModelMismatch
 from .filters import categories_of
 from .scratch import scratch_path
 
+#: Papers embedded between two commits.
+COMMIT_ROWS = 100_000
 _TEXT = ("version", "title", "abstract")
 
 
@@ -26,7 +32,8 @@ def merge(papers: DataFrame, batch: DataFrame) -> DataFrame:
 
     Metadata are overwritten, nulls included; `row` is cleared if version, title or abstract ever differ, null-safely.
     Several rows of one id count in their order: the last one's metadata stay, and any change of text clears `row`.
-    One aggregation with map-side merging per id, then one join: no window, and no group is collected."""
+    One aggregation with map-side merging per id, then one join: no window, and no group is collected. If papers have
+    authors_folded, the batch's authors are folded for it."""
     order = F.col("_order") if "_order" in batch.columns else F.monotonically_increasing_id()
     text = F.struct(*_TEXT)
     latest = (
@@ -34,14 +41,18 @@ def merge(papers: DataFrame, batch: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.max_by(F.struct(*METADATA), "_o").alias("m"), F.min(text).alias("lo"), F.max(text).alias("hi"))
     )
-    old = papers.select(F.col("id").alias("old_id"), F.struct(*METADATA).alias("o"), F.struct(*_TEXT).alias("t"), "row", "embedded_at")
+    folds = ["authors_folded"] if "authors_folded" in papers.columns else []
+    if folds:
+        latest = latest.withColumn("folded", fold("m.authors"))
+    old = papers.select(F.col("id").alias("old_id"), F.struct(*METADATA, *folds).alias("o"), F.struct(*_TEXT).alias("t"), "row", "embedded_at")
     both = old.join(latest, F.col("old_id") == F.col("id"), "full_outer")
     came = F.col("id").isNotNull()
     same = F.col("old_id").isNotNull() & F.col("lo").eqNullSafe(F.col("hi")) & F.col("t").eqNullSafe(F.col("lo"))
     row = F.when(~came | same, F.col("row"))
     fields = [F.when(came, F.col(f"m.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in METADATA]
+    fields += [F.when(came, F.col("folded")).otherwise(F.col(f"o.{c}")).alias(c) for c in folds]
     merged = both.select(F.coalesce("id", "old_id").alias("id"), row.alias("row"), *fields, "embedded_at")
-    return merged.select(*PAPERS.fieldNames())
+    return merged.select(*PAPERS.fieldNames(), *folds)
 
 
 def change_status(papers: DataFrame, batch: DataFrame) -> DataFrame:
@@ -97,11 +108,14 @@ def status(papers: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: papers, pending, embedded, slots, reclaimable, newest."""
     counted = papers.agg(F.count("*").alias("papers"), F.count_if(F.col("row").isNull()).alias("pending"), F.count("row").alias("embedded"), F.max("update_date").alias("newest"))
     slots = vectors.agg(F.count("*").alias("slots"))
-    return counted.join(F.broadcast(slots)).withColumn("reclaimable", F.col("slots") - F.col("embedded"))  # one row each
+    both = counted.unionByName(slots, allowMissingColumns=True)  # one row each
+    whole = both.agg(*(F.max(c).alias(c) for c in ("papers", "pending", "embedded", "newest", "slots")))
+    return whole.withColumn("reclaimable", F.col("slots") - F.col("embedded"))
 
 
 class Store:
-    """An index in a folder. One writer at a time: a commit fails if the pointer moved since it was read."""
+    """An index in a folder. One writer at a time: a commit fails if another has made the same version. What was read
+    stays readable while the next version is current, and goes with the one after it."""
 
     def __init__(self, spark: SparkSession, path: str, model: str = MODEL, dim: int = DIM):
         self.spark, self.path = spark, path.rstrip("/")
@@ -109,36 +123,60 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
-        if not self._fs.exists(self._path(f"{self.path}/_CURRENT")):
-            self._point({"version": 0, "papers": None, "vectors": [], "slots": 0, "meta": {"model": model, "dim": str(dim)}}, None)
+        self._fs.mkdirs(self._path(f"{self.path}/_commits"))
+        if not self._versions():
+            self._point({"version": 0, "papers": None, "vectors": [], "slots": 0, "meta": {"model": model, "dim": str(dim)}})
         self.model = model
 
-    def state(self) -> dict:
-        stream = self._fs.open(self._path(f"{self.path}/_CURRENT"))
+    def _versions(self) -> list[int]:
+        names = (x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/_commits")))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _commit_file(self, version: int):
+        return self._path(f"{self.path}/_commits/{version}.json")
+
+    def _read(self, version: int) -> dict:
+        stream = self._fs.open(self._commit_file(version))
         try:
-            size = self._fs.getFileStatus(self._path(f"{self.path}/_CURRENT")).getLen()
-            return json.loads(bytes(stream.readNBytes(int(size))).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _point(self, state: dict, before: int | None) -> None:
-        current = self._path(f"{self.path}/_CURRENT")
-        if before is not None and self.state()["version"] != before:
-            raise RuntimeError("another writer has changed the index")
-        fresh = self._path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}")
+    def state(self) -> dict:
+        return self._read(self._versions()[-1])
+
+    def _point(self, state: dict) -> None:
+        target = self._commit_file(state["version"])
+        fresh = self._path(f"{self.path}/_commits/{uuid.uuid4().hex}.part")
         out = self._fs.create(fresh)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
         jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, current, options)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(fresh, target, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as error:
+            self._fs.delete(fresh, False)
+            if self._fs.exists(target):
+                raise RuntimeError("another writer has changed the index") from error
+            raise
 
     def _commit(self, before: dict, **changes) -> dict:
         state = before | changes | {"version": before["version"] + 1}
-        self._point(state, before["version"])
+        self._point(state)
+        self._clean(before, state)
         return state
 
+    def _clean(self, *kept: dict) -> None:
+        """Removes older commits than those kept, and the tables that only they name."""
+        tables = lambda s: {s["papers"], *s["vectors"]} - {None}
+        named = set().union(*map(tables, kept))
+        for version in self._versions():
+            if version < min(s["version"] for s in kept):
+                for table in tables(self._read(version)) - named:
+                    self._fs.delete(self._path(table), True)
+                self._fs.delete(self._commit_file(version), False)
+
     def _write(self, kind: str, df: DataFrame) -> str:
         path = f"{self.path}/{kind}/v={uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -146,7 +184,7 @@ class Store:
 
     def papers(self) -> DataFrame:
         at = self.state()["papers"]
-        return self.spark.read.schema(PAPERS).parquet(at) if at else self.spark.createDataFrame([], PAPERS)
+        return self.spark.read.schema(STORED).parquet(at) if at else self.spark.createDataFrame([], STORED)
 
     def vectors(self) -> DataFrame:
         at = self.state()["vectors"]
@@ -193,21 +231,26 @@ class Store:
         papers = self.papers().join(slots, "id", "left")
         moved = papers.withColumn("row", F.coalesce("new", "row")).withColumn("embedded_at", F.when(F.col("new").isNotNull(), F.lit(now)).otherwise(F.col("embedded_at")))
         n = numbered.count()
-        self._commit(before, papers=self._write("papers", moved.select(*PAPERS.fieldNames())), vectors=[*before["vectors"], path], slots=before["slots"] + n)
+        self._commit(before, papers=self._write("papers", moved.select(*STORED.fieldNames())), vectors=[*before["vectors"], path], slots=before["slots"] + n)
         self._fs.delete(self._path(scratch), True)
         return n
 
-    def embed_pending(self, embedder) -> int:
-        """Embeds every paper without a vector. A run that dies commits nothing and is started anew."""
+    def embed_pending(self, embedder, commit_rows: int = COMMIT_ROWS) -> int:
+        """Embeds every paper without a vector, with a commit for each commit_rows or so of them: a run that dies loses
+        those of one commit, and the next takes up what is left."""
         from .embed import available, embed_papers
 
         self.check_model()
-        waiting = self.papers().where(F.col("row").isNull())
-        if waiting.isEmpty():
-            return 0
-        if not available(embedder):
+        n = self.papers().where(F.col("row").isNull()).count()
+        if n and not available(embedder):
             raise RuntimeError("the embedding model is not available")
-        return self.append_vectors(embed_papers(waiting, embedder))
+        parts, done = -(-n // commit_rows), 0
+        for part in range(parts):  # each part from the papers of its own time
+            waiting = self.papers().where(F.col("row").isNull())
+            own = waiting if part == parts - 1 else waiting.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+            if not own.isEmpty():
+                done += self.append_vectors(embed_papers(own, embedder))
+        return done
 
     def compact(self) -> int:
         """Drops vectors that no paper points to and numbers the others anew; returns how many went."""
@@ -221,7 +264,7 @@ class Store:
         scratch = f"{self.path}/scratch/{uuid.uuid4().hex}"
         numbered = number_rows(live, "slot", 0, "new", scratch)
         moved = vectors.join(numbered, "slot").select(F.col("new").alias("slot"), "model", "embedding")
-        renumbered = papers.join(numbered, papers["row"] == numbered["slot"], "left").withColumn("row", F.col("new")).select(*PAPERS.fieldNames())
+        renumbered = papers.join(numbered, papers["row"] == numbered["slot"], "left").withColumn("row", F.col("new")).select(*STORED.fieldNames())
         self._commit(before, papers=self._write("papers", renumbered), vectors=[self._write("vectors", moved)], slots=n)
         self._fs.delete(self._path(scratch), True)
         return before["slots"] - n

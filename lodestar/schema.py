@@ -32,6 +32,8 @@ PAPERS = T.StructType(
     [T.StructField("id", _S, False), T.StructField("row", T.LongType())]
     + [T.StructField(n, _S) for n in ("version", "title", "abstract", "authors", "categories", "update_date", "doi", "journal_ref", "embedded_at")]
 )
+#: papers as stored: the authors are folded once, when they come in.
+STORED = T.StructType([*PAPERS.fields, T.StructField("authors_folded", _S)])
 METADATA = tuple(f.name for f in PAPERS if f.name not in ("id", "row", "embedded_at"))
 VECTORS = T.StructType([T.StructField("slot", T.LongType(), False), T.StructField("model", _S, False), T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)])
 

@@ -19,12 +19,15 @@ from ..sources.snapshot import to_papers
 
 
 def resolve_cursor(store: Store) -> dt.datetime:
-    """The stored cursor, else midnight of the newest stored date, else the feed's beginning."""
-    stored = store.meta(CURSOR_KEY)
-    if not stored:
-        newest = store.papers().agg(F.max("update_date")).first()[0]
-        stored = f"{newest}T00:00:00+00:00" if newest else FIRST_CURSOR
-    return dt.datetime.fromisoformat(stored)
+    """The stored cursor, else midnight of the newest stored date, else the feed's beginning. What can't be read as a
+    time counts as missing."""
+    newest = store.papers().agg(F.max("update_date")).first()[0]
+    for found in (store.meta(CURSOR_KEY), newest and f"{newest}T00:00:00+00:00"):
+        try:
+            return dt.datetime.fromisoformat(found)
+        except (TypeError, ValueError):
+            continue
+    return dt.datetime.fromisoformat(FIRST_CURSOR)
 
 
 def in_window(stamp: Column, cursor: Column) -> Column:

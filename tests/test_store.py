@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,12 +146,12 @@ def test_page_parsers_agree(spark, tmp_path):
     assert plain["math/0605123"]["categories"] == "math.CO cs.X" and plain["math/0605123"]["authors"] == "A B, C"
 
 
-def test_walk_reaches_its_floor():
+def test_walk_reaches_its_floor(spark):
     w = feed.walk(CURSOR, fetcher(page(9, ("1v1", NEW, "cs.Y"), ("2v1", "soon", "math.CO"), ("3v1", EDGE, "math.CO"), ("4v1", OLD, "math.CO"))), sleep=lambda s: None)
     assert w.complete and [r["id"] for r in w.records] == ["2", "3"] and w.newest.day == 11
 
 
-def test_walk_incomplete():
+def test_walk_incomplete(spark):
     blank = page(5)
     w = feed.walk(CURSOR, fetcher(page(5, ("1v1", NEW, "math.CO")), *[blank] * 4), sleep=lambda s: None)
     assert not w.complete and len(w.records) == 1
@@ -162,6 +163,64 @@ def test_walk_incomplete():
     assert w.complete
 
 
+def test_pages_are_tried_again():
+    waited, answers = [], [OSError("down"), UnicodeDecodeError("utf-8", b"", 0, 1, "cut"), feed.Page([], 0)]
+
+    def work():
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert feed.persistently(work, feed.PAUSES, waited.append) == feed.Page([], 0) and waited == [3.0, 6.0]
+    answers += [OSError("down")] * 4
+    with pytest.raises(RuntimeError):
+        feed.persistently(work, feed.PAUSES, waited.append)
+    assert "lastUpdatedDate" in feed.page_address(200) and "start=200" in feed.page_address(200)
+
+
+def test_unreadable_page_and_cursor(spark, store):
+    with pytest.raises(Exception):
+        feed.parse_page(b"<feed><entry>")
+    store.set_meta(CURSOR_KEY, "soon")
+    assert resolve_cursor(store).year == 1991
+    store.upsert(batch(spark, paper("1", date="2024-01-10")))
+    assert resolve_cursor(store) == CURSOR
+
+
+def test_second_writer_fails_and_old_tables_go(spark, store, tmp_path):
+    seen = store.state()
+    store.set_meta("a", "1")
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(seen, meta={})
+    for k in range(4):
+        store.upsert(batch(spark, paper(str(k))))
+    assert store.papers().count() == 4 and store.meta("a") == "1"
+    assert len(store._versions()) == 2
+    kept = store._fs.listStatus(store._path(f"{store.path}/papers"))
+    assert len(list(kept)) == 2
+
+
+def test_authors_are_folded_when_stored(spark, store):
+    from lodestar.operators.filters import narrow
+
+    by = lambda id_, authors: (*paper(id_)[:4], authors, *paper(id_)[5:])
+    store.upsert(batch(spark, by("1", r"P. Erd\H{o}s"), by("2", None)))
+    store.upsert(batch(spark, by("2", r"Poincar\'e")))
+    assert {r["id"]: r["authors_folded"] for r in store.papers().collect()} == {"1": "p. erdos", "2": "poincare"}
+    found = narrow(store.papers(), author="Erdős")
+    assert [r["id"] for r in found.collect()] == ["1"]
+    assert not re.search("Python|Arrow", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_embedding_resumes(spark, store):
+    store.upsert(batch(spark, *(paper(str(k)) for k in range(20))))
+    versions = store.state()["version"]
+    assert store.embed_pending(HashingEmbedder(8), commit_rows=6) == 20
+    assert store.state()["version"] > versions + 1
+    assert sorted(r["row"] for r in store.papers().collect()) == list(range(20))
+
+
 def test_update_moves_the_cursor_only_when_complete(spark, store):
     e = HashingEmbedder(8)
     store.upsert(batch(spark, paper("1", date="2024-01-10")))

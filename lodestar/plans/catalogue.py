@@ -136,6 +136,26 @@ _ACCENTS = rf"""regexp_replace({_LETTERS}, '\\(["''`^~=.]|[uvHckrdb])\s*\{{([A-Z
 _FOLD = rf"trim(regexp_replace(lower(regexp_replace(translate({_ACCENTS}, '{{}}', ''), '\([^()]*\)', ' ', 'g')), '\s+', ' ', 'g'))"
 
 
+_COMMANDS, _SET = list(text.TEX_LETTERS), list(text.TEX_LETTERS.values())
+_NTH = "[1 + doc_id % 13]", "[1 + doc_id // 13 % 13]"
+
+
+@query(f"SELECT doc_id, concat({_SET}{_NTH[0]}, {_SET}{_NTH[1]}, 'x') AS set_text FROM documents")
+def tex_adjacent(spark, sf_dir):
+    """Two letter commands side by side, in all pairs."""
+    at = lambda n: F.element_at(F.array(*map(F.lit, _COMMANDS)), (1 + F.floor(F.col("doc_id") / n) % 13).cast("int"))
+    raw = F.concat(F.lit("\\"), at(1), F.lit("\\"), at(13), F.lit("{}x"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.latex_to_unicode(raw).alias("set_text"))
+
+
+@query("SELECT vec_id AS id, round(list_sum([x * i FOR x, i IN embedding::DOUBLE[]]) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS moment FROM embeddings")
+def normalise_values(spark, sf_dir):
+    """Where the weight of each vector lies after it was tripled and normalised."""
+    unit = l2_normalise(F.transform("embedding", lambda x: x * 3))
+    moment = F.aggregate(F.transform(unit, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return _vec(spark, sf_dir).select("id", F.round(moment, 5).alias("moment"))
+
+
 @query(f"SELECT id, {_FOLD} AS folded FROM papers")
 def fold_authors(spark, sf_dir):
     return papers(spark, sf_dir).select("id", text.fold("authors").alias("folded"))
@@ -238,6 +258,13 @@ def dead_slots(spark, sf_dir):
     return store.dead_slots(papers(spark, sf_dir), vectors(spark, sf_dir))
 
 
+@query("""SELECT vec_id AS slot FROM embeddings WHERE vec_id NOT IN (SELECT "row" FROM papers WHERE "row" % 3 <> 0)""")
+def freed_slots(spark, sf_dir):
+    """The dead slots after every third embedded paper was revised and so lost its slot."""
+    revised = papers(spark, sf_dir).withColumn("row", F.when(F.col("row") % 3 != 0, F.col("row")))
+    return store.dead_slots(revised, vectors(spark, sf_dir))
+
+
 @query("""SELECT "row", row_number() OVER (ORDER BY "row") - 1 AS new_row FROM papers WHERE "row" IS NOT NULL AND doc_id % 3 <> 0""")
 def compact_slots(spark, sf_dir):
     gaps = papers(spark, sf_dir).withColumn("row", F.when(F.col("doc_id") % 3 != 0, F.col("row")))

@@ -40,7 +40,7 @@ def test_fold_is_idempotent(s):
 
 
 def test_latex_to_unicode(spark):
-    cases = {r"Poincar\'e": "Poincaré", r"{\O}re": "Øre", r"\Omega": r"\Omega", r"\'{\i}": "í", r"\c{c}a": "ça"}
+    cases = {r"Poincar\'e": "Poincaré", r"{\O}re": "Øre", r"\Omega": r"\Omega", r"\'{\i}": "í", r"\c{c}a": "ça", r"\o\ss": "øß", r"\O\ae": "Øæ", r"\l\aa{}x": "łåx", r"\oe\o\i": "œøı", r"\'\i\\j": "í\\ȷ", r"\"{o}\'e\H{u}": "öéű"}
     df = spark.createDataFrame([(a,) for a in cases], "t string")
     assert [r[0] for r in df.select(text.latex_to_unicode("t")).collect()] == list(cases.values())
 

@@ -14,6 +14,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         context = spark.sparkContext._jsc.sc()
         if not context.getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestar-"))
         shared = context.getCheckpointDir().get()
     return f"{shared}/lodestar/{name}-{uuid.uuid4().hex}"

@@ -60,7 +60,8 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     for number, (label, text) in enumerate(templates):
         ws = text.split()
         rows += [(" ".join(ws[p : p + GRAM]), number, label, p, len(ws)) for p in range(len(ws) - GRAM + 1)]
-    values = ", ".join(f"('{g}', {n}, '{lb}', {p}, {s})" for g, n, lb, p, s in rows)
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({quoted(g)}, {n}, {quoted(lb)}, {p}, {s})" for g, n, lb, p, s in rows)
     return spark.sql(f"SELECT gram, xxhash64(gram) AS h, template, label, p, size FROM VALUES {values} AS t(gram, template, label, p, size)")
 
 

@@ -135,6 +135,11 @@ def test_licences(spark):
     assert licences.scan(cases.empty(spark)).count() == 0
 
 
+def test_templates_may_hold_quotes(spark):
+    got = licences.template_grams(spark, [("o'label", "the author's own \\ work")]).collect()
+    assert [(r["gram"], r["label"]) for r in got] == [("the author's own", "o'label"), ("author's own \\", "o'label"), ("own \\ work", "o'label")]
+
+
 def test_spans(spark):
     notice = licences.TEMPLATES[3][1]
     broken = notice.replace(" source ", " source or other ").replace(" the following", " following")

@@ -21,4 +21,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_line_dedup": lines.OP6_SQL, "op9_preference_format": preferences.OP9_SQL}
+    return {
+        "op1_ngram_jaccard": jaccard.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op3_substring_dedup": repeats.OP3_SQL,
+        "op6_line_dedup": lines.OP6_SQL,
+        "op9_preference_format": preferences.OP9_SQL,
+        "op10_quality_rules": quality.OP10_SQL,
+    }

@@ -563,3 +563,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document; cases as in similarity_components."""
     return similarity_components(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for op1_ngram_jaccard: all pairs that share a shingle, and the smallest id from which links lead to a row.
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split WHERE len(ws) >= 5),
+grams AS (
+  SELECT doc_id, word || ' ' || lead(word) OVER t || ' ' || lead(word, 2) OVER t || ' ' || lead(word, 3) OVER t || ' ' || lead(word, 4) OVER t AS shingle
+  FROM places WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS (
+  SELECT doc_id, shingle FROM grams WHERE shingle IS NOT NULL UNION SELECT doc_id, array_to_string(ws, ' ') FROM split WHERE len(ws) BETWEEN 1 AND 4
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reached AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION SELECT r.root, l.b FROM reached r JOIN links l ON l.a = r.node WHERE r.root < l.b
+), smallest AS (SELECT node, min(root) AS root FROM reached GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest m ON m.node = d.doc_id
+"""

@@ -157,3 +157,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_lines n_bad_lines lost_chars"
     return score(docs).select("doc_id", *(f"quality.{n}" for n in names.split()))
+
+
+#: DuckDB SQL for op10_quality_rules, with the default Rules.
+OP10_SQL = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{NOT_BLANK}+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{NOT_BLANK}')) AS filled FROM documents
+), judged AS (
+  SELECT *, list_filter(filled, lambda x: length(x) - length(translate(x, '|»', '')) >= 3
+    OR 100 * (length(x) - length(translate(x, '{SYMBOLS}', ''))) > 10 * length(regexp_replace(x, '{BLANK}+', '', 'g'))
+    OR (x = upper(x) AND length(regexp_replace(x, '[^A-Z]+', '', 'g')) >= 12)
+    OR (length(x) - length(translate(x, ' ', '')) >= 11 AND NOT regexp_matches(x, '[.!?…]["''”’»)\]]*({BLANK}|$)'))
+    OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS bad FROM split
+), places AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split),
+grams AS (SELECT rid, i, word || ' ' || lead(word) OVER t || ' ' || lead(word, 2) OVER t AS gram FROM places WINDOW t AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM grams WHERE gram IS NOT NULL) WHERE n > 1),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+counted AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(filled) AS BIGINT) AS n_lines, CAST(len(bad) AS BIGINT) AS n_bad_lines,
+    CAST(length(regexp_replace(array_to_string(bad, ''), '{BLANK}+', '', 'g')) AS BIGINT) AS lost_chars
+  FROM judged LEFT JOIN again USING (rid)
+), failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM failed
+"""

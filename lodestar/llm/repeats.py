@@ -296,3 +296,25 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed and left of every document; cases as in mark_repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_repeats(docs).select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for op3_substring_dedup: every window as text (of 2, 4, 8, 16, 32 and then 35 words), counted over the corpus.
+OP3_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), places AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split),
+w2 AS (SELECT *, word || ' ' || lead(word) OVER t AS g2 FROM places WINDOW t AS (PARTITION BY rid ORDER BY i)),
+w4 AS (SELECT *, g2 || ' ' || lead(g2, 2) OVER t AS g4 FROM w2 WINDOW t AS (PARTITION BY rid ORDER BY i)),
+w8 AS (SELECT *, g4 || ' ' || lead(g4, 4) OVER t AS g8 FROM w4 WINDOW t AS (PARTITION BY rid ORDER BY i)),
+w16 AS (SELECT *, g8 || ' ' || lead(g8, 8) OVER t AS g16 FROM w8 WINDOW t AS (PARTITION BY rid ORDER BY i)),
+w35 AS (
+  SELECT rid, i, word, g16 || ' ' || lead(g16, 16) OVER t || ' ' || lead(g2, 32) OVER t || ' ' || lead(word, 34) OVER t AS win
+  FROM w16 WINDOW t AS (PARTITION BY rid ORDER BY i)
+), often AS (SELECT win FROM w35 WHERE win IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+marked AS (
+  SELECT rid, i, word, max(CASE WHEN o.win IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w35 p LEFT JOIN often o ON p.win = o.win
+), left_over AS (SELECT rid, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN left_over USING (rid)
+"""

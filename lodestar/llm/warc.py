@@ -238,3 +238,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/lodestar/warc-{uuid.uuid4().hex}"
     back = read(write(pages, folder), folder, with_payload=False)
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
+
+
+#: DuckDB SQL for op2_warc; every five hexadecimal digits of a SHA-1 are four of base32.
+OP2_SQL = """
+WITH read AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+placed AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first FROM read)
+SELECT page_id, url AS uri, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM placed
+"""

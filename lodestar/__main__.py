@@ -1,4 +1,4 @@
-"""Command line: build, update, search, similar, status, compact, cite."""
+"""Command line: build, update, search, similar, status, compact, cite, serve."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from .functions.cite import abs_url, biblatex
 from .functions.text import latex_to_unicode, squash
 from .operators import search as S
 from .operators.embed import HashingEmbedder, embed_query
+from .operators.filters import valid_date
 from .operators.rerank import OverlapReranker
 from .operators.store import Store, category_counts, status
 from .schema import DEFAULT_K, MAX_PAGES, SCOPE
+from .serving import ResidentView, server
 from .sources.snapshot import scan_snapshot
 from .streaming.update import update
 
@@ -56,12 +58,15 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--full", action="store_true")
         if name == "search":
             q.add_argument("--category", action="append", choices=SCOPE)
-            q.add_argument("--since")
+            q.add_argument("--since", type=valid_date)
             q.add_argument("--author")
             q.add_argument("--json", action="store_true")
     sub.add_parser("status")
     sub.add_parser("compact")
     sub.add_parser("cite").add_argument("id")
+    web = sub.add_parser("serve")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -97,6 +102,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{r['category']}: {r['n']}")
     elif args.command == "compact":
         print(f"{store.compact()} slots reclaimed")
+    elif args.command == "serve":
+        view = ResidentView(store, embedder, OverlapReranker())
+        with server(view, args.host, args.port) as running:
+            print(f"http://{args.host}:{running.server_port}/api/stats", flush=True)
+            try:
+                running.serve_forever()
+            except KeyboardInterrupt:
+                print("waiting for requests under way")
+        view.close()
     else:
         entry = store.papers().where(F.col("id") == args.id).select(biblatex()).first()
         if entry is None:

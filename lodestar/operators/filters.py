@@ -31,8 +31,8 @@ def since(date: str, c: Column | None = None) -> Column:
 
 
 def valid_date(text: str) -> str:
-    dt.datetime.strptime(text, "%Y-%m-%d")
-    return text
+    """The date as it is stored, which 2024-1-5 is not; ValueError for what is no date."""
+    return dt.datetime.strptime(text, "%Y-%m-%d").date().isoformat()
 
 
 def known_categories(wanted: Iterable[str] | None, scope: Iterable[str] = SCOPE) -> list[str]:

@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cite, text
+from ..functions import cite, registered, text
 from ..functions.vectors import dot, l2_norm, l2_normalise
 from ..operators import filters, search, store
 from ..operators.rerank import OverlapReranker, rerank_frame
 from ..operators.scratch import scratch_path
-from ..schema import SCOPE
+from ..schema import METADATA, SCOPE
 from ..sources.feed import split_id
 from ..sources.snapshot import scan_snapshot
 from ..streaming.update import in_window
@@ -395,3 +395,46 @@ def snapshot_scan(spark, sf_dir):
     own = papers(spark, sf_dir).select("id", versions, "title", "abstract", "authors", "categories", "update_date", "doi", F.col("journal_ref").alias("journal-ref"))
     own.write.json(path)
     return scan_snapshot(spark, path).drop("_order", "abstract")
+
+
+@query(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score {_FROM_0} ORDER BY {_COS} DESC, e.vec_id LIMIT 20")
+def arrow_topk(spark, sf_dir):
+    """The twenty best by single-precision products over Arrow batches, with their exact scores."""
+    near = _near(spark, sf_dir)
+    top = search.top_k(search.score_arrow(_vec(spark, sf_dir), near), 20).select("id")
+    return _rounded(search.score_native(_vec(spark, sf_dir).join(top, "id"), near))
+
+
+@query(
+    f"""SELECT p.id, p.title, round({_COS}, 6) AS score FROM papers p JOIN embeddings e ON p."row" = e.vec_id, embeddings q
+    WHERE q.vec_id = 7 AND p."row" <> 7 ORDER BY {_COS} DESC, p.id LIMIT 15"""
+)
+def similar_papers(spark, sf_dir):
+    own = papers(spark, sf_dir)
+    asked = own.where("row = 7").select("id").first()[0]
+    found = search.similar(own, vectors(spark, sf_dir), asked, 15, score=search.score_native)
+    return _rounded(found.hits.select("id", "title", "score"))
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY id) - 1 AS slot FROM papers WHERE "row" IS NOT NULL""")
+def append_vectors(spark, sf_dir):
+    """A new index filled with all papers and then with the vectors of those that have one, in slots by id."""
+    own = papers(spark, sf_dir)
+    dim = len(_near(spark, sf_dir))
+    fresh = store.Store(spark, scratch_path(spark, "index"), "given", dim)
+    fresh.upsert(own.select("id", *METADATA))
+    fresh.append_vectors(search.vectors_of(own, vectors(spark, sf_dir)))
+    joined = search.vectors_of(fresh.papers(), fresh.vectors()).select("id")
+    return fresh.papers().join(joined, "id").select("id", F.col("row").alias("slot"))
+
+
+@query(
+    f"""SELECT id, 'arxiv:' || replace(id, '/', '_') AS key, {_FOLD} AS folded, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
+    round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS along FROM papers JOIN embeddings ON "row" = vec_id"""
+)
+def registered_functions(spark, sf_dir):
+    """The session's SQL functions at work."""
+    registered.register(spark)
+    both = papers(spark, sf_dir).join(vectors(spark, sf_dir), F.col("row") == F.col("slot"))
+    shown = ("id", "cite_key(id) AS key", "fold(authors) AS folded", "round(l2_norm(embedding), 6) AS norm", "round(dot(embedding, l2_normalise(embedding)), 6) AS along")
+    return both.selectExpr(*shown)

@@ -65,11 +65,9 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.sql(f"SELECT gram, xxhash64(gram) AS h, template, label, p, size FROM VALUES {values} AS t(gram, template, label, p, size)")
 
 
-def _grams(ws: Column, wanted: list[int]) -> Column:
-    """The text's grams whose hash is one of wanted, as struct(i, gram)."""
-    gram = lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2))
-    hashed = F.transform(ws, lambda w, i: F.when(F.xxhash64(gram(w, i)).isin(wanted), F.struct(i.alias("i"), gram(w, i).alias("gram"))))
-    return F.filter(hashed, lambda x: x.isNotNull())
+def _grams(ws: Column) -> Column:
+    """All rolling grams; the last two are shorter and equal none of a template."""
+    return F.transform(ws, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)))
 
 
 def _places(text: Column, ws: Column) -> Column:
@@ -91,17 +89,20 @@ def _places(text: Column, ws: Column) -> Column:
     return F.when(may, F.filter(F.transform(ws, at), lambda x: x["label"].isNotNull())).otherwise(none)
 
 
-def measure(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table: _row (unique), id_col, n_words, places, grams. One pass over the texts."""
-    wanted = [r["h"] for r in template_grams(docs.sparkSession, templates).select("h").distinct().collect()]  # a fixed, small set
-    row = let(license_words(F.col(text)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _places(F.col(text), ws).alias("places"), _grams(ws, wanted).alias("grams")))
+def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A written table: _row (unique), id_col, n_words, places, words. One pass over the texts."""
+    row = let(license_words(F.col(text)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _places(F.col(text), ws).alias("places"), ws.alias("words")))
     measured = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), row.alias("_m"))
     return cut(measured.select("_row", id_col, "_m.*"))
 
 
 def spans(measured: DataFrame, templates=TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Verified notices: _row, label, first (word), last (word), coverage (share of the template's words)."""
-    hits = measured.select("_row", F.explode("grams").alias("g")).select("_row", "g.i", "g.gram", F.xxhash64("g.gram").alias("h"))
+    """Verified notices: _row, label, first (word), last (word), coverage (share of the template's words).
+
+    Every gram of every text meets the templates in a broadcast join, in the stage that makes it; hits alone are
+    shuffled."""
+    rolling = measured.select("_row", F.posexplode(_grams(F.col("words"))).alias("i", "gram"))
+    hits = rolling.select("_row", "i", "gram", F.xxhash64("gram").alias("h"))
     known = F.broadcast(template_grams(measured.sparkSession, templates))  # a few hundred rows, fixed
     votes = hits.join(known, ["h", "gram"]).select("_row", "label", "template", "size", "p", "i", (F.col("i") - F.col("p")).alias("diagonal"))
     diagonals = votes.groupBy("_row", "template", "label", "size", "diagonal").agg(F.collect_set("p").alias("ps"), F.min("i").alias("first"), F.max("i").alias("last"))
@@ -119,7 +120,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text: str
     Base labels come from phrases, further ones from spans(). score is 1 where a base phrase stands, else the best
     coverage among the spans, else 0. A null or empty text has no words, empty labels and score 0; repeated rows
     give repeated results; other columns are ignored."""
-    measured = measure(docs, templates, id_col, text)
+    measured = measure(docs, id_col, text)
     found = spans(measured, templates).groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
     base = F.transform("places", lambda x: x["label"])
     starts = F.transform("places", lambda x: x["i"].cast("long"))
@@ -137,4 +138,5 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text: str
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base places and labels of every document; cases as in scan."""
     return scan(table(spark, sf_dir, "documents"))

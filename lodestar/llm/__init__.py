@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, toxicity, warc
+from . import decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, resampling, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op12_importance_resampling": resampling.op12_importance_resampling,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op6_line_dedup": lines.OP6_SQL,
         "op9_preference_format": preferences.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
+        "op12_importance_resampling": resampling.OP12_SQL,
     }

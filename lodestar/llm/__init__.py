@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, resampling, toxicity, warc
+from . import codes, decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, resampling, toxicity, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,
         "op12_importance_resampling": resampling.op12_importance_resampling,
+        "op13_vector_codes": codes.op13_vector_codes,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op9_preference_format": preferences.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
         "op12_importance_resampling": resampling.OP12_SQL,
+        "op13_vector_codes": codes.OP13_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, jaccard, licences, lines, packing, preferences, quality, repeats, resampling, toxicity, warc
+from . import codes, decontaminate, jaccard, licences, lines, packing, preferences, quality, ranking, repeats, resampling, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_preference_format": preferences.op9_preference_format,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_quality_ranking": ranking.op11_quality_ranking,
         "op12_importance_resampling": resampling.op12_importance_resampling,
         "op13_vector_codes": codes.op13_vector_codes,
     }

@@ -26,6 +26,8 @@ END_ID = 2
 SPECIAL = "<|endoftext|>"
 _MEMO_ENTRIES = 400_000
 _SPACED = re.compile(r"\s (?:\s|\Z)")
+#: Runs of Unicode's white space that are encoded by themselves: looking ahead over a run costs the matcher stack.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def default_vocabulary() -> str:
@@ -40,7 +42,8 @@ class Encoder:
     The vocabulary's special token is one id wherever its string stands in a text; what lies between is encoded by itself.
 
     The pre-tokenizer never joins text across a single space that follows a non-blank, so chunks that begin at such
-    a space can be encoded alone. Texts with other runs of blanks around a space are encoded whole."""
+    a space can be encoded alone. Texts with other runs of blanks around a space are encoded whole, but for long
+    runs: the pre-tokenizer takes a run up to its last blank, or whole at the end of a text, for one token to be split."""
 
     def __init__(self, path: str):
         import base64
@@ -51,11 +54,19 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._run = tiktoken.Encoding("run", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
         self._memo = _Memo(self._plain)
         self._special = array("I", [len(ranks)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        return array("I", self._bpe.encode_ordinary(text)).tobytes()
+        ids, at = array("I"), 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids.extend(self._bpe.encode_ordinary(text[at : run.start()]))
+            ids.extend(self._run.encode_ordinary(text[run.start() : end]))
+            at = end
+        ids.extend(self._bpe.encode_ordinary(text[at:]))
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         return self._special.join(map(self._between, text.split(SPECIAL)))

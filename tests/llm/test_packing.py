@@ -101,3 +101,19 @@ def test_query_is_near_the_bound(spark, sf_dir, bucket_rows):
 def test_ids_are_returned(spark):
     row = packing.pieces(cases.documents(spark, [(1, "a b")]), with_ids=True).first()
     assert zlib.crc32(row["ids"]) == row["ids_crc32"] and len(row["ids"]) == 4 * row["length"]
+
+
+RUNS = [" ", "\n", "\t", "\t ", " \n", "\r\n", "\u3000", "\x85\u2028"]
+
+
+@pytest.mark.parametrize("unit", RUNS)
+@pytest.mark.parametrize("around", ["{}", "a{}b", "{} b.", "a b {}", "a{}<|endoftext|>{}b"])
+def test_long_runs_encode_like_the_whole(unit, around):
+    for n in (999, 1000, 1001, 20_000):
+        text = around.replace("{}", (unit * n)[:n])
+        assert np.frombuffer(packing.encoder(packing.default_vocabulary()).encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_runs_of_blanks(spark):
+    rows = [(i, a + unit * (2_000_000 // len(unit)) + b) for i, (unit, a, b) in enumerate([(" ", "", ""), ("\n", "a", "b"), ("\t", "", "x"), ("\t ", "y ", " z")])]
+    check(packing.pack(cut(packing.pieces(cases.documents(spark, rows)))), rows)

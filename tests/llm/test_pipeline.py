@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from lodestar.llm import quality
+from lodestar.llm.common import cut
 from lodestar.llm.quality import BOILERPLATE, SYMBOLS
 
 from . import cases
@@ -60,6 +61,16 @@ def test_stages_keep_columns(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard", "decontamination", "best_fit_packing"]
 
 
+def test_very_long_runs_of_blanks(spark, sf_dir):
+    said = lambda k: " ".join(f"word{i}of{k}" for i in range(60)) + "."
+    rows = [(k, said(k) + unit * (2_000_000 // len(unit)) + said(k + 10)) for k, unit in enumerate([" ", "\n", "\t", "\t "])]
+    docs = cases.documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    got = docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == sorted(pieces(rows))
+
+
 def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, cases.empty(spark), sf_dir).count() == 0

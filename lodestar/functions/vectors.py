@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,7 +33,29 @@ def half(matrix: np.ndarray) -> np.ndarray:
 
 
 def rows_of(column) -> np.ndarray:
-    """An Arrow list column of equal lengths as a matrix, without a copy."""
+    """An Arrow list column as a matrix, without a copy. Lists of unequal lengths are refused."""
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    if not n:
+        return flat.reshape(0, 0)
+    sizes = np.diff(column.offsets.to_numpy())
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of unequal dimensions")
+    return flat.reshape(n, -1)
+
+
+def unit_rows(vectors: DataFrame, dim: int) -> DataFrame:
+    """id, embedding as it is stored (half): every vector must have dim dimensions."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(1)
+            if column.null_count or set(np.diff(column.offsets.to_numpy())) - {dim}:
+                raise ValueError(f"an embedding has not {dim} dimensions")
+            stored = half(rows_of(column)) if len(column) else np.zeros((0, dim), np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(stored) + 1) * dim, pa.int32()), pa.array(stored.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "embedding"])
+
+    return vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "id string, embedding array<float>")

@@ -1,30 +1,38 @@
-"""The versioned store: immutable Parquet snapshots behind a list of commits.
+"""The versioned store: immutable Parquet tables behind a list of commits.
 
 A commit writes new tables and then the file of the next version, by a rename that fails if the file exists: of two
 writers one has made it, and the other is told. Readers see the old state or the new one, and a crash leaves files that
-nothing names. A commit's file also holds the key-value metadata. Tables that only older versions name than the one
-before are removed.
+nothing names, until vacuum() takes them. A commit's file also holds the key-value metadata. Tables that only older
+versions name than the one before are removed.
+
+Papers lie in parts by the hash of their id. A commit reads and rewrites the parts that its ids fall in, and counts what
+it wrote there, so that the numbers of papers, pending ones and categories are known without a scan.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fold
+from ..functions.vectors import unit_rows
 from ..schema import DIM, METADATA, MODEL, PAPERS, SCOPE, STORED, VECTORS, DanglingSlot, ModelMismatch
 from .filters import categories_of
+from .layout import PART_ROWS, parts_for, read_parts, touched, write_parts
 from .scratch import scratch_path
 
 #: Papers embedded between two commits.
 COMMIT_ROWS = 100_000
 _TEXT = ("version", "title", "abstract")
+_WITH_PART = T.StructType([*STORED.fields, T.StructField("part", T.IntegerType())])
 
 
 def merge(papers: DataFrame, batch: DataFrame) -> DataFrame:
@@ -34,6 +42,11 @@ def merge(papers: DataFrame, batch: DataFrame) -> DataFrame:
     Several rows of one id count in their order: the last one's metadata stay, and any change of text clears `row`.
     One aggregation with map-side merging per id, then one join: no window, and no group is collected. If papers have
     authors_folded, the batch's authors are folded for it."""
+    return merge_latest(papers, latest_of(batch, "authors_folded" in papers.columns))
+
+
+def latest_of(batch: DataFrame, folded: bool) -> DataFrame:
+    """id, m (metadata of the id's last row), lo and hi (the least and greatest text), and with `folded` its authors so."""
     order = F.col("_order") if "_order" in batch.columns else F.monotonically_increasing_id()
     text = F.struct(*_TEXT)
     latest = (
@@ -41,9 +54,12 @@ def merge(papers: DataFrame, batch: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.max_by(F.struct(*METADATA), "_o").alias("m"), F.min(text).alias("lo"), F.max(text).alias("hi"))
     )
-    folds = ["authors_folded"] if "authors_folded" in papers.columns else []
-    if folds:
-        latest = latest.withColumn("folded", fold("m.authors"))
+    return latest.withColumn("folded", fold("m.authors")) if folded else latest
+
+
+def merge_latest(papers: DataFrame, latest: DataFrame) -> DataFrame:
+    """merge of papers and what latest_of says of a batch."""
+    folds = ["authors_folded"] if "folded" in latest.columns else []
     old = papers.select(F.col("id").alias("old_id"), F.struct(*METADATA, *folds).alias("o"), F.struct(*_TEXT).alias("t"), "row", "embedded_at")
     both = old.join(latest, F.col("old_id") == F.col("id"), "full_outer")
     came = F.col("id").isNotNull()
@@ -113,19 +129,26 @@ def status(papers: DataFrame, vectors: DataFrame) -> DataFrame:
     return whole.withColumn("reclaimable", F.col("slots") - F.col("embedded"))
 
 
+def part_stats(written: DataFrame, scope: Iterable[str] = SCOPE) -> DataFrame:
+    """part, papers, embedded, newest and n_<i> (papers of the scope's i-th category) of a table with a column part."""
+    own = categories_of(F.col("categories"))
+    by = [F.count_if(F.array_contains(own, c)).alias(f"n_{i}") for i, c in enumerate(scope)]
+    return written.groupBy("part").agg(F.count("*").alias("papers"), F.count("row").alias("embedded"), F.max("update_date").alias("newest"), *by)
+
+
 class Store:
     """An index in a folder. One writer at a time: a commit fails if another has made the same version. What was read
     stays readable while the next version is current, and goes with the one after it."""
 
-    def __init__(self, spark: SparkSession, path: str, model: str = MODEL, dim: int = DIM):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, model: str = MODEL, dim: int = DIM, part_rows: int = PART_ROWS):
+        self.spark, self.path, self.part_rows = spark, path.rstrip("/"), part_rows
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
         self._fs.mkdirs(self._path(f"{self.path}/_commits"))
         if not self._versions():
-            self._point({"version": 0, "papers": None, "vectors": [], "slots": 0, "meta": {"model": model, "dim": str(dim)}})
+            self._point({"version": 0, "parts": 1, "papers": {}, "stats": {}, "vectors": [], "slots": 0, "derived": {}, "meta": {"model": model, "dim": str(dim)}})
         self.model = model
 
     def _versions(self) -> list[int]:
@@ -167,27 +190,75 @@ class Store:
         self._clean(before, state)
         return state
 
+    @staticmethod
+    def _tables(state: dict) -> set[str]:
+        """The folders that a version names."""
+        derived = (x["path"] for table in state["derived"].values() for x in table.values() if x["path"])
+        return {*state["papers"].values(), *(v["path"] for v in state["vectors"]), *derived}
+
     def _clean(self, *kept: dict) -> None:
         """Removes older commits than those kept, and the tables that only they name."""
-        tables = lambda s: {s["papers"], *s["vectors"]} - {None}
-        named = set().union(*map(tables, kept))
+        named = set().union(*map(self._tables, kept))
+        above = {table.rpartition("/")[0] for table in named}
         for version in self._versions():
             if version < min(s["version"] for s in kept):
-                for table in tables(self._read(version)) - named:
-                    self._fs.delete(self._path(table), True)
+                for table in self._tables(self._read(version)) - named:
+                    folder = table.rpartition("/")[0] if "/part=" in table else table
+                    self._fs.delete(self._path(table if folder in above else folder), True)
                 self._fs.delete(self._commit_file(version), False)
 
-    def _write(self, kind: str, df: DataFrame) -> str:
+    def vacuum(self, hours: float = 24.0) -> list[str]:
+        """Removes what writers left that never came to a commit: folders older than `hours` of which no kept version
+        names a table. Returns them. `hours` must exceed the longest commit, or its tables go before it names them."""
+        named = set().union(*(self._tables(self._read(v)) for v in self._versions()))
+        named |= {table.rpartition("/")[0] for table in named}
+        latest, gone = (time.time() - hours * 3600) * 1000, []
+        for kind in self._fs.listStatus(self._path(self.path)):
+            if kind.isDirectory() and not kind.getPath().getName().startswith("_"):
+                for folder in self._fs.listStatus(kind.getPath()):
+                    path = f"{self.path}/{kind.getPath().getName()}/{folder.getPath().getName()}"
+                    if path not in named and folder.getModificationTime() <= latest:
+                        self._fs.delete(folder.getPath(), True)
+                        gone.append(path)
+        return sorted(gone)
+
+    def _write(self, kind: str, df: DataFrame):
+        """A new table of papers in all parts (a mapping), or of vectors (a path)."""
+        if kind == "papers":
+            return write_parts(df, f"{self.path}/papers", self.state()["parts"])
         path = f"{self.path}/{kind}/v={uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def papers(self) -> DataFrame:
-        at = self.state()["papers"]
-        return self.spark.read.schema(STORED).parquet(at) if at else self.spark.createDataFrame([], STORED)
-
-    def vectors(self) -> DataFrame:
-        at = self.state()["vectors"]
+    def _rewritten(self, before: dict, papers: DataFrame, of: list[int], parts: int) -> dict:
+        """The changes of a commit whose `papers` take the place of those in the parts `of`."""
+        fresh = write_parts(papers, f"{self.path}/papers", parts, of)
+        stats: dict[str, dict] = {}
+        if fresh:
+            whole = next(iter(fresh.values())).rpartition("/")[0]
+            slim = self.spark.read.schema(_WITH_PART).parquet(whole).select("part", "row", "update_date", "categories")
+            for r in part_stats(slim).collect():  # a row for each part written
+                stats[str(r["part"])] = {k: r[k] for k in ("papers", "embedded", "newest")} | {"categories": {c: r[f"n_{i}"] for i, c in enumerate(SCOPE)}}
+        same = parts == before["parts"]
+        others = {str(p) for p in range(parts)} - {str(p) for p in of} if same else set()
+        kept = lambda old: {p: x for p, x in old.items() if p in others}
+        derived = before["derived"] if same else {}
+        return {"parts": parts, "papers": kept(before["papers"]) | fresh, "stats": kept(before["stats"]) | stats, "derived": derived}
+
+    def papers(self, of: Iterable[int] | None = None) -> DataFrame:
+        """All papers, or those of some parts."""
+        return read_parts(self.spark, self.state()["papers"], STORED, of)
+
+    def lookup(self, ids: Iterable[str]) -> DataFrame:
+        """The papers of a few ids, read from the parts that hold them."""
+        wanted = list(ids)
+        state = self.state()
+        named = self.spark.createDataFrame([(i,) for i in wanted], "id string")
+        return read_parts(self.spark, state["papers"], STORED, touched(named, state["parts"])).where(F.col("id").isin(wanted))
+
+    def vectors(self, since: int = 0) -> DataFrame:
+        """All vectors, or those of the tables that reach slot `since` or beyond."""
+        at = [v["path"] for v in self.state()["vectors"] if v["start"] + v["n"] > since]
         return self.spark.read.schema(VECTORS).parquet(*at) if at else self.spark.createDataFrame([], VECTORS)
 
     def meta(self, key: str, default: str | None = None) -> str | None:
@@ -201,6 +272,16 @@ class Store:
         before = self.state()
         self._commit(before, meta=values | before["meta"])
 
+    def status(self) -> dict:
+        """papers, pending, embedded, slots, reclaimable, newest and the counts of the scope's categories, as the commits
+        counted them when they wrote: no table is read."""
+        state = self.state()
+        stats = list(state["stats"].values())
+        papers, embedded = (sum(s[k] for s in stats) for k in ("papers", "embedded"))
+        found = {"papers": papers, "pending": papers - embedded, "embedded": embedded, "newest": max((s["newest"] for s in stats if s["newest"] is not None), default=None)}
+        found |= {"slots": state["slots"], "reclaimable": state["slots"] - embedded}
+        return found | {"categories": {c: sum(s["categories"][c] for s in stats) for c in SCOPE}}
+
     def check_model(self) -> None:
         stored = self.meta("model")
         if stored != self.model:
@@ -211,45 +292,79 @@ class Store:
         if lost:
             raise DanglingSlot(f"{lost[0]['id']} points to vector {lost[0]['row']}, which does not exist")
 
+    def _scratch(self) -> str:
+        return f"{self.path}/scratch/v={uuid.uuid4().hex}"
+
     def upsert(self, batch: DataFrame) -> int:
-        """Merges batch; returns how many papers now wait for a vector."""
-        before = self.state()
-        self._commit(before, papers=self._write("papers", merge(self.papers(), batch)))
-        return self.papers().where(F.col("row").isNull()).count()
+        """Merges batch; returns how many papers now wait for a vector. The batch is folded to a row per id and written
+        once; then the parts that it falls in are merged, or all if the table or the batch has outgrown the parts."""
+        before, scratch = self.state(), self._scratch()
+        latest_of(batch, True).write.parquet(scratch)
+        latest = self.spark.read.parquet(scratch)
+        known = sum(s["papers"] for s in before["stats"].values())
+        parts = parts_for(max(known, latest.count()), before["parts"], self.part_rows)
+        own = touched(latest, parts) if parts == before["parts"] else list(range(parts))
+        if own:
+            old = read_parts(self.spark, before["papers"], STORED, own if parts == before["parts"] else None)
+            self._commit(before, **self._rewritten(before, merge_latest(old, latest), own, parts))
+        self._fs.delete(self._path(scratch), True)
+        return self.status()["pending"]
 
     def append_vectors(self, embedded: DataFrame) -> int:
-        """Vectors for embedded(id, embedding) in new slots, in the order of id, and their papers' rows, in one commit.
-        Every embedding must have the stored number of dimensions."""
-        before = self.state()
-        dim = int(before["meta"]["dim"])
-        checked = embedded.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding has not {dim} dimensions")).cast("array<float>")))
-        scratch = f"{self.path}/scratch/{uuid.uuid4().hex}"
-        numbered = number_rows(checked, "id", before["slots"], "slot", scratch)
-        path = self._write("vectors", numbered.select("slot", F.lit(self.model).alias("model"), "embedding"))
-        now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
-        slots = numbered.select(F.col("id"), F.col("slot").alias("new"))
-        papers = self.papers().join(slots, "id", "left")
-        moved = papers.withColumn("row", F.coalesce("new", "row")).withColumn("embedded_at", F.when(F.col("new").isNotNull(), F.lit(now)).otherwise(F.col("embedded_at")))
-        n = numbered.count()
-        self._commit(before, papers=self._write("papers", moved.select(*STORED.fieldNames())), vectors=[*before["vectors"], path], slots=before["slots"] + n)
-        self._fs.delete(self._path(scratch), True)
+        """Vectors for embedded(id, embedding, optional _order) in new slots, in the order of id, and their papers' rows,
+        in one commit; returns their number. They are stored with unit length, rounded through half precision. Of several
+        rows of an id the last one stays, and an id that no paper has is left out. Every embedding must have the stored
+        number of dimensions. What makes the embeddings runs once."""
+        before, made, scratch = self.state(), self._scratch(), self._scratch()
+        order = F.col("_order") if "_order" in embedded.columns else F.monotonically_increasing_id()
+        last = embedded.withColumn("_o", order).groupBy("id").agg(F.max_by("embedding", "_o").alias("embedding"))
+        unit_rows(last, int(before["meta"]["dim"])).write.parquet(made)
+        units = self.spark.read.parquet(made)
+        own = touched(units, before["parts"])
+        papers = read_parts(self.spark, before["papers"], STORED, own)
+        slots = number_rows(units.select("id").join(papers, "id", "left_semi"), "id", before["slots"], "slot", scratch)
+        n = slots.count()
+        if n:
+            path = self._write("vectors", units.join(slots, "id").select("slot", F.lit(self.model).alias("model"), "embedding"))
+            now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+            joined = papers.join(slots.withColumnRenamed("slot", "new"), "id", "left")
+            moved = joined.withColumn("row", F.coalesce("new", "row")).withColumn("embedded_at", F.when(F.col("new").isNotNull(), F.lit(now)).otherwise(F.col("embedded_at")))
+            vectors = [*before["vectors"], {"path": path, "start": before["slots"], "n": n}]
+            self._commit(before, vectors=vectors, slots=before["slots"] + n, **self._rewritten(before, moved.select(*STORED.fieldNames()), own, before["parts"]))
+        for folder in (made, scratch):
+            self._fs.delete(self._path(folder), True)
         return n
 
+    def _shares(self, commit_rows: int) -> list[tuple[list[int], int, int]]:
+        """(parts, turn, turns): what one commit embeds after the other. Parts with few pending papers go together, and a
+        part with many takes turns by hash, so a part is rewritten about as often as it holds commit_rows of them."""
+        shares, group, held = [], [], 0
+        for part, s in sorted(self.state()["stats"].items(), key=lambda x: int(x[0])):
+            waiting = s["papers"] - s["embedded"]
+            if waiting > commit_rows:
+                turns = -(-waiting // commit_rows)
+                shares += [([int(part)], turn, turns) for turn in range(turns)]
+            elif waiting:
+                if held + waiting > commit_rows:
+                    shares.append((group, 0, 1))
+                    group, held = [], 0
+                group, held = [*group, int(part)], held + waiting
+        return shares + ([(group, 0, 1)] if group else [])
+
     def embed_pending(self, embedder, commit_rows: int = COMMIT_ROWS) -> int:
         """Embeds every paper without a vector, with a commit for each commit_rows or so of them: a run that dies loses
         those of one commit, and the next takes up what is left."""
         from .embed import available, embed_papers
 
         self.check_model()
-        n = self.papers().where(F.col("row").isNull()).count()
-        if n and not available(embedder):
+        shares, done = self._shares(commit_rows), 0
+        if shares and not available(embedder):
             raise RuntimeError("the embedding model is not available")
-        parts, done = -(-n // commit_rows), 0
-        for part in range(parts):  # each part from the papers of its own time
-            waiting = self.papers().where(F.col("row").isNull())
-            own = waiting if part == parts - 1 else waiting.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-            if not own.isEmpty():
-                done += self.append_vectors(embed_papers(own, embedder))
+        for parts, turn, turns in shares:  # each share from the papers of its own time
+            waiting = self.papers(parts).where(F.col("row").isNull())
+            # the remainder by parts is spent: a part's hashes are alike modulo its number, so the turn is by another hash
+            own = waiting if turns == 1 else waiting.where(F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(turns)) == turn)
+            done += self.append_vectors(embed_papers(own, embedder))
         return done
 
     def compact(self) -> int:
@@ -257,14 +372,15 @@ class Store:
         before = self.state()
         papers, vectors = self.papers(), self.vectors()
         self.check_slots()
-        live = papers.where(F.col("row").isNotNull()).select(F.col("row").alias("slot"))
-        n = live.count()
+        n = sum(s["embedded"] for s in before["stats"].values())
         if n == before["slots"]:
             return 0
-        scratch = f"{self.path}/scratch/{uuid.uuid4().hex}"
+        scratch = self._scratch()
+        live = papers.where(F.col("row").isNotNull()).select(F.col("row").alias("slot"))
         numbered = number_rows(live, "slot", 0, "new", scratch)
         moved = vectors.join(numbered, "slot").select(F.col("new").alias("slot"), "model", "embedding")
         renumbered = papers.join(numbered, papers["row"] == numbered["slot"], "left").withColumn("row", F.col("new")).select(*STORED.fieldNames())
-        self._commit(before, papers=self._write("papers", renumbered), vectors=[self._write("vectors", moved)], slots=n)
+        held = [{"path": self._write("vectors", moved), "start": 0, "n": n}] if n else []
+        self._commit(before, vectors=held, slots=n, **self._rewritten(before, renumbered, list(range(before["parts"])), before["parts"]))
         self._fs.delete(self._path(scratch), True)
         return before["slots"] - n

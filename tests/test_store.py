@@ -2,11 +2,13 @@ import datetime as dt
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.embed import HashingEmbedder
-from lodestar.operators.store import Store, category_counts, merge
+from lodestar.operators.layout import read_parts, touched, write_parts
+from lodestar.operators.store import Store, category_counts, merge, status
 from lodestar.schema import CURSOR_KEY, METADATA, PAPERS, DanglingSlot, ModelMismatch
 from lodestar.sources import feed
 from lodestar.sources.snapshot import scan_snapshot
@@ -255,3 +257,153 @@ def test_command_line(spark, tmp_path, capsys):
     assert "3 embedded" in out and "P. Erdős" in out and "@online{arxiv:1" in out and "0 slots reclaimed" in out
     with pytest.raises(SystemExit):
         main([*base, "search"], spark)
+
+
+def files(store):
+    """part: its data files, of the papers of the newest version."""
+    found = {}
+    for p, path in store.state()["papers"].items():
+        names = (x.getPath().toString() for x in store._fs.listStatus(store._path(path)))
+        found[int(p)] = sorted(n for n in names if n.endswith(".parquet"))
+    return found
+
+
+@pytest.fixture
+def parted(spark, tmp_path):
+    """An index of 64 papers in 16 parts."""
+    found = Store(spark, f"file://{tmp_path}/index", "hashing", 8, part_rows=4)
+    found.upsert(batch(spark, *(paper(f"p{k}") for k in range(64))))
+    return found
+
+
+def part_numbers(spark, store, ids):
+    return set(touched(spark.createDataFrame([(i,) for i in ids], "id string"), store.state()["parts"]))
+
+
+def test_parts_follow_the_rows(spark, parted):
+    assert parted.state()["parts"] == 16 and len(files(parted)) > 8
+    for part in files(parted):
+        own = [r["id"] for r in parted.papers([part]).collect()]
+        assert own and part_numbers(spark, parted, own) == {part}
+    before = rows(parted.papers())
+    parted.upsert(batch(spark, *(paper(f"q{k}") for k in range(70))))
+    assert parted.state()["parts"] == 32
+    parted.upsert(batch(spark, paper("q0")))
+    assert parted.state()["parts"] == 64  # of 134 papers
+    after = rows(parted.papers())
+    assert len(after) == 134 and all(after[i] == r for i, r in before.items())
+
+
+def test_untouched_parts_keep_their_files(spark, parted):
+    parted.upsert(batch(spark, *(paper(f"p{k}", title="again") for k in range(64))))
+    for k in range(10):
+        before = files(parted)
+        parted.upsert(batch(spark, paper(f"p{k}", title=f"round {k}"), paper(f"p{k + 20}", doi=str(k))))
+        own = part_numbers(spark, parted, [f"p{k}", f"p{k + 20}"])
+        after = files(parted)
+        assert {p for p in after if after[p] != before.get(p)} == own and len(own) <= 2
+    now = rows(parted.papers())
+    assert len(now) == 64 and now["p3"]["title"] == "round 3" and now["p25"]["doi"] == "5" and now["p40"]["title"] == "again"
+
+
+def test_a_commit_reads_the_parts_it_touches(spark, parted, monkeypatch):
+    from lodestar.operators import store as module
+
+    seen = []
+    monkeypatch.setattr(module, "read_parts", lambda spark, table, schema, of=None: seen.append(of) or read_parts(spark, table, schema, of))
+    parted.upsert(batch(spark, paper("p5", title="x")))
+    assert seen == [sorted(part_numbers(spark, parted, ["p5"]))]
+    seen.clear()
+    parted.append_vectors(spark.createDataFrame([("p7", [1.0] * 8)], "id string, embedding array<float>"))
+    assert seen == [sorted(part_numbers(spark, parted, ["p7"]))]
+    seen.clear()
+    assert {r["id"] for r in parted.lookup(["p9", "p10", "none"]).collect()} == {"p9", "p10"}
+    assert set(seen[0]) == part_numbers(spark, parted, ["p9", "p10", "none"])
+
+
+def test_embedding_rewrites_each_part_about_once(spark, parted):
+    rewritten = []
+    commit = parted._commit
+    parted._commit = lambda before, **changes: rewritten.append({p for p, x in changes["papers"].items() if before["papers"].get(p) != x}) or commit(before, **changes)
+    assert parted.embed_pending(HashingEmbedder(8), commit_rows=10) == 64
+    assert len(rewritten) >= 64 // 10 and sum(map(len, rewritten)) == len(parted.state()["papers"])
+    assert sorted(r["row"] for r in parted.papers().collect()) == list(range(64))
+    parted.check_slots()
+
+
+def test_counts_need_no_scan(spark, parted):
+    def check():
+        found = parted.status()
+        counted = status(parted.papers(), parted.vectors()).first().asDict()
+        counted["categories"] = {r["category"]: r["n"] for r in category_counts(parted.papers()).collect()}
+        assert found == counted
+
+    check()
+    parted.append_vectors(spark.createDataFrame([(f"p{k}", [float(k + 1)] * 8) for k in range(30)], "id string, embedding array<float>"))
+    check()
+    parted.upsert(batch(spark, paper("p3", title="new"), paper("z", date="2024-07-01", categories="math.AG math.CO"), paper("y", date=None, categories=None)))
+    check()
+    assert parted.compact() == 1
+    check()
+    parted.upsert(batch(spark, *(paper(f"q{k}", categories="math.AC") for k in range(70))))
+    check()
+    empty = Store(spark, parted.path + "-none", "hashing", 8)
+    assert empty.status()["papers"] == 0 and empty.status()["newest"] is None
+
+
+def test_vectors_are_stored_with_unit_length(spark, store):
+    store.upsert(batch(spark, paper("a"), paper("b"), paper("z"), paper("n")))
+    given = [("a", [3.0, 4.0] + [0.0] * 6), ("b", [0.0, 1e-3] + [0.0] * 6), ("z", [0.0] * 8), ("n", [1.0, 1.0, 1.0] + [0.0] * 5)]
+    assert store.append_vectors(spark.createDataFrame(given, "id string, embedding array<double>")) == 4
+    stored = {r["id"]: r["embedding"] for r in store.papers().join(store.vectors(), F.col("row") == F.col("slot")).collect()}
+    half = lambda x: float(np.float16(np.float32(x)))
+    assert stored["a"][:2] == [half(0.6), half(0.8)] and stored["b"][:2] == [0.0, 1.0] and stored["z"] == [0.0] * 8
+    assert stored["n"][:3] == [half(3**-0.5)] * 3
+
+
+def test_one_vector_an_id_and_none_for_unknown_ids(spark, store):
+    store.upsert(batch(spark, paper("a"), paper("b")))
+    twice = [(0, "a", [1.0] + [0.0] * 7), (2, "a", [0.0, 2.0] + [0.0] * 6), (1, "a", [0.0] * 7 + [1.0]), (3, "none", [1.0] * 8)]
+    assert store.append_vectors(spark.createDataFrame(twice, "_order long, id string, embedding array<float>")) == 1
+    assert store.vectors().count() == store.state()["slots"] == 1 and store.vectors().first()["embedding"][1] == 1.0
+    assert {r["id"]: r["row"] for r in store.papers().collect()} == {"a": 0, "b": None}
+    version = store.state()["version"]
+    assert store.append_vectors(spark.createDataFrame([("none", [1.0] * 8)], "id string, embedding array<float>")) == 0
+    assert store.append_vectors(spark.createDataFrame([], "id string, embedding array<float>")) == 0
+    assert store.state()["version"] == version
+    with pytest.raises(Exception, match="dimensions"):
+        store.append_vectors(spark.createDataFrame([("b", None)], "id string, embedding array<float>"))
+
+
+def test_the_model_runs_once_a_paper(spark, parted, tmp_path):
+    class Counting(HashingEmbedder):
+        def embed(self, texts):
+            with open(tmp_path / "seen", "a") as f:
+                f.write("".join(t.replace("\n", " ") + "\n" for t in texts if "abstract" in t))
+            return super().embed(texts)
+
+    parted.embed_pending(Counting(8), commit_rows=20)
+    seen = (tmp_path / "seen").read_text().splitlines()
+    assert len(seen) == len(set(seen)) == 64
+
+
+def test_vacuum_takes_what_no_commit_names(spark, parted):
+    lost = parted._write("vectors", spark.createDataFrame([(0, "m", [1.0])], "slot long, model string, embedding array<float>"))
+    parts = write_parts(parted.papers(), f"{parted.path}/papers", 16)
+    parted.embed_pending(HashingEmbedder(8))
+    want = sorted(map(tuple, parted.papers().collect()))
+    assert parted.vacuum(hours=1) == []
+    gone = parted.vacuum(hours=0)
+    assert {lost, next(iter(parts.values())).rpartition("/")[0]} <= set(gone)
+    assert sorted(map(tuple, parted.papers().collect())) == want and parted.vectors().count() == 64
+
+
+def test_rows_by_hand_are_kept_in_parts(spark, parted):
+    before = parted.state()
+    parted._commit(before, papers=parted._write("papers", parted.papers().where("id < 'p3'")))
+    assert parted.papers().count() == len([k for k in range(64) if f"p{k}" < "p3"])
+
+
+def test_upsert_of_nothing_commits_nothing(spark, parted):
+    version = parted.state()["version"]
+    assert parted.upsert(batch(spark, paper("x")).limit(0)) == 64 and parted.state()["version"] == version

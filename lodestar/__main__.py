@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from .functions.cite import abs_url, biblatex
 from .functions.text import latex_to_unicode, squash
 from .operators import search as S
+from .operators.derived import SEARCH_VIEW
 from .operators.embed import HashingEmbedder, embed_query
 from .operators.filters import valid_date
 from .operators.rerank import OverlapReranker
-from .operators.store import Store, category_counts, status
+from .operators.store import Store
 from .schema import DEFAULT_K, MAX_PAGES, SCOPE
 from .serving import ResidentView, server
 from .sources.snapshot import scan_snapshot
@@ -84,22 +85,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise SystemExit("build needs a snapshot")
             store.upsert(scan_snapshot(spark, args.snapshot))
         print(f"{store.embed_pending(embedder)} embedded")
+        SEARCH_VIEW.refresh(store)
     elif args.command == "update":
         print(json.dumps(update(store, embedder, max_pages=args.max_pages)))
+        SEARCH_VIEW.refresh(store)
     elif args.command in ("search", "similar"):
         store.check_model()
         reranker = OverlapReranker() if args.rerank else None
-        if args.command == "search":
-            found = S.search(store.papers(), store.vectors(), args.text, S.cached_embedding(embed_query(embedder)), args.k, args.category, args.since, args.author, reranker)
+        if args.command == "search" and not args.text.strip():
+            found = S.Found(S.browse(store.papers(), args.k, args.category, args.since, args.author), "date")
+        elif args.command == "search":
+            found = S.search_view(SEARCH_VIEW.read(store), store.lookup, args.text, S.cached_embedding(embed_query(embedder)), args.k, args.category, args.since, args.author, reranker)
         else:
-            found = S.similar(store.papers(), store.vectors(), args.text, args.k, reranker)
+            found = S.similar_in_view(SEARCH_VIEW.read(store), store.lookup, args.text, args.k, reranker)
         if found.warning:
             print(found.warning)
         print("\n".join(found.hits.toJSON().collect() if getattr(args, "json", False) else formatted(found.hits, args.full, args.scores)))
     elif args.command == "status":
-        print(json.dumps(status(store.papers(), store.vectors()).first().asDict()))
-        for r in category_counts(store.papers()).collect():
-            print(f"{r['category']}: {r['n']}")
+        found = store.status()
+        print(json.dumps({k: v for k, v in found.items() if k != "categories"}))
+        for category, n in found["categories"].items():
+            print(f"{category}: {n}")
     elif args.command == "compact":
         print(f"{store.compact()} slots reclaimed")
     elif args.command == "serve":
@@ -112,7 +118,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print("waiting for requests under way")
         view.close()
     else:
-        entry = store.papers().where(F.col("id") == args.id).select(biblatex()).first()
+        entry = store.lookup([args.id]).select(biblatex()).first()
         if entry is None:
             raise SystemExit(f"{args.id} is not in the index")
         print(entry[0])

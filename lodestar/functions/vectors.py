@@ -26,9 +26,10 @@ def l2_normalise(v: Column) -> Column:
 
 
 def half(matrix: np.ndarray) -> np.ndarray:
-    """Rows of unit length as stored: normalised in single precision, rounded through half precision."""
+    """Rows of unit length as stored: normalised in single precision by a norm summed in double, and rounded through half
+    precision."""
     m = np.asarray(matrix, np.float32)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    norm = np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
     return (m / np.where(norm == 0, 1, norm)).astype(np.float16).astype(np.float32)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rerank_text
-from ..schema import RERANK_BATCH, RERANK_MAX_TOKENS
+from ..schema import MOST_K, RERANK_BATCH, RERANK_MAX_TOKENS
+from .scratch import scratch_path
 
 
 class Reranker(Protocol):
@@ -56,8 +57,8 @@ class Sticky:
             raise
 
 
-def rerank_frame(hits: DataFrame, query: str, reranker: Reranker) -> DataFrame:
-    """hits with rerank_margin and vector_score, and score set to the margin; best first, ties in vector order."""
+def rerank_frame(hits: DataFrame, query: str, reranker: Reranker, most: int = MOST_K) -> DataFrame:
+    """hits (most rows, or fewer) with rerank_margin and vector_score, and score set to the margin; best first, ties in vector order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -71,17 +72,24 @@ def rerank_frame(hits: DataFrame, query: str, reranker: Reranker) -> DataFrame:
 
     texts = hits.select("id", rerank_text(F.col("title"), F.col("abstract")).alias("text"))
     scored = texts.mapInPandas(run, "id string, rerank_margin double")
-    both = hits.withColumnRenamed("score", "vector_score").join(F.broadcast(scored), "id")  # a shortlist
+    both = hits.withColumnRenamed("score", "vector_score").join(F.broadcast(scored) if most <= MOST_K else scored, "id")
     return both.withColumn("score", F.col("rerank_margin")).orderBy(F.desc("rerank_margin"), F.desc("vector_score"), "id")
 
 
-def rerank(hits: DataFrame, query: str, reranker: Reranker) -> tuple[DataFrame, str | None]:
-    """(reranked hits, None), or (hits, what went wrong). A shortlist is scored at once, so a failure shows here."""
+def rerank(hits: DataFrame, query: str, reranker: Reranker, most: int = MOST_K) -> tuple[DataFrame, str | None]:
+    """(reranked hits, None), or (hits, what went wrong). hits, of which there are `most` or fewer, are scored at once, so a
+    failure shows here: a shortlist comes to the driver, and more than MOST_K go into a written table."""
     if not reranker.available():
         return hits, "the reranker is not available"
+    spark = hits.sparkSession
     try:
-        done = rerank_frame(hits, query, reranker)
-        rows = done.collect()  # a shortlist
+        done = rerank_frame(hits, query, reranker, most)
+        if most <= MOST_K:
+            scored = spark.createDataFrame(done.collect(), done.schema)
+        else:
+            path = scratch_path(spark, "reranked")
+            done.write.parquet(path)
+            scored = spark.read.schema(done.schema).parquet(path)
     except Exception as error:
         return hits, f"reranking failed: {str(error).splitlines()[0]}"
-    return hits.sparkSession.createDataFrame(rows, done.schema).orderBy(F.desc("rerank_margin"), F.desc("vector_score"), "id"), None
+    return scored.orderBy(F.desc("rerank_margin"), F.desc("vector_score"), "id"), None

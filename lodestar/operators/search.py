@@ -144,9 +144,9 @@ def vectors_of(papers: DataFrame, vectors: DataFrame) -> DataFrame:
     return embedded(papers).select("id", "row").join(vectors.select("slot", "embedding"), F.col("row") == F.col("slot")).select("id", "embedding")
 
 
-def with_rows(top: DataFrame, papers: DataFrame) -> DataFrame:
-    """Full rows of the winners, best first; top has at most a few hundred rows, which is what is broadcast."""
-    return papers.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")
+def with_rows(top: DataFrame, papers: DataFrame, k: int = MOST_K) -> DataFrame:
+    """Full rows of the winners, best first. top has k rows at most; it goes to every task only if k is small."""
+    return papers.join(F.broadcast(top) if k <= MOST_K else top, "id").orderBy(F.desc("score"), "id")
 
 
 def browse(papers: DataFrame, k: int = DEFAULT_K, categories=None, since_date=None, author=None) -> DataFrame:
@@ -172,24 +172,53 @@ def cached_embedding(embed_query: Callable[[str], Iterable[float]]) -> Callable[
 
 def search(papers: DataFrame, vectors: DataFrame, query: str | None, embed_query, k: int = DEFAULT_K, categories=None, since_date=None, author=None, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
     """Semantic search with filters before scoring; without a query the newest papers that match."""
-    from .rerank import rerank
-
     check_k(k)
     text = (query or "").strip()
     if not text:
         return Found(browse(papers, k, categories, since_date, author), "date")
-    want = max(k, SHORTLIST) if reranker else k
+    want = _wanted(k, reranker)
     found = narrow(embedded(papers), categories, since_date, author)
     top = top_k(score(vectors_of(found, vectors), embed_query(text)), want)
-    hits = with_rows(top, papers)
-    return _finish(hits, text, k, reranker, rerank)
+    return _finish(with_rows(top, papers, want), text, k, reranker)
+
+
+def search_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], text: str, embed_query, k: int = DEFAULT_K, categories=None, since_date=None, author=None, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
+    """Semantic search over a view(id, filter columns, embedding), which needs no join; k is held under MOST_K. The winners'
+    ids come to the driver, and rows_of_ids gives their papers."""
+    want = min(_wanted(check_k(k), reranker), MOST_K)
+    top = top_k(score(narrow(view, categories, since_date, author).select("id", "embedding"), embed_query(text.strip())), want).collect()
+    return _finish(_rows_of_winners(top, rows_of_ids, view), text.strip(), min(k, MOST_K), reranker)
+
 
+def similar_in_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], id_: str, k: int = DEFAULT_K, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
+    """similar() over a view, as search_view."""
+    from ..functions.text import rerank_text
+
+    own = view.where(F.col("id") == id_).select("embedding").first()
+    if own is None:
+        raise KeyError(f"{id_} is unknown or has no vector yet")
+    want = min(_wanted(check_k(k), reranker), MOST_K)
+    top = top_k(score(view.where(F.col("id") != id_).select("id", "embedding"), own["embedding"]), want).collect()
+    text = rows_of_ids([id_]).select(rerank_text(F.col("title"), F.col("abstract"))).first()[0] if reranker else ""
+    return _finish(_rows_of_winners(top, rows_of_ids, view), text, min(k, MOST_K), reranker)
+
+
+def _rows_of_winners(top: list, rows_of_ids: Callable[[list[str]], DataFrame], view: DataFrame) -> DataFrame:
+    scores = view.sparkSession.createDataFrame([(r["id"], r["score"]) for r in top], "id string, score double")
+    return with_rows(scores, rows_of_ids([r["id"] for r in top]))
+
+
+def _wanted(k: int, reranker) -> int:
+    return max(k, SHORTLIST) if reranker else k
+
+
+def _finish(hits: DataFrame, text: str, k: int, reranker) -> Found:
+    from .rerank import rerank
 
-def _finish(hits: DataFrame, text: str, k: int, reranker, rerank) -> Found:
     plain = hits.withColumn("vector_score", F.lit(None).cast("double")).withColumn("rerank_margin", F.lit(None).cast("double"))
     if reranker is None:
         return Found(plain.limit(k), "relevance")
-    done, warning = rerank(hits, text, reranker)
+    done, warning = rerank(hits, text, reranker, _wanted(k, reranker))
     if warning:
         return Found(plain.limit(k), "relevance", False, warning)
     return Found(done.limit(k), "relevance", True)
@@ -198,16 +227,15 @@ def _finish(hits: DataFrame, text: str, k: int, reranker, rerank) -> Found:
 def similar(papers: DataFrame, vectors: DataFrame, id_: str, k: int = DEFAULT_K, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
     """Nearest neighbours of a stored item, itself left out; reranked against its own text."""
     from ..functions.text import rerank_text
-    from .rerank import rerank
 
     own = vectors_of(papers.where(F.col("id") == id_), vectors).first()
     if own is None:
         raise KeyError(f"{id_} is unknown or has no vector yet")
-    want = max(check_k(k), SHORTLIST) if reranker else k
+    want = _wanted(check_k(k), reranker)
     others = vectors_of(papers.where(F.col("id") != id_), vectors)
-    hits = with_rows(top_k(score(others, own["embedding"]), want), papers)
+    hits = with_rows(top_k(score(others, own["embedding"]), want), papers, want)
     text = papers.where(F.col("id") == id_).select(rerank_text(F.col("title"), F.col("abstract"))).first()[0] if reranker else ""
-    return _finish(hits, text, k, reranker, rerank)
+    return _finish(hits, text, k, reranker)
 
 
 def recall_at(ranks: DataFrame, ks: Iterable[int] = (1, 5)) -> DataFrame:

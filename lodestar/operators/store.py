@@ -184,6 +184,10 @@ class Store:
                 raise RuntimeError("another writer has changed the index") from error
             raise
 
+    def commit(self, before: dict, **changes) -> dict:
+        """The version after `before`, if no other writer has made it."""
+        return self._commit(before, **changes)
+
     def _commit(self, before: dict, **changes) -> dict:
         state = before | changes | {"version": before["version"] + 1}
         self._point(state)
@@ -245,20 +249,20 @@ class Store:
         derived = before["derived"] if same else {}
         return {"parts": parts, "papers": kept(before["papers"]) | fresh, "stats": kept(before["stats"]) | stats, "derived": derived}
 
-    def papers(self, of: Iterable[int] | None = None) -> DataFrame:
-        """All papers, or those of some parts."""
-        return read_parts(self.spark, self.state()["papers"], STORED, of)
+    def papers(self, of: Iterable[int] | None = None, state: dict | None = None) -> DataFrame:
+        """All papers, or those of some parts; of the newest version if no state is given."""
+        return read_parts(self.spark, (state or self.state())["papers"], STORED, of)
 
-    def lookup(self, ids: Iterable[str]) -> DataFrame:
+    def lookup(self, ids: Iterable[str], state: dict | None = None) -> DataFrame:
         """The papers of a few ids, read from the parts that hold them."""
         wanted = list(ids)
-        state = self.state()
+        state = state or self.state()
         named = self.spark.createDataFrame([(i,) for i in wanted], "id string")
         return read_parts(self.spark, state["papers"], STORED, touched(named, state["parts"])).where(F.col("id").isin(wanted))
 
-    def vectors(self, since: int = 0) -> DataFrame:
+    def vectors(self, since: int = 0, state: dict | None = None) -> DataFrame:
         """All vectors, or those of the tables that reach slot `since` or beyond."""
-        at = [v["path"] for v in self.state()["vectors"] if v["start"] + v["n"] > since]
+        at = [v["path"] for v in (state or self.state())["vectors"] if v["start"] + v["n"] > since]
         return self.spark.read.schema(VECTORS).parquet(*at) if at else self.spark.createDataFrame([], VECTORS)
 
     def meta(self, key: str, default: str | None = None) -> str | None:
@@ -272,10 +276,10 @@ class Store:
         before = self.state()
         self._commit(before, meta=values | before["meta"])
 
-    def status(self) -> dict:
+    def status(self, state: dict | None = None) -> dict:
         """papers, pending, embedded, slots, reclaimable, newest and the counts of the scope's categories, as the commits
         counted them when they wrote: no table is read."""
-        state = self.state()
+        state = state or self.state()
         stats = list(state["stats"].values())
         papers, embedded = (sum(s[k] for s in stats) for k in ("papers", "embedded"))
         found = {"papers": papers, "pending": papers - embedded, "embedded": embedded, "newest": max((s["newest"] for s in stats if s["newest"] is not None), default=None)}
@@ -381,6 +385,8 @@ class Store:
         moved = vectors.join(numbered, "slot").select(F.col("new").alias("slot"), "model", "embedding")
         renumbered = papers.join(numbered, papers["row"] == numbered["slot"], "left").withColumn("row", F.col("new")).select(*STORED.fieldNames())
         held = [{"path": self._write("vectors", moved), "start": 0, "n": n}] if n else []
-        self._commit(before, vectors=held, slots=n, **self._rewritten(before, renumbered, list(range(before["parts"])), before["parts"]))
+        # what was derived under the old slots is of no use
+        changes = self._rewritten(before, renumbered, list(range(before["parts"])), before["parts"]) | {"derived": {}}
+        self._commit(before, vectors=held, slots=n, **changes)
         self._fs.delete(self._path(scratch), True)
         return before["slots"] - n

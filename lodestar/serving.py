@@ -1,7 +1,8 @@
 """A resident view of an index and a small JSON interface to it (WSGI, standard library only).
 
-The view keeps the current version's papers and vectors cached in the executors; what a lost executor held is read
-again from the version's tables. Every request compares version numbers and reloads when a writer has committed.
+The view keeps what a search filters and scores cached in the executors, joined once a version; what a lost executor
+held is read again from the version's tables. Full rows are read for the winners only, from the parts that hold them.
+Every request compares version numbers and reloads when a writer has committed.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from socketserver import ThreadingMixIn
 from urllib.parse import parse_qs
 from wsgiref.simple_server import WSGIRequestHandler, WSGIServer, make_server
 
-from pyspark.sql import functions as F
-
 from .functions.cite import biblatex
 from .operators import filters
 from .operators import search as S
+from .operators.derived import SEARCH_VIEW
 from .operators.embed import embed_query
-from .operators.store import Store, category_counts, status
+from .operators.store import Store
 from .schema import SERVED_K
 
 
@@ -33,42 +33,45 @@ class ResidentView:
         self._store, self._reranker = store, reranker
         self._embed = S.cached_embedding(embed_query(embedder))
         self._lock = threading.Lock()
-        self._version, self._papers, self._vectors = None, None, None
+        self._state, self._listed, self._view = None, None, None
 
     def tables(self):
-        """papers and vectors of the newest version."""
+        """Of the newest version: its state, all papers with what a listing filters by, and the search view."""
         with self._lock:
-            version = self._store.state()["version"]
-            if version != self._version:
+            state = self._store.state()
+            if self._state is None or state["version"] != self._state["version"]:
                 self.close()
-                self._papers, self._vectors = self._store.papers().persist(), self._store.vectors().persist()
-                self._version = version
-            return self._papers, self._vectors
+                self._listed = self._store.papers(state=state).select("id", "row", "categories", "update_date", "authors_folded").persist()
+                self._view = SEARCH_VIEW.read(self._store, state).persist()
+                self._state = state
+            return self._state, self._listed, self._view
 
     def close(self) -> None:
-        for held in (self._papers, self._vectors):
+        for held in (self._listed, self._view):
             if held is not None:
                 held.unpersist()
-        self._version = None
+        self._state = None
 
     def search(self, ask: "Ask") -> S.Found:
-        reranker = self._reranker if ask.rerank and ask.text else None
-        return S.search(*self.tables(), ask.text, self._embed, ask.k, ask.categories, ask.since, ask.author, reranker)
+        state, listed, view = self.tables()
+        if ask.text:
+            return S.search_view(view, lambda ids: self._store.lookup(ids, state), ask.text, self._embed, ask.k, ask.categories, ask.since, ask.author, self._reranker if ask.rerank else None)
+        newest = [r["id"] for r in S.browse(listed, ask.k, ask.categories, ask.since, ask.author).select("id").collect()]  # k of them
+        return S.Found(S.browse(self._store.lookup(newest, state), ask.k), "date")
 
     def similar(self, ask: "Ask") -> S.Found:
-        return S.similar(*self.tables(), ask.id, ask.k, self._reranker if ask.rerank else None)
+        state, _, view = self.tables()
+        return S.similar_in_view(view, lambda ids: self._store.lookup(ids, state), ask.id, ask.k, self._reranker if ask.rerank else None)
 
     def unranked(self, ask: "Ask") -> int:
         """How many papers the filters match, with or without a vector."""
-        return S.count_matching(self.tables()[0], ask.categories, ask.since, ask.author)
+        return S.count_matching(self.tables()[1], ask.categories, ask.since, ask.author)
 
     def status(self) -> dict:
-        papers, vectors = self.tables()
-        counts = {r["category"]: r["n"] for r in category_counts(papers).collect()}
-        return status(papers, vectors).first().asDict() | {"categories": counts}
+        return self._store.status(self.tables()[0])
 
     def cite(self, ask: "Ask") -> str:
-        found = self.tables()[0].where(F.col("id") == ask.id).select(biblatex()).first()
+        found = self._store.lookup([ask.id], self.tables()[0]).select(biblatex()).first()
         if found is None:
             raise KeyError(f"{ask.id} is not in the index")
         return found[0]

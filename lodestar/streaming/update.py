@@ -21,7 +21,7 @@ from ..sources.snapshot import to_papers
 def resolve_cursor(store: Store) -> dt.datetime:
     """The stored cursor, else midnight of the newest stored date, else the feed's beginning. What can't be read as a
     time counts as missing."""
-    newest = store.papers().agg(F.max("update_date")).first()[0]
+    newest = store.status()["newest"]
     for found in (store.meta(CURSOR_KEY), newest and f"{newest}T00:00:00+00:00"):
         try:
             return dt.datetime.fromisoformat(found)

@@ -18,10 +18,13 @@ from ..functions.vectors import dot, rows_of
 from ..schema import DEFAULT_K, MOST_K, QUERY_CACHE, SHORTLIST
 from .filters import embedded, narrow
 
-#: Query vectors scored in one block; more take further blocks over the same batches.
+#: Query vectors scored in one block; more take further blocks over the same vectors.
 QUERY_BLOCK = 256
-#: Bytes of query vectors that go to every task at once.
+#: Bytes of query vectors, about, that a task holds at once; more make further groups.
 QUERY_BYTES = 64_000_000
+#: Vectors packed into one row, by number and bytes.
+VECTOR_BLOCK = 8_192
+VECTOR_BYTES = 8_000_000
 
 
 def check_k(k: int) -> int:
@@ -46,71 +49,110 @@ def top_k(scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     return scored.orderBy(F.desc("score"), id_col).limit(check_k(k))
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "query_id", exclude_self: bool = True) -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "query_id", exclude_self: bool = True, slices: int | None = None) -> DataFrame:
     """query_id, id, score, rank: for each query vector its k best among all vectors, ties by id.
 
-    queries(query_id long, embedding) are a stated set; they go out in blocks of at most QUERY_BYTES. Each task
-    multiplies its batches with a block and keeps k rows a query, so what meets is k * tasks rows a query and not
-    all pairs. Vectors of another length than the first query's are refused; a null vector is skipped."""
+    queries(query_id long, embedding) are a stated set, of any size. Both sides are packed into blocks on the executors,
+    the vectors in one scan. Blocks of vectors are dealt over slices, and those of queries over groups of QUERY_BYTES or
+    so; a group meets a slice in one place, where its queries come first and the vectors stream past, each block
+    multiplied with each. k rows a query leave each slice, so what meets is k * slices rows a query and not all pairs. The
+    driver learns only how many queries there are. Vectors of another length than the queries' are refused; a null vector
+    is skipped."""
     check_k(k)
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    parts: list[DataFrame] = []
-
-    def flush() -> None:
-        if ids:
-            parts.append(_block_top_k(vectors, np.array(ids, np.int64), np.array(rows, np.float64), k, id_col, exclude_self))
-            ids.clear(), rows.clear()
-
-    for r in queries.where(F.col("embedding").isNotNull()).select(query_col, "embedding").toLocalIterator():
-        ids.append(r[0]), rows.append(r[1])
-        if len(ids) * len(r[1]) * 8 >= QUERY_BYTES:
-            flush()
-    flush()
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"{query_col} long, {id_col} long, score double, rank int")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    spark = vectors.sparkSession
+    asked = queries.where(F.col("embedding").isNotNull())
+    size = F.size("embedding")
+    about = asked.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("dim")).first()
+    if not about["n"]:
+        return spark.createDataFrame([], f"{query_col} long, {id_col} long, score double, rank int")
+    if about["low"] != about["dim"]:
+        raise ValueError("queries of unequal dimensions")
+    groups = -(-about["n"] * about["dim"] * 8 // QUERY_BYTES)
+    slices = slices or spark.sparkContext.defaultParallelism
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    few = _packed(asked, query_col, QUERY_BLOCK).select(dealt(groups).alias("g"), to_all(slices).alias("slice"), F.lit(0).alias("kind"), "ids", "data")
+    many = _packed(vectors.where(F.col("embedding").isNotNull()), id_col, VECTOR_BLOCK).select(to_all(groups).alias("g"), dealt(slices).alias("slice"), F.lit(1).alias("kind"), "ids", "data")
+    met = few.unionByName(many).repartition(groups * slices, "g", "slice").sortWithinPartitions("g", "slice", "kind")
+    found = met.mapInArrow(_best_of_slice(about["dim"], k, exclude_self), "q long, id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
-def _block_top_k(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, id_col: str, exclude_self: bool) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, queries))
-
-    def best(of: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
-        order = np.lexsort((of, -scores))
-        return order[:keep]
+def _packed(vectors: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """ids and data of blocks of vectors: 64-bit ids, and the matrix in double precision."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        qid, q = shared.value
-        held_ids = [np.empty(0, np.int64)] * len(qid)
-        held = [np.empty(0)] * len(qid)
         for batch in batches:
+            matrix = rows_of(batch.column(1)).astype(np.float64)
             own = batch.column(0).to_numpy()
-            m = rows_of(batch.column(1)).astype(np.float64)
-            for a in range(0, len(qid), QUERY_BLOCK):
-                scores = q[a : a + QUERY_BLOCK] @ m.T
-                for i in range(len(scores)):
-                    n = a + i
-                    s = scores[i]
-                    usable = np.flatnonzero(own != qid[n]) if exclude_self else np.arange(len(own))
-                    if len(usable) > k:  # all that tie with the k-th stay, so that ids can settle it
-                        least = np.partition(s[usable], len(usable) - k)[len(usable) - k]
-                        usable = usable[s[usable] >= least]
-                    merged_ids = np.r_[held_ids[n], own[usable]]
-                    merged = np.r_[held[n], s[usable]]
-                    keep = best(merged_ids, merged, k)
-                    held_ids[n], held[n] = merged_ids[keep], merged[keep]
-        counts = [len(x) for x in held]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, counts)), pa.array(np.concatenate(held_ids)), pa.array(np.concatenate(held))], names=["q", "id", "score"])
-
-    slim = vectors.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
-    return slim.mapInArrow(run, "q long, id long, score double")
+            step = max(1, min(rows, VECTOR_BYTES // max(matrix.shape[1] * 8, 1)))
+            at = range(0, len(own), step)
+            yield pa.RecordBatch.from_arrays([pa.array([own[i : i + step].tobytes() for i in at], pa.binary()), pa.array([matrix[i : i + step].tobytes() for i in at], pa.binary())], names=["ids", "data"])
+
+    return vectors.select(F.col(id_col).cast("long").alias("id"), "embedding").where(F.col("id").isNotNull()).mapInArrow(run, "ids binary, data binary")
+
+
+class _Best:
+    """The k best of what a block of queries has met."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool):
+        self._ids, self._queries, self._k, self._exclude = ids, queries, k, exclude_self
+        self._at, self._found, self._scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self._queries @ vectors.T
+        if self._exclude:
+            scores[self._ids[:, None] == ids[None, :]] = -np.inf
+        if len(ids) > self._k:  # all that tie with the k-th stay, so that ids can settle it
+            least = np.partition(scores, len(ids) - self._k, axis=1)[:, len(ids) - self._k]
+            at, of = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        else:
+            at, of = np.nonzero(scores > -np.inf)
+        at, found, score = np.r_[self._at, at], np.r_[self._found, ids[of]], np.r_[self._scores, scores[at, of]]
+        order = np.lexsort((found, -score, at))
+        at = at[order]
+        first = np.searchsorted(at, at)  # where each query's begin
+        kept = np.arange(len(at)) - first < self._k
+        self._at, self._found, self._scores = at[kept], found[order][kept], score[order][kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._ids[self._at], self._found, self._scores
+
+
+def _best_of_slice(dim: int, k: int, exclude_self: bool) -> Callable[[Iterator], Iterator]:
+    """Over rows sorted by group, slice and kind: the k best of each query in each slice."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(held: list[_Best]):
+            columns = zip(*(b.rows() for b in held))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["q", "id", "score"])
+
+        place, held = None, []
+        for batch in batches:
+            for g, slice_, kind, ids, data in zip(*(batch.column(i) for i in range(5))):
+                if (g, slice_) != place:
+                    if held:
+                        yield out(held)
+                    place, held = (g, slice_), []
+                own = np.frombuffer(ids.as_buffer(), np.int64)
+                matrix = np.frombuffer(data.as_buffer(), np.float64).reshape(len(own), -1)
+                if matrix.shape[1] != dim:
+                    raise ValueError(f"vectors of {matrix.shape[1]} dimensions and queries of {dim}")
+                if kind.as_py() == 0:
+                    held.append(_Best(own, matrix, k, exclude_self))
+                else:
+                    for block in held:
+                        block.meet(own, matrix)
+        if held:
+            yield out(held)
+
+    return run
 
 
 def score_arrow(vectors: DataFrame, query: Iterable[float], id_col: str = "id") -> DataFrame:

@@ -113,3 +113,47 @@ def test_embed_helpers():
     assert waits == [1, 2, 4]
     unit = search.cached_embedding(embed.embed_query(e))
     assert abs(np.linalg.norm(unit("rings")) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("k,slices,query_bytes,exclude", [(4, None, 64_000_000, True), (4, 3, 100, True), (1, 7, 250, False), (100, 2, 64_000_000, True)])
+def test_batch_top_k_in_groups_and_slices(spark, monkeypatch, k, slices, query_bytes, exclude):
+    monkeypatch.setattr(search, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    m = rng.integers(-2, 3, (70, 4)).astype(float)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(90, None), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(6)
+    q = spark.createDataFrame(rows[::3], "query_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in search.batch_top_k(v, q, k, exclude_self=exclude, slices=slices).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    for i in range(0, 70, 3):
+        order = sorted((j for j in range(70) if j != i or not exclude), key=lambda j: (-float(m[i] @ m[j]), j))[:k]
+        assert sorted(got.pop(i)) == [(n + 1, j, float(m[i] @ m[j])) for n, j in enumerate(order)]
+    assert not got
+
+
+def test_query_vectors_stay_off_the_driver(spark, index, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    _, v = index
+    many = v.select(F.col("slot").alias("id"), "embedding")
+    brought = []
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        real = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, _f=real, **b: brought.append(self.columns) or _f(self, *a, **b))
+    found = search.batch_top_k(many, many.withColumnRenamed("id", "query_id"), 3)
+    assert all("embedding" not in columns and "data" not in columns for columns in brought)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    brought.clear()
+    assert found.count() == 3 * many.count()
+
+
+def test_batch_top_k_refuses_other_dimensions(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, embedding array<float>")
+    with pytest.raises(Exception, match="dimensions"):
+        search.batch_top_k(v, v.withColumnRenamed("id", "query_id"), 1)
+    with pytest.raises(Exception, match="dimensions"):
+        search.batch_top_k(v, v.where("id = 1").withColumnRenamed("id", "query_id"), 1).collect()

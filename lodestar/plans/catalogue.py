@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cite, registered, text
 from ..functions.vectors import dot, l2_norm, l2_normalise
 from ..operators import filters, search, store
+from ..operators.derived import SEARCH_VIEW
 from ..operators.rerank import OverlapReranker, rerank_frame
 from ..operators.scratch import scratch_path
 from ..schema import METADATA, SCOPE
@@ -416,16 +417,64 @@ def similar_papers(spark, sf_dir):
     return _rounded(found.hits.select("id", "title", "score"))
 
 
-@query("""SELECT id, row_number() OVER (ORDER BY id) - 1 AS slot FROM papers WHERE "row" IS NOT NULL""")
-def append_vectors(spark, sf_dir):
-    """A new index filled with all papers and then with the vectors of those that have one, in slots by id."""
+# a vector as it is stored: of unit length in single precision, each component rounded to a half (to even, quantum 2^-24 at least)
+_QUANTUM = "pow(2, greatest(floor(log2(abs(y))), -14) - 10)"
+_LENGTH = "CAST(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS FLOAT)"
+_STORED = f"list_transform(list_transform(e.embedding, lambda x: CAST(CAST(x / {_LENGTH} AS FLOAT) AS DOUBLE)), lambda y: CASE WHEN y = 0 THEN 0 ELSE round_even(y / {_QUANTUM}, 0) * {_QUANTUM} END)"
+_MOMENT = "list_sum(list_transform(stored, lambda x, i: x * i))"
+
+
+def _index(spark: SparkSession, sf_dir: str, part_rows: int) -> store.Store:
+    """A new index of all papers, and the vectors of those that have one, tripled, in slots by id."""
     own = papers(spark, sf_dir)
-    dim = len(_near(spark, sf_dir))
-    fresh = store.Store(spark, scratch_path(spark, "index"), "given", dim)
+    fresh = store.Store(spark, scratch_path(spark, "index"), "given", len(_near(spark, sf_dir)), part_rows)
     fresh.upsert(own.select("id", *METADATA))
-    fresh.append_vectors(search.vectors_of(own, vectors(spark, sf_dir)))
-    joined = search.vectors_of(fresh.papers(), fresh.vectors()).select("id")
-    return fresh.papers().join(joined, "id").select("id", F.col("row").alias("slot"))
+    fresh.append_vectors(search.vectors_of(own, vectors(spark, sf_dir)).select("id", F.transform("embedding", lambda x: x * 3).alias("embedding")))
+    return fresh
+
+
+@query(f"""SELECT id, slot, round({_MOMENT}, 6) AS moment FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS slot, {_STORED.replace("e.embedding", "list_transform(e.embedding, lambda z: CAST(z * 3 AS FLOAT))")} AS stored FROM papers JOIN embeddings e ON "row" = vec_id)""")
+def append_vectors(spark, sf_dir):
+    """Slots by id, and where the weight of each stored vector lies: they are stored with unit length, as halves."""
+    fresh = _index(spark, sf_dir, store.PART_ROWS)
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    joined = fresh.papers().join(fresh.vectors(), F.col("row") == F.col("slot"))
+    return joined.select("id", "slot", F.round(moment, 6).alias("moment"))
+
+
+_STORED_COS = "list_inner_product(stored, q.embedding::DOUBLE[])"
+
+
+@query(
+    f"""SELECT id, title, round({_STORED_COS}, 6) AS score FROM (SELECT p.*, {_STORED.replace("e.embedding", "list_transform(e.embedding, lambda z: CAST(z * 3 AS FLOAT))")} AS stored FROM papers p JOIN embeddings e ON p."row" = e.vec_id),
+    (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+    WHERE list_has_any(string_split(categories, ' '), ['math.AG', 'math.CO']) AND update_date >= '1995-03-01' AND contains({_FOLD}, 'hardy')
+    ORDER BY {_STORED_COS} DESC, id LIMIT 10"""
+)
+def view_search(spark, sf_dir):
+    """The filtered search again, over a stored index in parts and its search view, without a join."""
+    fresh, near = _index(spark, sf_dir, 100), _near(spark, sf_dir)
+    SEARCH_VIEW.refresh(fresh)
+    found = search.search_view(SEARCH_VIEW.read(fresh), fresh.lookup, "anything", lambda _: near, 10, ["math.AG", "math.CO"], "1995-03-01", "Hardy", score=search.score_native)
+    return _rounded(found.hits.select("id", "title", "score"))
+
+
+@query(
+    f"""{_INCREMENT}, merged AS (SELECT coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NULL THEN p.categories ELSE c.categories END AS categories,
+      CASE WHEN c.id IS NULL THEN p.update_date ELSE c.update_date END AS update_date, CASE WHEN c.id IS NULL OR (p.id IS NOT NULL AND NOT ({_DIFFERS})) THEN p."row" END AS "row"
+      FROM papers p FULL JOIN changed c ON p.id = c.id)
+    SELECT count(*) AS papers, count(*) FILTER ("row" IS NULL) AS pending, count("row") AS embedded, max(update_date) AS newest,
+    (SELECT count(*) FROM papers WHERE "row" IS NOT NULL) AS slots, (SELECT count(*) FROM papers WHERE "row" IS NOT NULL) - count("row") AS reclaimable,
+    {", ".join(f"count(*) FILTER (list_contains(string_split(categories, ' '), '{c}')) AS {c.replace('.', '_').lower()}" for c in SCOPE)} FROM merged"""
+)
+def commit_counts(spark, sf_dir):
+    """What the commits of an index counted as they wrote it, after a second batch: read from the commit's file alone."""
+    fresh = _index(spark, sf_dir, 100)
+    fresh.upsert(_increment(spark, sf_dir))
+    found = fresh.status()
+    counts = {c.replace(".", "_").lower(): n for c, n in found.pop("categories").items()}
+    row = found | counts
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k == 'newest' else 'long'}" for k in row))
 
 
 @query(

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..schema import ABSTRACT_URL, EPRINT_TYPE, KEY_PREFIX
 from .text import squash
@@ -55,10 +53,18 @@ def balanced(text: str) -> str:
     return "".join(reversed(left))
 
 
-@F.pandas_udf(StringType())
-def balance_braces(texts: pd.Series) -> pd.Series:
-    braced = texts.str.contains("[{}]", regex=True, na=False)
-    return texts.where(~braced, texts[braced].map(balanced))
+#: Characters that no text may hold stand for matched braces meanwhile.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def balance_braces(c: Column) -> Column:
+    """balanced on the JVM. Pairs with no brace between them are marked, again and again from the inside outwards, which
+    takes as many rounds as braces are nested; what is left has no partner."""
+    deepest = F.least(F.regexp_count(c, F.lit(r"\{")), F.regexp_count(c, F.lit(r"\}")))
+    rounds = F.sequence(F.lit(1), deepest)
+    marked = F.aggregate(rounds, c, lambda t, _: F.regexp_replace(t, r"\{([^{}]*)\}", f"{_OPEN}$1{_CLOSE}"))
+    paired = F.when(deepest > 0, marked).otherwise(c)
+    return F.when(c.rlike("[{}]"), F.translate(F.translate(paired, "{}", ""), _OPEN + _CLOSE, "{}")).otherwise(c)
 
 
 def citation_fields() -> list[tuple[str, Column]]:
@@ -81,8 +87,7 @@ _ALWAYS = ("title", "eprint", "eprinttype", "url")
 
 
 def biblatex(balance: bool = True) -> Column:
-    """An @online entry from the columns of papers. balance: braces without a partner go, which takes a UDF per field
-    that may hold some."""
+    """An @online entry from the columns of papers. balance: braces without a partner go."""
     lines, widths = [], []
     for name, value in citation_fields():
         present = (F.coalesce(value, F.lit("")) != "") | F.lit(name in _ALWAYS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..schema import KEY_PREFIX
-from .text import display_accents, fold, latex_to_unicode
+from .text import BATCHED
 
 #: name, parameters, result and body of the functions that SQL can say itself; Catalyst inlines them.
 SQL_FUNCTIONS = (
@@ -20,7 +20,7 @@ SQL_FUNCTIONS = (
     ("cite_key", "id STRING", "STRING", f"concat('{KEY_PREFIX}', replace(coalesce(id, ''), '/', '_'))"),
 )
 #: Functions that need Unicode tables; they run on whole Arrow batches.
-BATCH_FUNCTIONS = {"latex_to_unicode": latex_to_unicode, "fold": fold, "display_accents": display_accents}
+BATCH_FUNCTIONS = BATCHED
 
 
 def register(spark: SparkSession) -> list[str]:

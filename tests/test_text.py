@@ -122,3 +122,42 @@ def test_biblatex(spark):
         "  url         = {https://arxiv.org/abs/math/0605123},",
         "}",
     ]
+
+
+def random_tex(n, seed=11):
+    """Strings of TeX commands, accents, braces, blanks of all kinds, and letters of several scripts."""
+    import random
+
+    rng = random.Random(seed)
+    bits = ["\\" + c for c in text.TEX_LETTERS] + ["\\" + m for m in text._SYMBOLS + text._NAMES] + list("{}{}() \t\n\\ab12_eiouAZxyqss")
+    bits += ["é", "ø", "Ł", "ß", "Þ", "ﬁ", "Å", "é", "̣", "ı", "ȷ", "İ", "ς", "Σ", "가", "漢", "²", "Ⅳ", " ", " ", "\x1c", "\x85", "ि", "क", "ẞ", "ŉ", "😀", "{\\", "\\'", "\\\"{", "\\c{c}", "\\v s", "and ", ", "]
+    return ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(n)] + [None, "", "\\", "\\\\", "{", "(a(b)c)"]
+
+
+def test_columns_equal_the_scalar_rules_on_random_tex(spark):
+    import pandas as pd
+
+    raw = random_tex(6000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string").repartition(4)
+    shown = df.select("i", text.display_accents("t").alias("a"), text.latex_to_unicode("t").alias("b"), text.fold("t").alias("c"))
+    got = {r["i"]: tuple(r)[1:] for r in shown.collect()}
+    series = pd.Series(raw, dtype=object)
+    want = list(zip(text.tex_accents(series.fillna("")), text._unicode(series), text.fold_series(series)))
+    assert [(raw[i], got[i], w) for i, w in enumerate(want) if got[i] != w] == []
+
+
+def test_no_python_in_text_functions(spark):
+    df = spark.createDataFrame([("a", "b", "c", "d", "e", "f", "g")], "id string, title string, authors string, categories string, update_date string, doi string, journal_ref string")
+    shown = df.select(text.fold("authors"), text.latex_to_unicode("title"), text.display_accents("title"), cite.biblatex(), cite.balance_braces(F.col("title")))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_braces_on_the_jvm_equal_the_scan(spark):
+    import random
+
+    rng = random.Random(5)
+    raw = ["".join(rng.choices("{}{}ab \\", k=rng.randrange(18))) for _ in range(4000)] + ["", "{" * 50 + "x" + "}" * 60, "}" * 30 + "{" * 30, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string").repartition(4)
+    got = {r["i"]: r["b"] for r in df.select("i", cite.balance_braces(F.col("t")).alias("b")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(raw) if got[i] != (t and cite.balanced(t))] == []

@@ -91,3 +91,22 @@ def test_registered_functions(spark):
     assert "dot" in registered.register(spark)
     got = spark.sql("SELECT dot(array(1, 2), array(3, 4)) AS d, l2_normalise(array(0, 0)) AS z, l2_normalise(array(3, 4)) AS u, cite_key(null) AS k, dot(null, array(1)) AS n").first()
     assert got["d"] == 11 and got["z"] == [0, 0] and got["u"] == [0.6, 0.8] and got["k"].endswith(":") and got["n"] is None
+
+
+def test_citations_in_sql_equal_the_columns(spark):
+    from lodestar.functions import cite
+
+    assert {"arxiv_year", "biblatex"} <= set(registered.register(spark))
+    rows = [
+        ("math/0605123", r"On  $x$ {a} } {", "A. One and B. Two, and ", "math.CO cs.X", "2006-05-01", "10.1/{x", " J.  1 "),
+        ("9013.1", "", None, None, "1999-01-01", None, None),
+        ("alg-geom/9202001", None, "and", " ", None, "", ""),
+        ("x", "}{{a}b}", "X, Y & Z, &", "\tmath.AG", "soon", "d", None),
+    ]
+    papers = spark.createDataFrame(rows, "id string, title string, authors string, categories string, update_date string, doi string, journal_ref string")
+    papers.createOrReplaceTempView("cited")
+    shown = spark.sql("SELECT id, arxiv_year(id, update_date) AS year, biblatex(id, title, authors, categories, update_date, doi, journal_ref) AS entry, balance_braces(title) AS title FROM cited")
+    from pyspark.sql import functions as F
+
+    wanted = papers.select("id", cite.id_year(F.col("id"), F.col("update_date")).alias("year"), cite.biblatex().alias("entry"), cite.balance_braces(F.col("title")).alias("title"))
+    assert sorted(map(tuple, shown.collect())) == sorted(map(tuple, wanted.collect()))

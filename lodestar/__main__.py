@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.cite import abs_url, biblatex
 from .functions.text import latex_to_unicode, squash
 from .operators import search as S
-from .operators.derived import SEARCH_VIEW
+from .operators.derived import SEARCH_VIEW, newest, refresh_all
 from .operators.embed import HashingEmbedder, embed_query
 from .operators.filters import valid_date
 from .operators.rerank import OverlapReranker
@@ -85,15 +85,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise SystemExit("build needs a snapshot")
             store.upsert(scan_snapshot(spark, args.snapshot))
         print(f"{store.embed_pending(embedder)} embedded")
-        SEARCH_VIEW.refresh(store)
+        refresh_all(store)
     elif args.command == "update":
         print(json.dumps(update(store, embedder, max_pages=args.max_pages)))
-        SEARCH_VIEW.refresh(store)
+        refresh_all(store)
     elif args.command in ("search", "similar"):
         store.check_model()
         reranker = OverlapReranker() if args.rerank else None
         if args.command == "search" and not args.text.strip():
-            found = S.Found(S.browse(store.papers(), args.k, args.category, args.since, args.author), "date")
+            found = S.Found(newest(store, args.k, args.category, args.since, args.author)[0], "date")
         elif args.command == "search":
             found = S.search_view(SEARCH_VIEW.read(store), store.lookup, args.text, S.cached_embedding(embed_query(embedder)), args.k, args.category, args.since, args.author, reranker)
         else:

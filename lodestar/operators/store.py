@@ -197,8 +197,9 @@ class Store:
     @staticmethod
     def _tables(state: dict) -> set[str]:
         """The folders that a version names."""
-        derived = (x["path"] for table in state["derived"].values() for x in table.values() if x["path"])
-        return {*state["papers"].values(), *(v["path"] for v in state["vectors"]), *derived}
+        derived = [x["path"] for table in state["derived"].values() for x in table.values() if x["path"]]
+        listing = [state["listing"]["folder"]] if state.get("listing") else []
+        return {*state["papers"].values(), *(v["path"] for v in state["vectors"]), *derived, *listing}
 
     def _clean(self, *kept: dict) -> None:
         """Removes older commits than those kept, and the tables that only they name."""

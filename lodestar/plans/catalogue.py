@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cite, registered, text
 from ..functions.vectors import dot, l2_norm, l2_normalise
 from ..operators import filters, search, store
-from ..operators.derived import SEARCH_VIEW
+from ..operators.derived import AUTHOR_GRAMS, SEARCH_VIEW, newest, refresh_listing, with_author
 from ..operators.rerank import OverlapReranker, rerank_frame
 from ..operators.scratch import scratch_path
 from ..schema import METADATA, SCOPE
@@ -442,6 +442,29 @@ def append_vectors(spark, sf_dir):
     return joined.select("id", "slot", F.round(moment, 6).alias("moment"))
 
 
+def _stored_papers(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A new index of all papers in parts, without vectors."""
+    fresh = store.Store(spark, scratch_path(spark, "index"), "given", 1, 100)
+    fresh.upsert(papers(spark, sf_dir).select("id", *METADATA))
+    return fresh
+
+
+@query(f"SELECT id, authors FROM papers WHERE contains({_FOLD}, 'hardy') AND contains({_FOLD}, 'ittlewoo') AND contains({_FOLD}, 'h.')")
+def author_search_indexed(spark, sf_dir):
+    """Papers by parts of their authors' names, one of them of two letters: through the grams of the stored authors."""
+    fresh = _stored_papers(spark, sf_dir)
+    AUTHOR_GRAMS.refresh(fresh)
+    return with_author(fresh.papers(), AUTHOR_GRAMS.read(fresh), "Hardy, ittlewoo and H.").select("id", "authors")
+
+
+@query(f"{_BROWSE} WHERE list_has_any(string_split(categories, ' '), ['math.CO']) AND update_date >= '1996-02-01' {_NEWEST} 60")
+def browse_listed(spark, sf_dir):
+    """The newest papers of a category from files ranged by date, opened until sixty stand."""
+    fresh = _stored_papers(spark, sf_dir)
+    refresh_listing(fresh, 50)
+    return newest(fresh, 60, ["math.CO"], "1996-02-01")[0].select(*_SLIM)
+
+
 _STORED_COS = "list_inner_product(stored, q.embedding::DOUBLE[])"
 
 

@@ -132,3 +132,81 @@ def test_winners_beyond_the_broadcast_bound(spark, store, monkeypatch):
     found = search.search(store.papers(), store.vectors(), "title 7", lambda _: query, 10, reranker=OverlapReranker())
     assert found.reranked and found.hits.count() == 10
     assert search.search_view(derived.SEARCH_VIEW.read(store), store.lookup, "title 7", lambda _: query, 10).hits.count() == 3
+
+
+NAMES = ["Emmy Noether", "G. H. Hardy, J. E. Littlewood", r"P. Erd\H{o}s", None, "", "Xy", r"Stra\ss er", "Øystein Ore, 華 羅庚", "aaaa", "A. A"]
+
+
+def named_papers(spark, path):
+    found = Store(spark, f"file://{path}/index", "hashing", DIM, part_rows=25)
+    found.upsert(batch(spark, *(author(f"p{k}", NAMES[k % len(NAMES)], date=None if k % 11 == 0 else f"20{k % 20 + 10}-0{k % 9 + 1}-01", categories=["math.CO", "math.AG math.CO", "cs.X"][k % 3]) for k in range(100))))
+    return found
+
+
+@pytest.fixture
+def named(spark, tmp_path):
+    return named_papers(spark, tmp_path)
+
+
+@pytest.fixture(scope="module")
+def kept(spark, tmp_path_factory):
+    """An index that no test changes, with its derived tables."""
+    found = named_papers(spark, tmp_path_factory.mktemp("kept"))
+    derived.AUTHOR_GRAMS.refresh(found)
+    derived.refresh_listing(found, 10)
+    return found
+
+
+@pytest.fixture(scope="module")
+def changed_since(spark, tmp_path_factory):
+    """One whose listing was made before its last commit."""
+    found = named_papers(spark, tmp_path_factory.mktemp("changed"))
+    derived.refresh_listing(found, 10)
+    found.upsert(batch(spark, paper("p5", date="2031-01-01"), paper("late", date=None), paper("p6", date="1999-01-01")))
+    return found
+
+
+def test_author_index_equals_contains(spark, kept):
+    papers, grams = kept.papers().cache(), derived.AUTHOR_GRAMS.read(kept).cache()
+    for asked in ["noether", "Hardy, little", "h. hardy, j.", "xy", "x", "a", "aaa", "aaaa", "aaaaa", "erdős", "strasse", "華 羅", "羅庚", "er, oet", "nobody", ",", "her l"]:
+        found = derived.with_author(papers, grams, asked)
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in search.narrow(papers, author=asked).collect()), asked
+
+
+def test_author_index_follows_changes_and_reads_the_grams_only(spark, named):
+    derived.AUTHOR_GRAMS.refresh(named)
+    named.upsert(batch(spark, author("p0", "Carl Hardy"), author("new", "Hardyman"), author("p1", "No One")))
+    want = sorted(r["id"] for r in search.narrow(named.papers(), author="hardy").collect())
+    for _ in range(2):
+        found = derived.with_author(named.papers(), derived.AUTHOR_GRAMS.read(named), "hardy")
+        assert sorted(r["id"] for r in found.collect()) == want and {"p0", "new"} <= set(want) and "p1" not in want
+        derived.AUTHOR_GRAMS.refresh(named)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    grams = derived.AUTHOR_GRAMS.read(named).where(F.col("gram").isin(derived.query_grams("hardy")))
+    assert "PushedFilters: [In(gram" in grams._jdf.queryExecution().executedPlan().toString() and "Python" not in plan
+
+
+ASKS = [(1, {}), (7, {}), (95, {"categories": ["math.AG"]}), (30, {"since_date": "2020-01-01"}), (300, {"author": "hardy"}), (5, {"categories": ["none"]}), (7, {"since_date": "2026-01-01", "author": "noether"}), (102, {})]
+
+
+def test_listing_equals_browse(kept, changed_since):
+    for store in (kept, changed_since):
+        papers = store.papers().cache()
+        for k, asked in ASKS:
+            want = search.browse(papers, k, **asked).select("id", "update_date", "score").collect()
+            assert derived.newest(store, k, **asked)[0].select("id", "update_date", "score").collect() == want, asked
+
+
+def test_browse_opens_few_files(spark, named):
+    assert derived.newest(named, 5)[1] == 0  # no listing yet
+    assert derived.refresh_listing(named, 10) and not derived.refresh_listing(named, 10)
+    files = named.state()["listing"]["files"]
+    dates = [f["newest"] for f in files if f["newest"] is not None]
+    assert len(files) >= 8 and dates == sorted(dates, reverse=True)
+    assert derived.newest(named, 2)[1] == 1 and derived.newest(named, 25)[1] <= 7
+    assert derived.newest(named, 100)[1] == len(files)
+    assert derived.newest(named, 100, since_date="2028-01-01")[1] < len(files) / 2
+    derived.refresh_all(named)
+    named.upsert(batch(spark, paper("x")))
+    named.upsert(batch(spark, paper("y")))
+    assert derived.newest(named, 3)[0].count() == 3  # the listing's files are named by the newest commit still

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rerank_text
-from ..schema import MOST_K, RERANK_BATCH, RERANK_MAX_TOKENS
+from ..schema import MOST_K, RERANK_BATCH
 from .scratch import scratch_path
 
 
@@ -23,14 +23,15 @@ class Reranker(Protocol):
 
 
 class OverlapReranker:
-    """Share of the query's words that a document holds: deterministic, no model, no claim to neural quality."""
+    """Share of the query's words that a document holds, all of it: deterministic, no model, no claim to neural quality. A
+    model behind the protocol has its own limit, RERANK_MAX_TOKENS."""
 
     def available(self) -> bool:
         return True
 
     def score(self, query: str, documents: list[str]) -> list[float]:
-        wanted = set(query.lower().split()[:RERANK_MAX_TOKENS])
-        return [len(wanted & set(d.lower().split()[:RERANK_MAX_TOKENS])) / (len(wanted) or 1) for d in documents]
+        wanted = set(query.lower().split())
+        return [len(wanted & set(d.lower().split())) / (len(wanted) or 1) for d in documents]
 
 
 def margin(logits: list[float]) -> float:

@@ -11,12 +11,14 @@ from ..functions import cite, registered, text
 from ..functions.vectors import dot, l2_norm, l2_normalise
 from ..operators import filters, search, store
 from ..operators.derived import AUTHOR_GRAMS, SEARCH_VIEW, newest, refresh_listing, with_author
-from ..operators.rerank import OverlapReranker, rerank_frame
+from ..operators.embed import HashingEmbedder
+from ..operators.rerank import OverlapReranker
 from ..operators.scratch import scratch_path
-from ..schema import METADATA, SCOPE
-from ..sources.feed import split_id
+from ..schema import METADATA, PAGE_SIZE, SCOPE
+from ..serving import ResidentView, answer
+from ..sources.feed import read_pages, split_id
 from ..sources.snapshot import scan_snapshot
-from ..streaming.update import in_window
+from ..streaming.update import in_window, resolve_cursor
 from .papers import PAPERS_SQL, papers, table, vectors
 
 _QUERIES: dict = {}
@@ -185,7 +187,7 @@ def ranked_search_with_filters(spark, sf_dir):
 
 
 _TEXT = r"trim(regexp_replace(title || '. ' || abstract, '\s+', ' ', 'g'))"
-_OVERLAP = f"len(list_intersect(string_split(lower({_TEXT}), ' ')[1:2048], {RERANK_QUERY.split()})) / {len(RERANK_QUERY.split())}.0"
+_OVERLAP = f"len(list_intersect(string_split(lower({_TEXT}), ' '), {RERANK_QUERY.split()})) / {len(RERANK_QUERY.split())}.0"
 
 
 @query(
@@ -195,10 +197,23 @@ _OVERLAP = f"len(list_intersect(string_split(lower({_TEXT}), ' ')[1:2048], {RERA
     ORDER BY rerank_margin DESC, vector_score DESC, id LIMIT 5"""
 )
 def rerank_shortlist(spark, sf_dir):
-    own = papers(spark, sf_dir)
-    top = search.top_k(search.score_native(search.vectors_of(own, vectors(spark, sf_dir)), _near(spark, sf_dir)), 50)
-    done = rerank_frame(search.with_rows(top, own), RERANK_QUERY, OverlapReranker()).limit(5)
-    return done.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("rerank_margin", 6).alias("rerank_margin"))
+    """Five papers of the reranked shortlist: as many are scored again as it takes, whatever is asked for."""
+    near = _near(spark, sf_dir)
+    found = search.search(papers(spark, sf_dir), vectors(spark, sf_dir), RERANK_QUERY, lambda _: near, 5, reranker=OverlapReranker(), score=search.score_native)
+    return found.hits.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("rerank_margin", 6).alias("rerank_margin"))
+
+
+class _Absent(OverlapReranker):
+    def available(self):
+        return False
+
+
+@query(f"""SELECT p.id, round({_COS}, 6) AS score, true AS warned FROM papers p JOIN embeddings e ON p."row" = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, p.id LIMIT 5""")
+def rerank_degraded(spark, sf_dir):
+    """A reranker that is not there: the hits stay in the order of their vectors, and a warning says so."""
+    near = _near(spark, sf_dir)
+    found = search.search(papers(spark, sf_dir), vectors(spark, sf_dir), RERANK_QUERY, lambda _: near, 5, reranker=_Absent(), score=search.score_native)
+    return _rounded(found.hits.select("id", "score")).withColumn("warned", F.lit(bool(found.warning) and not found.reranked))
 
 
 @query("SELECT count(*) AS n FROM papers WHERE list_has_any(string_split(categories, ' '), ['math.AC']) AND update_date >= '1996-01-01'")
@@ -280,7 +295,9 @@ def dangling_slots(spark, sf_dir):
 
 @query("SELECT max(update_date) || 'T00:00:00+00:00' AS cursor FROM papers")
 def cursor_default(spark, sf_dir):
-    return papers(spark, sf_dir).agg(F.concat(F.max("update_date"), F.lit("T00:00:00+00:00")).alias("cursor"))
+    """Where an update of an index begins that has no cursor yet."""
+    fresh = _stored_papers(spark, sf_dir)
+    return spark.createDataFrame([(resolve_cursor(fresh).isoformat(),)], "cursor string")
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 15 MINUTE")
@@ -449,6 +466,52 @@ def _stored_papers(spark: SparkSession, sf_dir: str) -> store.Store:
     return fresh
 
 
+@query(f"""{_BROWSE} WHERE update_date >= '1996-03-05' AND list_has_any(string_split(categories, ' '), ['math.AG']) {_NEWEST} 20""")
+def served_listing(spark, sf_dir):
+    """A request without a query, as the server answers it: a category that is none of the scope's is left out of it, the
+    date is brought into form, and twenty are listed."""
+    view = ResidentView(_stored_papers(spark, sf_dir), HashingEmbedder(1, "given"))
+    code, found = answer(view, "/api/search", "cat=math.AG&cat=none&since=1996-3-5")
+    view.close()
+    if code != "200 OK":
+        raise RuntimeError(found["error"])
+    return spark.createDataFrame([tuple(r[c] for c in _SLIM) for r in found["results"]], ", ".join(f"{c} string" for c in _SLIM))
+
+
+_STAMP = "CASE WHEN doc_id % 9 = 0 THEN 'soon' WHEN doc_id % 2 = 0 THEN update_date || 'T06:07:08Z' ELSE update_date || 'T06:07:08+02:00' END"
+
+
+@query(
+    f"""SELECT id, CASE WHEN doc_id % 7 <> 0 THEN version END AS version, trim(regexp_replace(authors, '[{{}}]', '', 'g')) AS authors,
+    CASE WHEN doc_id % 3 <> 0 AND contains(categories, ' ') THEN 'math.CO ' || split_part(categories, ' ', 1) ELSE categories END AS categories,
+    substr({_STAMP}, 1, 10) AS update_date, doi,
+    CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN update_date || ' 06:07:08' ELSE update_date || ' 04:07:08' END AS updated_at FROM papers"""
+)
+def feed_entries(spark, sf_dir):
+    """The papers written as entries of a feed, in XML, and parsed again: versions that are no number, the primary category
+    to the front where it is among the terms, times of other zones and none."""
+    d = F.col("doc_id")
+    stamp = F.when(d % 9 == 0, "soon").when(d % 2 == 0, F.concat("update_date", F.lit("T06:07:08Z"))).otherwise(F.concat("update_date", F.lit("T06:07:08+02:00")))
+    terms = filters.categories_of(F.col("categories"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), text.escape_html(c), F.lit(f"</{name}>"))
+    primary = F.when(d % 3 == 0, "none").otherwise(F.element_at(terms, -1))
+    entry = F.concat(
+        tag("id", F.concat(F.lit(" http://x/abs/"), "id", F.when(d % 7 != 0, F.col("version")).otherwise(""))),
+        tag("updated", stamp),
+        F.lit("<title> A title</title><summary/><author><name/></author><author>"),
+        tag("name", F.concat(F.lit(" "), F.regexp_replace("authors", "[{}]", ""))),
+        F.lit("</author>"),
+        F.array_join(F.transform(terms, lambda t: F.concat(F.lit('<category term="'), t, F.lit('"/>'))), ""),
+        F.lit('<arxiv:primary_category term="'), primary, F.lit('"/>'),
+        F.coalesce(tag("arxiv:doi", F.col("doi")), F.lit("")),
+    )
+    path = scratch_path(spark, "feed")
+    whole = papers(spark, sf_dir).select(F.floor(d / PAGE_SIZE).alias("page"), F.concat(F.lit("<entry>"), entry, F.lit("</entry>")).alias("entry"))
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://x/schemas">'), F.array_join(F.collect_list("entry"), ""), F.lit("</feed>"))
+    whole.groupBy("page").agg(feed.alias("xml")).write.partitionBy("page").text(path)
+    return read_pages(spark, path).select("id", "version", "authors", "categories", "update_date", "doi", F.col("updated_at").cast("string").alias("updated_at"))
+
+
 @query(f"SELECT id, authors FROM papers WHERE contains({_FOLD}, 'hardy') AND contains({_FOLD}, 'ittlewoo') AND contains({_FOLD}, 'h.')")
 def author_search_indexed(spark, sf_dir):
     """Papers by parts of their authors' names, one of them of two letters: through the grams of the stored authors."""

@@ -8,7 +8,7 @@ what is stale is derived from the papers of now while it reads.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fold_terms
+from ..functions.vectors import pack, rows_of
 from ..schema import MOST_K
 from .filters import embedded, narrow
 from .layout import part_of, read_parts, write_parts
@@ -23,11 +24,11 @@ from .search import browse, check_k
 from .store import Store
 
 _S = T.StringType()
-#: What a search filters and scores: one row per paper with a vector.
+#: What a search filters and scores: one row per paper with a vector, which is packed in half precision.
 VIEW = T.StructType(
     [T.StructField("id", _S), T.StructField("row", T.LongType())]
     + [T.StructField(n, _S) for n in ("categories", "update_date", "authors_folded")]
-    + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    + [T.StructField("packed", T.BinaryType())]
 )
 
 
@@ -77,14 +78,23 @@ def _make_view(store: Store, state: dict, parts: list[int]) -> DataFrame:
     """Papers with a vector, and the vector. What a stale part already holds under the same slot is carried over; for the
     rest only tables of vectors that reach so far are read."""
     own = embedded(store.papers(parts, state)).select(*VIEW.fieldNames()[:-1])
-    held = read_parts(store.spark, SEARCH_VIEW.kept(state, parts), VIEW).select("id", "row", "embedding")
+    held = read_parts(store.spark, SEARCH_VIEW.kept(state, parts), VIEW).select("id", "row", "packed")
     carried = own.join(held, ["id", "row"])
     missing = own.join(held, ["id", "row"], "left_anti")
     first = missing.agg(F.min("row")).first()[0]
     if first is None:
         return carried
     vectors = store.vectors(first, state).select(F.col("slot").alias("row"), "embedding")
-    return carried.unionByName(missing.join(vectors, "row").select(*VIEW.fieldNames()))
+    found = missing.join(vectors, "row").select(*VIEW.fieldNames()[:-1], "embedding")
+    return carried.unionByName(found.mapInArrow(_pack, VIEW))
+
+
+def _pack(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        *others, column = batch.columns
+        yield pa.RecordBatch.from_arrays([*others, pa.array(pack(rows_of(column)), pa.binary())], names=VIEW.fieldNames())
 
 
 SEARCH_VIEW = Derivation("view", VIEW, _make_view, sort="update_date")

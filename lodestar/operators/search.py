@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, rows_of
+from ..functions.vectors import dot, packed_rows, rows_of, unpack
 from ..schema import DEFAULT_K, MOST_K, QUERY_CACHE, SHORTLIST
 from .filters import embedded, narrow
 
@@ -25,6 +25,8 @@ QUERY_BYTES = 64_000_000
 #: Vectors packed into one row, by number and bytes.
 VECTOR_BLOCK = 8_192
 VECTOR_BYTES = 8_000_000
+#: Packed vectors that are widened at once.
+PACKED_ROWS = 4_096
 
 
 def check_k(k: int) -> int:
@@ -171,6 +173,23 @@ def score_arrow(vectors: DataFrame, query: Iterable[float], id_col: str = "id")
     return vectors.select(id_col, "embedding").mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def score_packed(view: DataFrame, query: Iterable[float], id_col: str = "id") -> DataFrame:
+    """id and score of a view(id, packed) in half precision, which is read where Arrow has it; products are summed in
+    double, some thousand rows at a time."""
+    q = np.asarray(list(query), np.float64)
+    kind = dict(view.dtypes)[id_col]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            m = packed_rows(batch.column(1))
+            scores = [m[i : i + PACKED_ROWS].astype(np.float64) @ q for i in range(0, len(m), PACKED_ROWS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[id_col, "score"])
+
+    return view.select(id_col, "packed").mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
 @dataclass(frozen=True)
 class Found:
     """hits, the order they stand in, and a warning if a stage had to be skipped."""
@@ -224,23 +243,23 @@ def search(papers: DataFrame, vectors: DataFrame, query: str | None, embed_query
     return _finish(with_rows(top, papers, want), text, k, reranker)
 
 
-def search_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], text: str, embed_query, k: int = DEFAULT_K, categories=None, since_date=None, author=None, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
-    """Semantic search over a view(id, filter columns, embedding), which needs no join; k is held under MOST_K. The winners'
+def search_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], text: str, embed_query, k: int = DEFAULT_K, categories=None, since_date=None, author=None, reranker=None) -> Found:
+    """Semantic search over a view(id, filter columns, packed), which needs no join; k is held under MOST_K. The winners'
     ids come to the driver, and rows_of_ids gives their papers."""
     want = min(_wanted(check_k(k), reranker), MOST_K)
-    top = top_k(score(narrow(view, categories, since_date, author).select("id", "embedding"), embed_query(text.strip())), want).collect()
+    top = top_k(score_packed(narrow(view, categories, since_date, author), embed_query(text.strip())), want).collect()
     return _finish(_rows_of_winners(top, rows_of_ids, view), text.strip(), min(k, MOST_K), reranker)
 
 
-def similar_in_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], id_: str, k: int = DEFAULT_K, reranker=None, score: Callable[..., DataFrame] = score_arrow) -> Found:
+def similar_in_view(view: DataFrame, rows_of_ids: Callable[[list[str]], DataFrame], id_: str, k: int = DEFAULT_K, reranker=None) -> Found:
     """similar() over a view, as search_view."""
     from ..functions.text import rerank_text
 
-    own = view.where(F.col("id") == id_).select("embedding").first()
+    own = view.where(F.col("id") == id_).select("packed").first()
     if own is None:
         raise KeyError(f"{id_} is unknown or has no vector yet")
     want = min(_wanted(check_k(k), reranker), MOST_K)
-    top = top_k(score(view.where(F.col("id") != id_).select("id", "embedding"), own["embedding"]), want).collect()
+    top = top_k(score_packed(view.where(F.col("id") != id_), unpack(own["packed"])), want).collect()
     text = rows_of_ids([id_]).select(rerank_text(F.col("title"), F.col("abstract"))).first()[0] if reranker else ""
     return _finish(_rows_of_winners(top, rows_of_ids, view), text, min(k, MOST_K), reranker)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cite, registered, text
 from ..functions.vectors import dot, l2_norm, l2_normalise
-from ..operators import filters, search, store
+from ..operators import filters, masks, search, store
 from ..operators.derived import AUTHOR_GRAMS, SEARCH_VIEW, newest, refresh_listing, with_author
 from ..operators.embed import HashingEmbedder
 from ..operators.rerank import OverlapReranker
@@ -434,6 +434,36 @@ def similar_papers(spark, sf_dir):
     return _rounded(found.hits.select("id", "title", "score"))
 
 
+_EMBEDDED = """FROM papers WHERE "row" IS NOT NULL"""
+_HAS_ALL = "list_has_all(string_split(categories, ' '), ['math.AC', 'math.CO'])"
+
+
+@query(
+    f"""SELECT 'any' AS how, count(*) AS n {_EMBEDDED} AND list_has_any(string_split(categories, ' '), ['math.AC', 'math.CO'])
+    UNION ALL SELECT 'all' AS how, count(*) AS n {_EMBEDDED} AND {_HAS_ALL} UNION ALL SELECT 'no vector' AS how, count(*) AS n FROM papers WHERE "row" IS NULL AND list_has_any(string_split(categories, ' '), ['math.AC', 'math.CO'])"""
+)
+def mask_counts(spark, sf_dir):
+    """Papers of two categories, of either and of both, by bitmaps; and those without a vector, which have no bit."""
+    own, wanted = papers(spark, sf_dir), ["math.AC", "math.CO"]
+    made = masks.category_masks(own)
+    waiting = filters.narrow(filters.pending(own), wanted).agg(F.count("*").alias("n"))
+    counts = {"any": masks.count(masks.any_of(made, wanted)), "all": masks.count(masks.all_of(made, wanted)), "no vector": waiting}
+    parts = [n.select(F.lit(how).alias("how"), "n") for how, n in counts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""SELECT p.id, round({_COS}, 6) AS score FROM papers p JOIN embeddings e ON p."row" = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+    WHERE list_has_any(string_split(categories, ' '), ['math.AC', 'math.CO']) ORDER BY {_COS} DESC, p.id LIMIT 12"""
+)
+def masked_search(spark, sf_dir):
+    """The twelve nearest among the slots of a mask."""
+    own, vecs = papers(spark, sf_dir), vectors(spark, sf_dir)
+    mask = masks.any_of(masks.category_masks(own), ["math.AC", "math.CO"])
+    found = masks.masked(filters.embedded(own).select("id", "row"), mask, vecs.count())
+    return _rounded(search.top_k(search.score_native(search.vectors_of(found, vecs), _near(spark, sf_dir)), 12))
+
+
 # a vector as it is stored: of unit length in single precision, each component rounded to a half (to even, quantum 2^-24 at least)
 _QUANTUM = "pow(2, greatest(floor(log2(abs(y))), -14) - 10)"
 _LENGTH = "CAST(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS FLOAT)"
@@ -541,7 +571,7 @@ def view_search(spark, sf_dir):
     """The filtered search again, over a stored index in parts and its search view, without a join."""
     fresh, near = _index(spark, sf_dir, 100), _near(spark, sf_dir)
     SEARCH_VIEW.refresh(fresh)
-    found = search.search_view(SEARCH_VIEW.read(fresh), fresh.lookup, "anything", lambda _: near, 10, ["math.AG", "math.CO"], "1995-03-01", "Hardy", score=search.score_native)
+    found = search.search_view(SEARCH_VIEW.read(fresh), fresh.lookup, "anything", lambda _: near, 10, ["math.AG", "math.CO"], "1995-03-01", "Hardy")
     return _rounded(found.hits.select("id", "title", "score"))
 
 

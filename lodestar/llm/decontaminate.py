@@ -16,6 +16,7 @@ of CHUNK words.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import blocks, split
-from .common import table
+from .common import cut, table
 
 CHUNK = 64
 BLOCK = 8
@@ -282,39 +283,80 @@ class Searcher:
         return found
 
 
-def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator:
-    """Broadcast indexes over items(item_id, text), each built from at most about index_bytes of item text. Counts of
-    terms are those over all items. Items without a word are in none."""
-    spark = items.sparkSession
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-total // index_bytes)
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """shard, term, n: how many items of a shard have the term. The term of a line break tells the words of a shard's items,
+    that of two the items with a word; no other term holds one."""
 
     def counted(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
             n: Counter = Counter()
-            for text in pdf["text"]:
+            for shard, text in zip(pdf["shard"], pdf["text"]):
                 ws = terms(text)
-                n.update({**dict.fromkeys(ws, 1), "\n": len(ws), "\n\n": int(bool(ws))})  # no term holds a line break
-            yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+                if ws:
+                    n.update({**dict.fromkeys(((shard, w) for w in ws), 1), (shard, "\n"): len(ws), (shard, "\n\n"): 1})
+            yield pd.DataFrame([(*key, k) for key, k in n.items()], columns=["shard", "term", "n"]).astype({"shard": "int32", "term": object, "n": "int64"})
+
+    return rows.mapInPandas(counted, "shard int, term string, n long").groupBy("shard", "term").agg(F.sum("n").alias("n"))
 
-    counts = rows.select("text").mapInPandas(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    for shard in range(shards):
-        own = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]  # bounded: one shard
-        needed = {t for _, text in own for t in terms(text)}
-        if not needed:
-            continue
-        wanted = spark.createDataFrame([(t,) for t in sorted(needed | {"\n", "\n\n"})], "term string")
-        known = {r["term"]: r["n"] for r in counts.join(wanted, "term").collect()}  # the terms of one shard
-        yield spark.sparkContext.broadcast(Index.build(own, known, known["\n\n"], known["\n"] / known["\n\n"]))
+
+def build_indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """shard, data: the indexes over items(item_id, text), each built by a task from at most about index_bytes of item text,
+    in a written table. Counts of terms are those over all items. Items without a word are in none. The items are read
+    once and their terms counted once, whatever the number of shards."""
+    spark = items.sparkSession
+    rows = cut(items.select(F.col("item_id").cast("long").alias("item_id"), "text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(-(-total // index_bytes), 1)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    by_shard = cut(_term_counts(dealt))
+    sizes = {r["term"]: r["n"] for r in by_shard.where(F.col("term").isin("\n", "\n\n")).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
+        return spark.createDataFrame([], "shard int, data binary")
+    n_items, mean = sizes["\n\n"], sizes["\n"] / sizes["\n\n"]
+    over_all = by_shard.groupBy("term").agg(F.sum("n").alias("n"))
+    needed = by_shard.select("shard", "term").join(over_all, "term")
+
+    def build(own, known):
+        import pandas as pd
+
+        if not len(known):
+            return pd.DataFrame({"shard": pd.Series(dtype="int32"), "data": pd.Series(dtype=object)})
+        listed = [(None if i is None else int(i), text) for i, text in zip(own["item_id"], own["text"])]
+        made = Index.build(listed, dict(zip(known["term"], known["n"].tolist())), n_items, mean)
+        return pd.DataFrame({"shard": [int(known["shard"].iloc[0])], "data": [pickle.dumps(made, pickle.HIGHEST_PROTOCOL)]})
+
+    # both sides of a group are bounded by the shard's text
+    named = dealt.withColumn("item_id", F.col("item_id").cast("string"))  # pandas has no whole numbers beside nulls
+    return cut(named.groupBy("shard").cogroup(needed.groupBy("shard")).applyInPandas(build, "shard int, data binary"))
+
+
+def _passes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[tuple[list, bool]]:
+    """(broadcast indexes that one pass over the texts applies together, whether more follow). The driver holds those of
+    one pass at a time."""
+    built = build_indexes(items, index_bytes)
+    shards = sorted(r[0] for r in built.select("shard").collect())
+    context = items.sparkSession.sparkContext
+    for at in range(0, len(shards), PASS_INDEXES):
+        rows = built.where(F.col("shard").isin(shards[at : at + PASS_INDEXES])).orderBy("shard").collect()  # PASS_INDEXES of them
+        yield [context.broadcast(pickle.loads(r["data"])) for r in rows], at + PASS_INDEXES < len(shards)
+
+
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator:
+    """The broadcast indexes one after the other."""
+    for group, _ in _passes(items, index_bytes):
+        yield from group
 
 
-def _passes(items: DataFrame) -> list[list]:
-    """The indexes in groups that one pass over the texts applies together."""
-    made = list(indexes(items))
-    return [made[i : i + PASS_INDEXES] for i in range(0, len(made), PASS_INDEXES)]
+def _applied(made: DataFrame, group: list, more: bool) -> DataFrame:
+    """made, whose tasks read the group's indexes: from a written table if more follow, and the group is then given up."""
+    if not more:
+        return made
+    written = cut(made)
+    for index in group:
+        index.destroy()
+    return written
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -323,7 +365,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     All passages of all texts are queried. A null or empty text holds nothing; repeated rows repeat their leaks;
     items with equal texts are all reported; null ids stay null; other columns are ignored."""
     parts = []
-    for group in _passes(items):
+    for group, more in _passes(items):
 
         def run(batches: Iterator, group=group) -> Iterator:
             import pyarrow as pa
@@ -336,10 +378,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                     kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FOUND_SCHEMA.split(", ")])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND_SCHEMA))
+        parts.append(_applied(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND_SCHEMA), group, more))
     found = parts[0] if parts else docs.sparkSession.createDataFrame([], FOUND_SCHEMA)
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    for part in parts[1:]:
+        found = found.unionByName(part)
     return found
 
 
@@ -347,7 +389,7 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold an item; no shuffle, the columns of docs. Null and empty texts stay, repeated
     rows stay or go together."""
     kept = docs
-    for group in _passes(items):
+    for group, more in _passes(items):
 
         def run(batches: Iterator, group=group) -> Iterator:
             import pyarrow as pa
@@ -360,7 +402,7 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
                     clean[[k for k, found in searcher.find_all(texts) if found]] = False
                 yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = _applied(kept.mapInArrow(run, docs.schema), group, more)
     return kept
 
 

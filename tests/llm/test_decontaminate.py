@@ -110,3 +110,30 @@ def test_query(spark, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in D.op8_decontamination(spark, sf_dir).collect()}
     assert got == {(d, i) for d, t in docs for i, x in items if holds(t, x)}
+
+
+def test_forty_shards_read_the_items_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(2**60 + i, " ".join(f"w{x}" for x in rng.integers(0, 400, 30))) for i in range(200)] + [(None, "an item without an id that has ten words in it")]
+
+    def seen(batches):
+        for batch in batches:
+            with open(tmp_path / "reads", "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    items = items_of(spark, rows).coalesce(1).mapInArrow(seen, "item_id long, text string")
+    assert D.build_indexes(items, 500).count() > 40
+    assert len((tmp_path / "reads").read_text()) == len(rows)
+    docs = cases.documents(spark, [(k, f"before {t} after") for k, (_, t) in enumerate(rows)])
+    real = D._passes
+    monkeypatch.setattr(D, "_passes", lambda items: real(items, 500))
+    monkeypatch.setattr(D, "PASS_INDEXES", 60)
+    whole = sorted((r["doc_id"], r["item_id"]) for r in D.find(docs, items_of(spark, rows)).collect())
+    assert whole == [(k, i) for k, (i, _) in enumerate(rows)]
+    few = items_of(spark, rows[:30])
+    monkeypatch.setattr(D, "PASS_INDEXES", 2)  # passes whose results are written before the next
+    passes = [more for _, more in real(few, 500)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.find(docs, few).collect()) == whole[:30]
+    assert sorted(r["doc_id"] for r in D.remove(docs, few).collect()) == list(range(30, len(rows)))
+    assert len(passes) > 2 and passes == [True] * (len(passes) - 1) + [False]

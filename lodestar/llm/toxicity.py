@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers for directed insults, threats, negation and reported speech run side by side over the classes of a clause's
+Transducers for insults (of nobody, of a target, said of a target with a copula), threats, negation and reported speech run side by side over the classes of a clause's
 words. Their composition is one automaton: it weighs each insult or threat by what stands around it in its clause. A
 threat counts only with a target: one that comes before its target is held until the target follows in the same clause.
 A word that opens a quotation reports what follows. Learned from labelled rows are the insults (words, and prefixes that
@@ -32,22 +32,31 @@ STEMS = (4, 5, 6)
 MIN_STEM_WORDS = 3
 _MEMO_ENTRIES = 600_000
 
-#: Word classes of the grammar in English, French, German and Spanish (fixed values).
-#: Threats are verb stems with their endings.
-THREAT_VERBS = (
-    ("kill hurt destroy burn shoot stab murder attack beat strangl strangle", ("", "s", "ed", "ing")),
-    ("tu frapp brûl étrangl poignard massacr assassin", ("er", "e", "es", "ez", "ent", "erai", "eras", "era", "erons", "erez", "eront")),
-    ("töt schlag verbrenn erschieß ermord erwürg erstech verprügel", ("en", "e", "est", "st", "et", "t", "n")),
-    ("mat golpe quem dispar apuñal estrangul asesin", ("ar", "o", "as", "a", "amos", "an", "aré", "arás", "ará", "aremos", "arán")),
+#: Word classes of the grammar in English, French, German and Spanish (fixed values): forms of verbs of violence as they
+#: are conjugated, regular ones by their endings.
+IRREGULAR_THREATS = """
+kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying burn burns burned burnt burning
+shoot shoots shot shooting stab stabs stabbed stabbing murder murders murdered murdering attack attacks attacked attacking
+beat beats beaten beating strangle strangles strangled strangling punch punches punched punching
+töten töte tötest tötet tötete töteten getötet schlagen schlage schlägst schlägt schlug schlugen geschlagen
+verbrennen verbrenne verbrennst verbrennt verbrannte verbrannten verbrannt erschießen erschieße erschießt erschoss erschossen
+ermorden ermorde ermordest ermordet ermordete erwürgen erwürge erwürgst erwürgt erwürgte verprügeln verprügle verprügelst
+verprügelt verprügelte erstechen ersteche erstichst ersticht erstach erstochen
+"""
+REGULAR_THREATS = (
+    ("tu frapp brûl étrangl poignard massacr assassin", "er e es ons ez ent é ée és ées ait aient ant erai eras era erons erez eront"),
+    ("mat golpe quem dispar apuñal estrangul asesin", "ar o as a amos an é aste ó aron aba aban ado ada ados adas ando aré arás ará aremos arán"),
 )
-THREATS = [stem + ending for stems, endings in THREAT_VERBS for stem in stems.split() for ending in endings]
+THREATS = [*IRREGULAR_THREATS.split(), *(stem + ending for stems, endings in REGULAR_THREATS for stem in stems.split() for ending in endings.split())]
+#: Forms of `to be`, which make an insult of a person a statement.
+COPULAS = "am are is was were be been you're es est êtes sont suis était étaient bin bist ist sind seid war warst waren eres son sois soy era eras eran".split()
 TARGETS = "you your yourself he she they them tu toi vous il elle ils du dich dir ihr sie tú te usted ustedes él ella ellos".split()
 #: Object forms of the same persons, as they follow a verb or a preposition.
 TARGETS += "him her lui eux ihn ihm ihnen euch ti".split()
 NEGATIONS = "not never no isn't aren't wasn't ne pas jamais nicht kein keine nie nunca ni".split()
 REPORTS = "said says claimed wrote quoted called dit écrit selon sagte schrieb laut dijo escribió según".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, COPULA, OTHER = CLASSES = range(7)
 _END = re.compile(rb"[.!?;:]+[\"')\]]*$")
 _QUOTE = re.compile(r"^[(\[]*[\"“„«‘]")
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -67,52 +76,61 @@ class Transducer:
     def __post_init__(self):
         for name in ("holds", "frees"):
             if not getattr(self, name):
-                object.__setattr__(self, name, ((False,) * 6,) * len(self.moves))
+                object.__setattr__(self, name, ((False,) * len(CLASSES),) * len(self.moves))
 
     @staticmethod
     def flag(raised_by: int, on: dict[int, float]) -> Transducer:
         """Two states: raised once the class is met; then the classes in `on` get these factors."""
-        after = tuple(on.get(c, 1.0) for c in range(6))
-        return Transducer((tuple(int(c == raised_by) for c in range(6)), (1,) * 6), ((1.0,) * 6, after))
+        after = tuple(on.get(c, 1.0) for c in CLASSES)
+        return Transducer((tuple(int(c == raised_by) for c in CLASSES), (1,) * len(CLASSES)), ((1.0,) * len(CLASSES), after))
 
     def compose(self, other: Transducer) -> Transducer:
         """Both at once on the same words: states are pairs, factors multiply, what either holds or frees is held or freed."""
         n = len(other.moves)
         pairs = list(product(range(len(self.moves)), range(n)))
         return Transducer(
-            tuple(tuple(self.moves[a][c] * n + other.moves[b][c] for c in range(6)) for a, b in pairs),
-            tuple(tuple(self.factors[a][c] * other.factors[b][c] for c in range(6)) for a, b in pairs),
-            tuple(tuple(self.holds[a][c] or other.holds[b][c] for c in range(6)) for a, b in pairs),
-            tuple(tuple(self.frees[a][c] or other.frees[b][c] for c in range(6)) for a, b in pairs),
+            tuple(tuple(self.moves[a][c] * n + other.moves[b][c] for c in CLASSES) for a, b in pairs),
+            tuple(tuple(self.factors[a][c] * other.factors[b][c] for c in CLASSES) for a, b in pairs),
+            tuple(tuple(self.holds[a][c] or other.holds[b][c] for c in CLASSES) for a, b in pairs),
+            tuple(tuple(self.frees[a][c] or other.frees[b][c] for c in CLASSES) for a, b in pairs),
         )
 
 
 def _row(on: int, value, other) -> tuple:
-    return tuple(value if c == on else other for c in range(6))
+    return tuple(value if c == on else other for c in CLASSES)
 
 
-_NONE = (False,) * 6
+_NONE = (False,) * len(CLASSES)
 #: States: no target yet, threats pending, target met. A threat counts if a target stands before or after it.
 _THREATS = Transducer(
-    ((0, 1, 2, 0, 0, 0), (1, 1, 2, 1, 1, 1), (2,) * 6),
-    ((1.0,) * 6,) * 3,
+    (_row(THREAT, 1, 0)[:TARGET] + (2,) + (0,) * 4, _row(TARGET, 2, 1), (2,) * len(CLASSES)),
+    ((1.0,) * len(CLASSES),) * 3,
     holds=(_row(THREAT, True, False), _row(THREAT, True, False), _NONE),
     frees=(_NONE, _row(TARGET, True, False), _NONE),
 )
 
 
+def _insults(directed: float, predicated: float) -> Transducer:
+    """States: nobody addressed, a target met, a target and a copula after it: `you`, and `you are`. An insult weighs more
+    from state to state."""
+    moves = (_row(TARGET, 1, 0), _row(COPULA, 2, 1), (2,) * len(CLASSES))
+    return Transducer(moves, tuple(_row(INSULT, factor, 1.0) for factor in (1.0, directed, directed * predicated)))
+
+
 @dataclass(frozen=True)
 class Factors:
-    """What an insult after a target is multiplied by, and insults and threats after a negation or a report."""
+    """What an insult after a target is multiplied by, insults and threats after a negation or a report, and an insult that
+    is said of a target with a copula, on top."""
 
     directed: float = 1.25
     negated_insult: float = 0.6
     negated_threat: float = 0.3
     reported_insult: float = 0.7
     reported_threat: float = 0.5
+    predicated: float = 1.2
 
     def grammar(self) -> Transducer:
-        insults = Transducer.flag(TARGET, {INSULT: self.directed})
+        insults = _insults(self.directed, self.predicated)
         negation = Transducer.flag(NEGATION, {INSULT: self.negated_insult, THREAT: self.negated_threat})
         report = Transducer.flag(REPORT, {INSULT: self.reported_insult, THREAT: self.reported_threat})
         return insults.compose(_THREATS).compose(negation).compose(report)
@@ -120,9 +138,9 @@ class Factors:
 
 GRAMMAR = Factors().grammar()
 #: The same automaton with a prime for each factor, so that a product tells which factors a match had.
-_MARKED = Factors(2, 3, 3, 5, 5).grammar()
+_MARKED = Factors(2, 3, 3, 5, 5, 7).grammar()
 #: (class, product in _MARKED) of the matches that can be.
-MATCHES = [(INSULT, d * n * r) for d in (1, 2) for n in (1, 3) for r in (1, 5)] + [(THREAT, n * r) for n in (1, 3) for r in (1, 5)]
+MATCHES = [(INSULT, d * n * r) for d in (1, 2, 14) for n in (1, 3) for r in (1, 5)] + [(THREAT, n * r) for n in (1, 3) for r in (1, 5)]
 #: How strongly a fit holds the logarithms of the factors and of the threats' weight at their defaults.
 HOLD = 10.0
 
@@ -143,7 +161,7 @@ class Model:
     bias: float = -2.0
     factors: Factors = Factors()
     _memo: dict = field(default_factory=dict, repr=False)
-    _fixed: dict = field(default_factory=lambda: {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}, repr=False)
+    _fixed: dict = field(default_factory=lambda: {w: c for c, ws in ((COPULA, COPULAS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_memo": {}}
@@ -200,8 +218,8 @@ class Model:
 
 def _multipliers(f: Factors, threat: float) -> np.ndarray:
     """What each of MATCHES is multiplied by."""
-    of = {INSULT: (f.directed, f.negated_insult, f.reported_insult), THREAT: (1.0, f.negated_threat, f.reported_threat)}
-    return np.array([(threat if kind == THREAT else 1.0) * math.prod(x for x, prime in zip(of[kind], (2, 3, 5)) if marks % prime == 0) for kind, marks in MATCHES])
+    of = {INSULT: (f.directed, f.negated_insult, f.reported_insult, f.predicated), THREAT: (1.0, f.negated_threat, f.reported_threat, 1.0)}
+    return np.array([(threat if kind == THREAT else 1.0) * math.prod(x for x, prime in zip(of[kind], (2, 3, 5, 7)) if marks % prime == 0) for kind, marks in MATCHES])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -275,15 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
 def _fitted(sums: np.ndarray, y: np.ndarray, threat: float) -> tuple[Factors, float, float, float]:
     """(factors, weight of a threat, slope, bias) by steps along one logarithm after the other, the curve fitted anew
-    between them. A target never weakens, negation and reports never strengthen, a threat weighs half to twice its default."""
+    between them. A target or copula never weakens, negation and reports never strengthen, a threat weighs half to twice its default."""
     start = np.log([*vars(Factors()).values(), threat])
-    low = np.r_[0.0, [-3.0] * 4, start[5] - math.log(2)]
-    high = np.r_[1.0, [0.0] * 4, start[5] + math.log(2)]
+    low = np.r_[0.0, [-3.0] * 4, 0.0, start[-1] - math.log(2)]
+    high = np.r_[1.0, [0.0] * 4, 1.0, start[-1] + math.log(2)]
     logs = start.copy()
 
     def strength(at: np.ndarray) -> np.ndarray:
         values = np.exp(at)
-        return np.log1p(sums @ _multipliers(Factors(*values[:5]), values[5]))
+        return np.log1p(sums @ _multipliers(Factors(*values[:-1]), values[-1]))
 
     def cost(at: np.ndarray) -> float:
         z = np.clip(slope * strength(at) + bias, -30, 30)
@@ -296,7 +314,7 @@ def _fitted(sums: np.ndarray, y: np.ndarray, threat: float) -> tuple[Factors, fl
             logs = min(tried, key=cost)
     slope, bias = _curve(strength(logs), y)
     values = np.exp(logs)
-    return Factors(*map(float, values[:5])), float(values[5]), slope, bias
+    return Factors(*map(float, values[:-1])), float(values[-1]), slope, bias
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:

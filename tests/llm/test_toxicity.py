@@ -170,3 +170,46 @@ def test_held_out_measures(spark):
     recall = sum(p for _, y, p in rows if y) / sum(y for _, y, _ in rows)
     print("held out:", len(rows), "clean rate", clean_rate, "accuracy", right, "recall", recall, "AUC", auc([(s, y) for s, y, _ in rows]))
     assert right > max(0.97, clean_rate + 0.05) and recall > 0.85 and auc([(s, y) for s, y, _ in rows]) > 0.93
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["he stabbed you", "I am stabbing you", "they shot him", "he was beaten by you", "you were attacked", "il vous a frappé", "elle était étranglée, il dit", "er schlug dich", "sie haben ihn erstochen", "wir erschossen ihn", "te mataron", "usted fue golpeada", "ellos están quemando"],
+)
+def test_true_inflections(text):
+    assert MODEL.weight(text) == MODEL.threat
+
+
+def test_glued_endings_are_no_words():
+    assert not {"stabing", "beated", "schlagte", "shooted", "strangld"} & set(T.THREATS)
+
+
+@pytest.mark.parametrize("text", ["you are a fool", "tu es un fool", "du bist ein fool", "él era un fool", "they, I think, were fool"])
+def test_an_insult_said_of_a_target(text):
+    f = MODEL.factors
+    assert MODEL.weight(text) == pytest.approx(2.0 * f.directed * f.predicated)
+    assert MODEL.weight("you fool") == 2.0 * f.directed and MODEL.weight("here is a fool") == MODEL.weight("is a fool here you") == 2.0
+    assert MODEL.weight("you are not a fool") == pytest.approx(2.0 * f.directed * f.predicated * f.negated_insult)
+
+
+COPULAR = [*WORDS, "are", "bist", "est", "was"]
+
+
+@given(st.lists(st.sampled_from(COPULAR), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_weight_with_copulas_equals_the_plain_rule(ws):
+    """A clause's insults weigh the factor more that have a target and, after its first, a copula before them."""
+    model = T.Model({"fool": 2.0}, {"blor": 3.0}, threat=1.7, factors=T.Factors(1.5, 0.5, 0.25, 0.75, 0.4, 1.0))
+    said = T.Model({"fool": 2.0}, {"blor": 3.0}, threat=1.7, factors=T.Factors(1.5, 0.5, 0.25, 0.75, 0.4, 3.0))
+    text = " ".join(ws)
+    assert model.weight(text) == pytest.approx(plain_weight(text, model))
+    extra = 0.0
+    for clause in re.split(r"(?<=[.!?;:])\s+", text):
+        terms = [T.term(w.encode()) for w in clause.split()]
+        for i, t in enumerate(terms):
+            first = next((k for k, x in enumerate(terms[:i]) if x in T.TARGETS), i)
+            if (t == "fool" or t.startswith("blor")) and any(x in T.COPULAS for x in terms[first:i]):
+                quoted = any(w.startswith('"') for w in clause.split()[: i + 1])
+                weight = 2.0 if t == "fool" else 3.0
+                extra += 2 * weight * 1.5 * (0.5 if "never" in terms[:i] else 1) * (0.75 if quoted or "said" in terms[:i] else 1)
+    assert said.weight(text) == pytest.approx(model.weight(text) + extra)

@@ -5,10 +5,8 @@ from collections import defaultdict
 
 import pytest
 
-from lodestar import llm
 from lodestar.llm import codes
 
-from ..compare import assert_same
 
 SCHEMA = "vec_id long, embedding array<double>, label int, error long, code string, _label int, _n int"
 
@@ -90,7 +88,3 @@ def test_empty_and_refused(spark):
     ragged = spark.createDataFrame([(1, [1.0] * 8, 1), (2, [1.0] * 16, 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(Exception, match="components"):
         codes.compress(ragged)
-
-
-def test_query(spark, sf_dir):
-    assert_same(llm.queries()["op13_vector_codes"](spark, sf_dir), sf_dir, llm.oracle_sql()["op13_vector_codes"])

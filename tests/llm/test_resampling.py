@@ -6,11 +6,9 @@ from collections import Counter
 
 import pytest
 
-from lodestar import llm
 from lodestar.llm import resampling
 
 from . import cases
-from ..compare import assert_same
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -62,7 +60,3 @@ def test_empty_tables(spark):
     assert sorted(map(tuple, weighed.collect()), key=repr) == sorted(plain(ROWS, [], 1, 10_000), key=repr)
     nothing = cases.documents(spark, [(1, None), (2, ""), (3, "--")])
     assert {tuple(r) for r in resampling.weigh(nothing, target).collect()} == {(d, 0, 0, 0) for d in (1, 2, 3)}
-
-
-def test_query(spark, sf_dir):
-    assert_same(llm.queries()["op12_importance_resampling"](spark, sf_dir), sf_dir, llm.oracle_sql()["op12_importance_resampling"])

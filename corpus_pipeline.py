@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-All stages but the last return the columns of documents. There is no SQL for the rows of run(): neither the
-components of similar documents nor token ids are expressible; tests hold the pipeline against a plain version.
+All stages but the last return the columns of documents. There is no SQL for the rows of run(), as token ids are not
+expressible; tests hold the pipeline against a plain version. An empty table gives an empty one at every stage, columns
+of other names pass through all stages but the last, and rows without an id are rows like others unless said below.
 """
 
 from __future__ import annotations
@@ -15,27 +16,32 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, then the documents that fail the base rules or lost too much."""
+    """Failing lines go, then the documents that fail the base rules or lost too much. Null and empty texts have too few
+    words and go; repeated rows are judged alike."""
     return quality.clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites go; every document stays, though it may be left without text."""
+    """Lines on many sites go; every document stays, though it may be left without text. A null source is no site, a null
+    text stays null, and each of repeated rows loses the same lines."""
     return lines.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays, of rows that share an id one. Documents without
+    words are linked with nothing and stay."""
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none and stay, and repeated rows go together.
+    Items without a word are held by nothing."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents left, with their places in sequences."""
+    """Token pieces of the documents left, with their places in sequences. A null text is empty and gives one piece; repeated
+    rows give repeated pieces, and pieces of equal length are told apart by id, number and content."""
     return packing.pack(cut(packing.pieces(docs)))
 
 

@@ -25,6 +25,8 @@ _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 CURSOR = dt.datetime(2024, 1, 25)
 RERANK_QUERY = "the of and erin with"
+#: Rows of a part in the indexes that queries build: few, so that the test tables make several parts.
+QUERY_PART_ROWS = 400
 
 
 def query(sql: str | None = None):
@@ -491,7 +493,7 @@ def append_vectors(spark, sf_dir):
 
 def _stored_papers(spark: SparkSession, sf_dir: str) -> store.Store:
     """A new index of all papers in parts, without vectors."""
-    fresh = store.Store(spark, scratch_path(spark, "index"), "given", 1, 100)
+    fresh = store.Store(spark, scratch_path(spark, "index"), "given", 1, QUERY_PART_ROWS)
     fresh.upsert(papers(spark, sf_dir).select("id", *METADATA))
     return fresh
 
@@ -569,7 +571,7 @@ _STORED_COS = "list_inner_product(stored, q.embedding::DOUBLE[])"
 )
 def view_search(spark, sf_dir):
     """The filtered search again, over a stored index in parts and its search view, without a join."""
-    fresh, near = _index(spark, sf_dir, 100), _near(spark, sf_dir)
+    fresh, near = _index(spark, sf_dir, QUERY_PART_ROWS), _near(spark, sf_dir)
     SEARCH_VIEW.refresh(fresh)
     found = search.search_view(SEARCH_VIEW.read(fresh), fresh.lookup, "anything", lambda _: near, 10, ["math.AG", "math.CO"], "1995-03-01", "Hardy")
     return _rounded(found.hits.select("id", "title", "score"))
@@ -585,7 +587,7 @@ def view_search(spark, sf_dir):
 )
 def commit_counts(spark, sf_dir):
     """What the commits of an index counted as they wrote it, after a second batch: read from the commit's file alone."""
-    fresh = _index(spark, sf_dir, 100)
+    fresh = _index(spark, sf_dir, QUERY_PART_ROWS)
     fresh.upsert(_increment(spark, sf_dir))
     found = fresh.status()
     counts = {c.replace(".", "_").lower(): n for c, n in found.pop("categories").items()}

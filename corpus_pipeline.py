@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, of rows that share an id one. Documents without
-    words are linked with nothing and stay."""
+    """Of each group of linked documents the one with the smallest id stays, and of rows that repeat both id and text one.
+    Rows without an id and documents without words are linked with nothing and stay."""
     return jaccard.keep_one(docs)
 
 

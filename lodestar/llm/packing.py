@@ -27,7 +27,8 @@ SPECIAL = "<|endoftext|>"
 _MEMO_ENTRIES = 400_000
 _SPACED = re.compile(r"\s (?:\s|\Z)")
 #: Runs of Unicode's white space that are encoded by themselves: looking ahead over a run costs the matcher stack.
-_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+_LONG = 1_000
+_LONG_RUN = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{_LONG},}}")
 
 
 def default_vocabulary() -> str:
@@ -59,6 +60,8 @@ class Encoder:
         self._special = array("I", [len(ranks)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        if len(text) < _LONG:
+            return array("I", self._bpe.encode_ordinary(text)).tobytes()
         ids, at = array("I"), 0
         for run in _LONG_RUN.finditer(text):
             end = run.end() if run.end() == len(text) else run.end() - 1

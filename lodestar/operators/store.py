@@ -208,8 +208,9 @@ class Store:
         for version in self._versions():
             if version < min(s["version"] for s in kept):
                 for table in self._tables(self._read(version)) - named:
-                    folder = table.rpartition("/")[0] if "/part=" in table else table
-                    self._fs.delete(self._path(table if folder in above else folder), True)
+                    folder, _, name = table.rpartition("/")
+                    whole = name.startswith("part=") and folder not in above  # no part of it is named any more
+                    self._fs.delete(self._path(folder if whole else table), True)
                 self._fs.delete(self._commit_file(version), False)
 
     def vacuum(self, hours: float = 24.0) -> list[str]:

@@ -166,6 +166,15 @@ def fold_authors(spark, sf_dir):
     return papers(spark, sf_dir).select("id", text.fold("authors").alias("folded"))
 
 
+_BARE = r"regexp_replace(replace(translate(text, '{}', ''), 'ß', 'ss'), '\([^()]*\)', ' ', 'g')"
+
+
+@query(rf"SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents({_BARE})), '\s+', ' ', 'g'))) AS folded FROM documents")
+def fold_texts(spark, sf_dir):
+    """Whole texts of four languages folded, as authors are."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold("text"), 256).alias("folded"))
+
+
 @query(f"SELECT id, authors FROM papers WHERE contains({_FOLD}, 'noether')")
 def author_search_single(spark, sf_dir):
     return filters.narrow(papers(spark, sf_dir), author=r"N{o}ether").select("id", "authors")

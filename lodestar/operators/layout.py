@@ -35,15 +35,22 @@ def touched(ids: DataFrame, parts: int) -> list[int]:
     return sorted(r[0] for r in ids.select(part_of(parts).alias("part")).distinct().collect())
 
 
+def dealt(df: DataFrame, parts: int, of: Iterable[int] | None = None) -> DataFrame:
+    """df(id, ...) with its part, each of the parts `of` (all if None) in one task: what write_parts moves no more, and
+    what needs no exchange by part and id."""
+    n = parts if of is None else max(len(set(of)), 1)
+    return df.withColumn("part", part_of(parts)).repartition(n, "part")
+
+
 def write_parts(df: DataFrame, folder: str, parts: int, of: Iterable[int] | None = None, sort: str | None = None) -> dict[str, str]:
     """Writes df(id, ...), all of whose rows fall in the parts `of` (all parts if None), into a new folder, a file or more
-    for each part; returns the parts that have rows. sort: the order inside a file, for readers that skip by bounds."""
+    for each part; returns the parts that have rows. sort: the order inside a file, for readers that skip by bounds. What
+    has a column part already is dealt."""
     path = f"{folder}/v={uuid.uuid4().hex}"
-    n = parts if of is None else max(len(set(of)), 1)
-    dealt = df.withColumn("part", part_of(parts)).repartition(n, "part")
+    rows = df if "part" in df.columns else dealt(df, parts, of)
     if sort:
-        dealt = dealt.sortWithinPartitions("part", sort)
-    dealt.write.partitionBy("part").parquet(path)
+        rows = rows.sortWithinPartitions("part", sort)
+    rows.write.partitionBy("part").parquet(path)
     spark = df.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
@@ -55,4 +62,4 @@ def read_parts(spark: SparkSession, table: dict[str, str], schema: T.StructType,
     """The rows of a table in parts, or of some of its parts."""
     wanted = None if of is None else {str(p) for p in of}
     paths = [path for part, path in sorted(table.items()) if wanted is None or part in wanted]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema).where(F.lit(False))  # known to be empty, so joins go

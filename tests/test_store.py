@@ -407,3 +407,27 @@ def test_rows_by_hand_are_kept_in_parts(spark, parted):
 def test_upsert_of_nothing_commits_nothing(spark, parted):
     version = parted.state()["version"]
     assert parted.upsert(batch(spark, paper("x")).limit(0)) == 64 and parted.state()["version"] == version
+
+
+def _shuffled(spark) -> int:
+    """Bytes of all shuffles written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return sum(context.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(context.statusStore().executorList(False).size()))
+
+
+def test_texts_move_once(spark, tmp_path):
+    """A new index moves each text once, and so does the placing of vectors; nothing is moved to compare texts."""
+    noise = F.concat_ws("", *(F.sha2(F.concat("id", F.lit(f" {i}")), 512) for i in range(40)))
+    given = [F.lit("a").alias(c) for c in METADATA if c not in ("abstract", "version")]
+    batch = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("v1").alias("version"), noise.alias("abstract"), *given)
+    batch.write.parquet(f"{tmp_path}/batch")
+    batch, own = spark.read.parquet(f"{tmp_path}/batch"), Store(spark, f"{tmp_path}/index", "m", 2, 100)
+    start = _shuffled(spark)
+    spark.read.parquet(f"{tmp_path}/batch").repartition(3).write.format("noop").mode("overwrite").save()
+    once = _shuffled(spark) - start
+    own.upsert(batch)
+    came = _shuffled(spark) - start - once
+    own.append_vectors(batch.select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding")))
+    placed = _shuffled(spark) - start - once - came
+    assert once > 1_000_000 and came < 1.3 * once and placed < 1.3 * once
